@@ -34,7 +34,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from layerlens.functions.draws import is_validation
 from layerlens.operators import metrics, neighbours
@@ -431,8 +431,10 @@ def score_states(states: DataFrame, pooling: str, fitted: FittedProbe) -> DataFr
     return fitted.predict(pool(states, [pooling]))
 
 
-def best_of_trials(trials: DataFrame, by: list[str], metric: str) -> DataFrame:
-    """The best trial per group from a trial table; the first one wins ties."""
-    order = W.partitionBy(*by).orderBy(F.col(metric).desc(), F.col("trial"))
-    ranked = trials.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+def best_of_trials(
+    trials: DataFrame, by: list[str], metric: str, ties: list[str]
+) -> DataFrame:
+    """The best trial per group from a trial table; the lowest `ties` columns win ties."""
+    order = F.struct((-F.col(metric)).alias("order"), *ties)
+    whole = F.min_by(F.struct(*[c for c in trials.columns if c not in by]), order)
+    return trials.groupBy(*by).agg(whole.alias("t")).select(*by, "t.*")

@@ -1,4 +1,4 @@
 """Loads every module that registers queries."""
 
-from layerlens.plans import text_queries  # noqa: F401
+from layerlens.plans import metric_queries, text_queries  # noqa: F401
 from layerlens.plans.registry import QUERIES  # noqa: F401

@@ -203,7 +203,7 @@ def _density_sql(measure: str) -> str:
       FROM stats, range(200) r(point)),
     curve AS (
       SELECT p.dataset, p.p AS point, p.x,
-             sum(exp(-((p.x - l.{measure}) / p.h) ^ 2 / 2)) / (p.rows * p.h * sqrt(2 * pi())) AS density,
+             sum(exp(-0.5 * pow((p.x - l.{measure}) / p.h, 2))) / (p.rows * p.h * sqrt(2 * pi())) AS density,
              any_value(p.rows * ((p.high - p.low) / 50)) AS area
       FROM points p JOIN lengths l USING (dataset)
       GROUP BY p.dataset, p.p, p.x, p.rows, p.h)
