@@ -75,14 +75,14 @@ def _compare(k: int):
     def nearest(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         found = {"id": [], "neighbour": [], "label": [], "distance": []}
         if len(test) and len(train):
-            x, y = _matrix(test["features"]), _matrix(train["features"])
+            x, y = _matrix(test["vector"]), _matrix(train["features"])
             ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
             x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
             rough = x2[:, None] + y2[None, :] - 2 * (x @ y.T)
             last = min(k, len(y)) - 1
             # Rough distances only shortlist; the margin covers their rounding error.
             reach = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (1 + x2 + y2.max())
-            for i, test_id in enumerate(test["id"]):
+            for i, test_id in enumerate(test["test_id"]):
                 near = np.flatnonzero(rough[i] <= reach[i])
                 exact = ((y[near] - x[i]) ** 2).sum(axis=1)
                 top = np.lexsort((ids[near], exact))[:k]
@@ -115,8 +115,11 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, seed: int = 42
         .orderBy("cell")
         .collect()
     )
+    # New names throughout, as both sides may come from the same table.
     visits = test.select(
-        "id", "features", F.explode(_route(pivots, cells, k)("features")).alias("cell")
+        F.col("id").alias("test_id"),
+        F.col("features").alias("vector"),
+        F.explode(_route(pivots, cells, k)("features")).alias("cell"),
     )
     demand = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}
     splits = F.broadcast(
@@ -130,19 +133,19 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, seed: int = 42
         )
     )
     key = ["cell", "chunk", "block"]
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    part = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     train_side = (
         placed.join(splits, "cell")
-        .withColumn("chunk", part("chunks"))
+        .withColumn("chunk", part("id", "chunks"))
         .withColumn("block", each("blocks"))
         .select(*key, "id", "features", "label")
     )
     test_side = (
         visits.join(splits, "cell")
-        .withColumn("block", part("blocks"))
+        .withColumn("block", part("test_id", "blocks"))
         .withColumn("chunk", each("chunks"))
-        .select(*key, "id", "features")
+        .select(*key, "test_id", "vector")
     )
     near = (
         test_side.groupBy(*key)

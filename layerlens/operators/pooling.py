@@ -147,11 +147,13 @@ def feature_statistics(features: DataFrame) -> DataFrame:
 def standardise(train: DataFrame, other: DataFrame) -> DataFrame:
     """Centres and scales `other` by the statistics of `train`; constant columns become 0."""
     stats = feature_statistics(train).select(F.struct("mean", "deviation").alias("s")).scalar()
-    centred = F.zip_with("features", stats["mean"], lambda x, m: x - m)
+    centred = F.zip_with("features", F.col("_stats.mean"), lambda x, m: x - m)
     scaled = F.zip_with(
-        centred, stats["deviation"], lambda x, s: F.when(s > 0, x / s).otherwise(x)
+        centred, F.col("_stats.deviation"), lambda x, s: F.when(s > 0, x / s).otherwise(x)
+    )
+    return (
+        other.withColumn("_stats", stats).withColumn("features", scaled).drop("_stats")
     )
-    return other.withColumn("features", scaled)
 
 
 def class_count(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,6 +42,8 @@ from layerlens.operators.pooling import pool, standardise
 
 log = logging.getLogger(__name__)
 
+TOLERANCE = 1e-4  # where linear fits stop
+
 
 class RandomFourierFeatures(
     Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
@@ -180,7 +182,8 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
         return LinearSVC(
             **{**columns, "featuresCol": features},
             regParam=penalty(),
-            maxIter=1000,
+            maxIter=100,  # quasi-Newton steps, each a pass over all rows
+            tol=TOLERANCE,
             standardization=False,
         )
 
@@ -190,6 +193,7 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
                 **columns,
                 regParam=penalty(),
                 maxIter=1000,
+                tol=TOLERANCE,
                 standardization=False,
                 family="multinomial" if many else "auto",
             )

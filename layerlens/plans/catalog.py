@@ -1,4 +1,10 @@
 """Loads every module that registers queries."""
 
-from layerlens.plans import metric_queries, text_queries  # noqa: F401
+from layerlens.plans import (  # noqa: F401
+    metric_queries,
+    pooling_queries,
+    probe_queries,
+    source_queries,
+    text_queries,
+)
 from layerlens.plans.registry import QUERIES  # noqa: F401

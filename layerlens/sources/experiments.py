@@ -80,13 +80,11 @@ def checkpoint_documents(done: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("probe")).alias("probes")
     )
     poolings = probes.groupBy("dataset", "model", "layer").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("pooling", "probes")))).alias("p")
+        F.map_from_entries(F.collect_list(F.struct("pooling", "probes"))).alias("p")
     )
     layer = F.col("layer").cast("string")
     layers = poolings.groupBy("dataset", "model").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(layer, "p")))).alias(
-            "completed_probes"
-        ),
+        F.map_from_entries(F.collect_list(F.struct(layer, "p"))).alias("completed_probes"),
         (F.max("layer") + 1).alias("last_layer"),
     )
     document = F.to_json(F.struct("completed_probes", "last_layer"))
