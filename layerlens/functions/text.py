@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters a whitespace split of Unicode text breaks on.
-WHITESPACE = (
-    "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-)
+# What a whitespace split of Unicode text breaks on (White_Space and the
+# four separator controls).
+WHITESPACE = "(?U)[\\s\\x1c-\\x1f]+"
 
 # The English stop-word list text profiling drops by default.
 STOP_WORDS = (

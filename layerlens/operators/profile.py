@@ -27,6 +27,15 @@ GRID = 200
 QUARTERS = (0.25, 0.5, 0.75)
 
 
+def first_seen(row_id: Column, position: Column) -> Column:
+    """The earliest (id, position) of a group, as one number.
+
+    Spark aggregates numbers in a hash table; for a struct it would sort all words first.
+    """
+    span = F.lit(2**31).cast("decimal(10,0)")
+    return F.min(row_id.cast("decimal(19,0)") * span + position)
+
+
 def missing_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count_if(F.col("text").isNull()).alias("missing_text"),
@@ -114,10 +123,10 @@ def distinct_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def word_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Every distinct word with its count and first appearance (id, position)."""
+    """Every distinct word with its count and first appearance."""
     exploded = df.select(*keys, "id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
     return exploded.groupBy(*keys, "word").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first_seen")
+        F.count("*").alias("n"), first_seen(F.col("id"), F.col("pos")).alias("first_seen")
     )
 
 
@@ -210,7 +219,7 @@ def top_bigrams(
     counts = (
         bigrams(df, keys, stop_words)
         .groupBy(*keys, "first", "second")
-        .agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first_seen"))
+        .agg(F.count("*").alias("n"), first_seen(F.col("id"), F.col("pos")).alias("first_seen"))
     )
     return _top(counts, keys, limit).select(
         *keys, "rank", F.concat_ws(" ", "first", "second").alias("bigram"), "n"

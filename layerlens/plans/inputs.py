@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from layerlens.functions.draws import hex_number, is_validation
 from layerlens.functions.text import STOP_WORDS
 from layerlens.operators import metrics
+from layerlens.session import spread
 
 LAYERS = 3
 POOLINGS = ("mean", "max")
@@ -25,6 +26,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 # Texts -------------------------------------------------------------------------------
 
 SQL_SPACE = (
@@ -39,8 +44,7 @@ def sql_words(text: str = "text") -> str:
 
 def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled documents: id, lang, source, text, label, split."""
-    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    joined = documents.join(labels, "doc_id")
+    joined = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     test = is_validation(F.col("doc_id"), 7)
     return joined.select(
         F.col("doc_id").alias("id"),
@@ -61,8 +65,8 @@ SQL_LABELLED = f"""labelled AS (
 
 def incomplete_texts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents; those without a label lack it, very short ones lack their text."""
-    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return documents.join(labels, "doc_id", "left").select(
+    labels = table(spark, sf, "labels")
+    return documents(spark, sf).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("dataset"),
         F.when(F.col("n_chars") >= 100, F.col("text")).alias("text"),
@@ -78,7 +82,7 @@ SQL_INCOMPLETE = """incomplete AS (
 
 def dataset_texts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents, one dataset per language, labelled by their source."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("dataset"),
         "text",
@@ -92,7 +96,7 @@ SQL_DATASETS = """texts AS (
 
 def all_texts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as one dataset, labelled by language."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")
     )
 
@@ -318,7 +322,7 @@ def make_digest_encoder():
     def encode(batch: list[list[str]]) -> np.ndarray:
         numbers = np.array([[code(t) for t in tokens] for tokens in batch], dtype=np.int64)
         parts = (numbers[:, :, None] >> (8 * np.arange(ENCODER_DIMS))) & 255
-        base = parts / 255.0
+        base = parts / 256.0
         return np.stack([base * (layer + 1) for layer in range(ENCODER_LAYERS)], axis=1)
 
     return encode

@@ -191,7 +191,7 @@ def class_count(spark, sf):
       FROM texts),
     codes AS (SELECT id, ('0x' || substr(md5(token), 1, 8))::BIGINT AS code FROM padded)
     SELECT id, l::INTEGER AS layer, d::INTEGER AS dim,
-           avg(((code >> (8 * d)) & 255) / 255.0 * (l + 1)) AS value
+           avg(((code >> (8 * d)) & 255) / 256.0 * (l + 1)) AS value
     FROM codes, range({ENCODER_LAYERS}) a(l), range({ENCODER_DIMS}) b(d)
     GROUP BY id, l, d""",
     "value",
