@@ -37,11 +37,15 @@ def id_bucketizer(df: DataFrame, column: str, name: str, buckets: int = ID_BUCKE
 def with_id_bucket(df: DataFrame, column: str, bucketizer: Bucketizer) -> DataFrame:
     """Adds the bucket of each id; bucket numbers grow with the id."""
     key = bucketizer.getInputCol()
-    return bucketizer.transform(df.withColumn(key, F.col(column).cast("double"))).drop(key)
+    bucketed = bucketizer.transform(df.withColumn(key, F.col(column).cast("double"))).drop(key)
+    name = bucketizer.getOutputCol()
+    return bucketed.withColumn(name, F.col(name).cast("int"))
 
 
-def _with_offsets(df: DataFrame, bucket: str, order: list, name: str) -> DataFrame:
-    sizes = df.groupBy(bucket).agg(F.count("*").alias("_n"))
+def _with_offsets(
+    df: DataFrame, counted: DataFrame, bucket: str, order: list, name: str
+) -> DataFrame:
+    sizes = counted.groupBy(bucket).agg(F.count("*").alias("_n"))
     before = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     # One row per bucket, at most 4096 of them.
     offsets = sizes.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -53,16 +57,22 @@ def _with_offsets(df: DataFrame, bucket: str, order: list, name: str) -> DataFra
     )
 
 
-def with_draw_position(df: DataFrame, draw: str, tie: str, name: str = "position") -> DataFrame:
-    """1-based position of every row in draw order, over the whole table."""
-    bucketed = df.withColumn("_bucket", draw_bucket(F.col(draw)))
-    return _with_offsets(bucketed, "_bucket", [draw, tie], name)
+def with_draw_position(
+    df: DataFrame, draw: str, tie: str, name: str = "position", narrow: DataFrame | None = None
+) -> DataFrame:
+    """1-based position of every row in draw order, over the whole table.
+
+    `narrow` may be a cheaper table with the same rows' draws, to count the buckets on.
+    """
+    bucket = draw_bucket(F.col(draw))
+    counted = (df if narrow is None else narrow).select(bucket.alias("_bucket"))
+    return _with_offsets(df.withColumn("_bucket", bucket), counted, "_bucket", [draw, tie], name)
 
 
 def with_id_position(df: DataFrame, row_id: str, name: str = "position") -> DataFrame:
     """1-based position of every row in id order, over the whole table."""
     bucketed = with_id_bucket(df, row_id, id_bucketizer(df, row_id, "_bucket"))
-    return _with_offsets(bucketed, "_bucket", [row_id], name)
+    return _with_offsets(bucketed, bucketed, "_bucket", [row_id], name)
 
 
 def lowest_draw_cuts(df: DataFrame, group: str, quota: str, draw: str, tie: str) -> DataFrame:

@@ -168,17 +168,15 @@ def bigrams(df: DataFrame, keys: list[str], stop_words=STOP_WORDS) -> DataFrame:
     row are moved: rows are compared inside id-range buckets, and a bucket's last row with
     the head of the next filled bucket (at most 256 heads per key).
     """
-    kept = df.select(*keys, "id", kept_words(F.col("text"), stop_words).alias("kept")).filter(
-        F.size("kept") > 0
-    )
-    last = F.size("kept")
+    kept = df.select(*keys, "id", kept_words(F.col("text"), stop_words).alias("kept"))
+    pairs = F.greatest(F.size("kept") - 1, F.lit(0))
     inside = kept.select(
         *keys,
         "id",
         F.posexplode(
             F.arrays_zip(
-                F.slice("kept", F.lit(1), last - 1).alias("first"),
-                F.slice("kept", F.lit(2), last - 1).alias("second"),
+                F.slice("kept", F.lit(1), pairs).alias("first"),
+                F.slice("kept", F.lit(2), pairs).alias("second"),
             )
         ).alias("pos", "pair"),
     ).select(*keys, "id", "pos", "pair.first", "pair.second")
@@ -186,11 +184,12 @@ def bigrams(df: DataFrame, keys: list[str], stop_words=STOP_WORDS) -> DataFrame:
     ends = kept.select(
         *keys,
         "id",
-        (last - 1).alias("pos"),
-        F.element_at("kept", 1).alias("head"),
-        F.element_at("kept", -1).alias("tail"),
+        (F.size("kept") - 1).alias("pos"),
+        F.get("kept", F.lit(0)).alias("head"),
+        F.try_element_at("kept", F.lit(-1)).alias("tail"),
     )
     ends = written(with_id_bucket(ends, "id", id_bucketizer(df, "id", "bucket")), "row-ends")
+    ends = ends.filter(F.col("head").isNotNull())
     heads = ends.groupBy(*keys, "bucket").agg(F.min_by("head", "id").alias("head"))
     following = heads.select(
         *keys,

@@ -113,18 +113,22 @@ def selection_plan(
     )
 
 
-def select_rows(rows: DataFrame, lengths: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """The measured rows that the plan keeps, with their `draw`."""
+def selection(lengths: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """The plan with each label's last chosen draw: what `selected` needs, a row per label."""
     plan = small_side(plan)
-    drawn = draw(F.col("id"), seed)
     at_limit = F.col("limit_len").isNull() | (F.col("n_words") == F.col("limit_len"))
     candidates = (
         lengths.join(plan, "label")
         .filter(at_limit & (F.col("rest") > 0))
-        .select("label", "rest", "id", drawn.alias("draw"))
+        .select("label", "rest", "id", draw(F.col("id"), seed).alias("draw"))
     )
     cuts = lowest_draw_cuts(candidates, "label", "rest", "draw", "id")
-    cuts = small_side(plan.join(cuts, "label", "left"))
+    return small_side(plan.join(cuts, "label", "left"))
+
+
+def selected(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
+    """The measured rows that the selection keeps, with their `draw`."""
+    at_limit = F.col("limit_len").isNull() | (F.col("n_words") == F.col("limit_len"))
     chosen = (F.col("rest") > 0) & (
         F.col("cut_draw").isNull()
         | (F.col("draw") < F.col("cut_draw"))
@@ -132,58 +136,64 @@ def select_rows(rows: DataFrame, lengths: DataFrame, plan: DataFrame, seed: int)
     )
     shorter = F.coalesce(F.col("n_words") < F.col("limit_len"), F.lit(False))
     return (
-        rows.withColumn("draw", drawn)
+        rows.withColumn("draw", draw(F.col("id"), seed))
         .join(cuts, "label")
         .filter(shorter | (at_limit & chosen))
         .drop("limit_len", "rest", "cut_draw", "cut_id")
     )
 
 
+def _chosen(
+    lengths: DataFrame, total: int, max_mean: float, mode: str, seed: int
+) -> DataFrame:
+    quotas = small_side(label_quotas(lengths, total))
+    return selection(lengths, selection_plan(lengths, quotas, max_mean, mode), seed)
+
+
 def shortest_prefix(df: DataFrame, total: int, max_mean: float, seed: int = 42) -> DataFrame:
     """Per label the shortest rows while their mean stays within `max_mean` and the quota."""
-    lengths = length_table(df)
-    quotas = label_quotas(lengths, total)
-    plan = selection_plan(lengths, quotas, max_mean, "prefix")
-    return select_rows(measured(df), lengths, plan, seed)
+    cuts = _chosen(length_table(df), total, max_mean, "prefix", seed)
+    return selected(measured(df), cuts, seed)
 
 
 def random_quota(df: DataFrame, total: int, seed: int = 42) -> DataFrame:
     """Per label a seeded random sample of its quota, without replacement."""
-    lengths = length_table(df)
-    quotas = label_quotas(lengths, total)
-    plan = selection_plan(lengths, quotas, 0.0, "random")
-    return select_rows(measured(df), lengths, plan, seed)
+    cuts = _chosen(length_table(df), total, 0.0, "random", seed)
+    return selected(measured(df), cuts, seed)
 
 
-def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
+def shuffled(df: DataFrame, seed: int = 42, narrow: DataFrame | None = None) -> DataFrame:
     """A seeded order over the whole table as column `position`."""
     if "draw" not in df.columns:
         df = df.withColumn("draw", draw(F.col("id"), seed))
-    return with_draw_position(df, "draw", "id")
+    return with_draw_position(df, "draw", "id", narrow=narrow)
 
 
-def unshuffled_reduction(
-    df: DataFrame, total: int, max_mean: float, seed: int = 42
-) -> DataFrame:
-    """All labels' samples in one table."""
-    lengths = length_table(df)
+def _checked(lengths: DataFrame, total: int, max_mean: float, seed: int) -> DataFrame:
     if total > lengths.count():
         raise ValueError("The requested total is larger than the table.")
-    quotas = label_quotas(lengths, total)
-    return select_rows(measured(df), lengths, selection_plan(lengths, quotas, max_mean), seed)
+    return _chosen(lengths, total, max_mean, "auto", seed)
+
+
+def sample_union(df: DataFrame, total: int, max_mean: float, seed: int = 42) -> DataFrame:
+    """All labels' samples in one table."""
+    cuts = _checked(length_table(df), total, max_mean, seed)
+    return selected(measured(df), cuts, seed)
 
 
 def bounded_reduction(df: DataFrame, total: int, max_mean: float, seed: int = 42) -> DataFrame:
     """A label-proportional sample of `total` rows whose mean length is within `max_mean`.
 
     A label with too few short rows gives fewer than its quota; `reduction_summary` shows
-    the shortfall.
+    the shortfall. The texts are read twice: for their lengths, and to write the sample.
     """
-    kept = unshuffled_reduction(df, total, max_mean, seed)
-    mean = kept.agg(F.avg("n_words")).first()[0]
+    lengths = length_table(df)
+    cuts = _checked(lengths, total, max_mean, seed)
+    narrow = selected(lengths, cuts, seed)
+    mean = narrow.agg(F.avg("n_words")).first()[0]
     if mean is not None and mean > max_mean:
         raise ValueError("The mean text length cannot be met without distorting the labels.")
-    return shuffled(kept, seed)
+    return shuffled(selected(measured(df), cuts, seed), seed, narrow)
 
 
 def _stage(df: DataFrame, name: str) -> DataFrame:
@@ -203,8 +213,9 @@ def _stage(df: DataFrame, name: str) -> DataFrame:
 def reduction_summary(df: DataFrame, total: int, max_mean: float, seed: int = 42) -> DataFrame:
     """Size, label shares and mean length before and after, and rows missing to the quota."""
     lengths = length_table(df)
-    quotas = label_quotas(lengths, total)
-    kept = select_rows(lengths, lengths, selection_plan(lengths, quotas, max_mean), seed)
+    quotas = small_side(label_quotas(lengths, total))
+    cuts = selection(lengths, selection_plan(lengths, quotas, max_mean), seed)
+    kept = selected(lengths, cuts, seed)
     before = _stage(lengths, "before").withColumn("shortfall", F.lit(0).cast("long"))
     after = (
         _stage(kept, "after")

@@ -22,8 +22,18 @@ PROMPT_TYPES = ("Zero-Shot", "Few-Shot", "CoT")
 KEYS = ["dataset", "layer", "pooling", "probe"]
 
 
+# Given schemas save a look into the files for every read.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "benchmark": "item_id long, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,17 +118,19 @@ SQL_TEXTS = "texts AS (SELECT doc_id AS id, text, lang AS label FROM documents)"
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """Two labelled datasets: `quality` with two classes, `lang` with four."""
-    quality = labelled_texts(spark, sf).select(F.lit("quality").alias("dataset"), "id", "label")
+    quality = spread(table(spark, sf, "labels")).select(
+        F.lit("quality").alias("dataset"), F.col("doc_id").alias("id"), F.col("quality").alias("label")
+    )
     lang = F.col("lang")
     number = F.when(lang == "de", 0).when(lang == "en", 1).when(lang == "es", 2).otherwise(3)
-    languages = table(spark, sf, "documents").select(
+    languages = documents(spark, sf).select(
         F.lit("lang").alias("dataset"), F.col("doc_id").alias("id"), number.alias("label")
     )
     return quality.unionByName(languages)
 
 
 SQL_TRUTH = """truth AS (
-  SELECT 'quality' AS dataset, doc_id AS id, quality AS label FROM documents JOIN labels USING (doc_id)
+  SELECT 'quality' AS dataset, doc_id AS id, quality AS label FROM labels
   UNION ALL
   SELECT 'lang', doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END
   FROM documents)"""

@@ -15,6 +15,7 @@ from layerlens.plans.inputs import (
     dataset_texts,
     incomplete_texts,
     sql_words,
+    table,
 )
 from layerlens.plans.registry import query
 
@@ -335,7 +336,7 @@ TOTAL_SHARE, MAX_MEAN, SEED = 4, 150.0, 42
 
 
 def _total(spark, sf):
-    return all_texts(spark, sf).count() // TOTAL_SHARE
+    return table(spark, sf, "documents").count() // TOTAL_SHARE
 
 
 QUOTA_SQL = f"""{SQL_TEXTS}, lengths AS (
@@ -392,7 +393,7 @@ def label_quotas(spark, sf):
 
 @query("r1_sample_union", f"WITH {QUOTA_SQL} SELECT id, label, n_words FROM reduced")
 def sample_union(spark, sf):
-    kept = reduction.unshuffled_reduction(all_texts(spark, sf), _total(spark, sf), MAX_MEAN, SEED)
+    kept = reduction.sample_union(all_texts(spark, sf), _total(spark, sf), MAX_MEAN, SEED)
     return kept.select("id", "label", "n_words")
 
 

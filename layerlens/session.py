@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -21,22 +20,32 @@ def local_session(cores: str = "*", memory: str = "8g", app: str = "layerlens")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where the setting is missing a local session gets a temporary folder; on a cluster that
+    is an error, as executors would not find it.
+    """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        root = os.environ.get("LAYERLENS_SHARED") or tempfile.mkdtemp(prefix="layerlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if context.applicationId not in _local_roots:
+            _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="layerlens-")
+        root = _local_roots[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 

@@ -18,6 +18,27 @@ LANGUAGES = (
     "spanish",
 )
 MULTILINGUAL_NAME = "tweet_sentiment_multilingual"
+# Texts that a missing value is written as in a CSV file.
+MISSING_TEXTS = (
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
@@ -40,10 +61,15 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.withColumn("text", text_or_nan(F.col("text")))
 
 
-def read_split(spark: SparkSession, path: str, schema: str = "text string, label int"):
-    """One CSV split. Quoted texts may span lines, so a file is read by one task; keep a
-    large split as many files, or as parquet."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """One CSV split, columns found by name; missing texts and labels are null.
+
+    Quoted texts may span lines, so a file is read by one task; keep a large split as many
+    files, or as parquet.
+    """
+    df = normalise_columns(spark.read.options(**CSV_OPTIONS).csv(path))
+    text = F.when(~F.col("text").isin(*MISSING_TEXTS), F.col("text"))
+    return df.withColumn("text", text).withColumn("label", F.col("label").try_cast("int"))
 
 
 def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:

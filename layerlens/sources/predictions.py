@@ -20,14 +20,17 @@ def run_file(layer: Column, pooling: Column, probe: Column) -> Column:
 
 
 def write_predictions(df: DataFrame, folder: str, by=("dataset", "model")) -> None:
-    """Adds predictions to a long table with explicit keys."""
-    df.write.mode("append").partitionBy(*by).parquet(folder)
+    """Adds predictions to a long table with explicit keys.
+
+    Rebalancing keeps the files few per key and splits a key that holds many rows.
+    """
+    df.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(folder)
 
 
 def write_run_files(df: DataFrame, folder: str, file: Column) -> None:
     """One tab-separated file (folder) per run, named by `file`, with id and y_pred."""
     rows = df.select(file.alias("run"), "id", "y_pred")
-    rows.write.mode("append").partitionBy("run").option("sep", "\t").option("header", True).csv(
+    rows.hint("rebalance", "run").write.mode("append").partitionBy("run").option("sep", "\t").option("header", True).csv(
         folder
     )
 
@@ -51,24 +54,40 @@ def parse_run(stem: Column) -> Column:
     return F.when(F.size(parts) >= 4, key)
 
 
-def _scan(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return (
-        spark.read.option("sep", "\t")
-        .option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{tsv,csv}")
-        .schema(schema)
-        .csv(folder)
+FILES = {"sep": "\t", "recursiveFileLookup": True, "pathGlobFilter": "*.{tsv,csv}"}
+LINE = "first string, second string"
+
+
+def lines(reader, folder: str) -> DataFrame:
+    """Every line of every file, header lines too, with where it came from."""
+    return reader.options(**FILES).schema(LINE).csv(folder).select(
+        "first",
+        "second",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
     )
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions with their row id, keyed by what the file name says.
+def with_predictions(rows: DataFrame) -> DataFrame:
+    """Lines of files whose header names a `y_pred`, as `id` (if there) and `y_pred`."""
+    is_header = (F.col("first") == "y_pred") | (F.col("second") == "y_pred")
+    headers = rows.filter(is_header).groupBy("path").agg(
+        F.first(F.col("second") == "y_pred", ignorenulls=True).alias("has_id")
+    )
+    has_id = F.coalesce("has_id", F.lit(False))
+    return (
+        rows.join(small_side(headers), "path")
+        .withColumn("id", F.when(has_id, F.col("first").try_cast("long")))
+        .withColumn(
+            "y_pred", F.when(has_id, F.col("second")).otherwise(F.col("first")).try_cast("int")
+        )
+        .drop("first", "second", "has_id")
+    )
 
-    Files whose name does not parse are skipped, and so are files without predictions.
-    """
-    rows = _scan(spark, folder, "id long, y_pred int")
-    key = parse_run(file_stem(F.col("_metadata.file_path")))
+
+def with_run_key(rows: DataFrame) -> DataFrame:
+    """Keyed predictions with a row id; files whose name does not parse are skipped."""
+    key = parse_run(file_stem(F.col("path")))
     return (
         rows.select(key.alias("key"), "id", "y_pred")
         .filter(F.col("key.layer").isNotNull() & F.col("y_pred").isNotNull())
@@ -76,40 +95,43 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions with their row id, keyed by what the file name says.
+
+    Files whose name does not parse are skipped, and so are files without predictions.
+    """
+    return with_run_key(with_predictions(lines(spark.read, folder)))
+
+
 def read_prompt_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt predictions; the file's name is the prompt type."""
-    rows = _scan(spark, folder, "id long, y_pred int")
-    return rows.select(
-        file_stem(F.col("_metadata.file_path")).alias("prompt_type"), "id", "y_pred"
-    ).filter(F.col("y_pred").isNotNull())
+    rows = with_predictions(lines(spark.read, folder)).filter(F.col("y_pred").isNotNull())
+    return rows.select(file_stem(F.col("path")).alias("prompt_type"), "id", "y_pred")
 
 
 def read_positional_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Plain one-column files, where a row's position in the file is its identity.
 
-    Files may be split between tasks. Rows of a split are numbered in order, and the sizes
-    of the splits before it give the first position. The numbered rows are stored first, so
-    both steps see the same splits.
+    Files may be split between tasks. Lines of a split are numbered in order, and the sizes
+    of the splits before it give the first position. The numbered lines are stored first, so
+    both steps see the same splits. A file must be one file here, not a folder of parts.
     """
-    scanned = _scan(spark, folder, "y_pred int").select(
-        file_stem(F.col("_metadata.file_path")).alias("stem"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-        "y_pred",
-    )
-    scanned = written(scanned, "positions")
-    return _with_positions(scanned).select(
-        parse_run(F.col("stem")).alias("key"), "position", "y_pred"
-    ).filter(F.col("key.layer").isNotNull()).select("key.*", "position", "y_pred")
-
-
-def _with_positions(scanned: DataFrame) -> DataFrame:
-    splits = scanned.groupBy("stem", "start").agg(
+    numbered = lines(spark.read, folder).withColumn("line", F.monotonically_increasing_id())
+    numbered = written(numbered, "lines")
+    splits = numbered.groupBy("path", "start").agg(
         F.count("*").alias("n"), F.min("line").alias("first_line")
     )
-    before = W.partitionBy("stem").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select(
-        "stem", "start", "first_line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+        "path", "start", "first_line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    # The header line has position 0.
+    position = F.col("line") - F.col("first_line") + F.col("before")
+    placed = numbered.join(small_side(offsets), ["path", "start"]).withColumn("position", position)
+    key = parse_run(file_stem(F.col("path")))
+    return (
+        with_predictions(placed)
+        .select(key.alias("key"), "position", "y_pred")
+        .filter(F.col("key.layer").isNotNull() & (F.col("position") > 0))
+        .select("key.*", "position", "y_pred")
     )
-    position = F.col("line") - F.col("first_line") + F.col("before") + 1
-    return scanned.join(small_side(offsets), ["stem", "start"]).withColumn("position", position)

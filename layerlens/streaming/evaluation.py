@@ -6,26 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from layerlens.operators.metrics import align, class_scores, confusion, scores
-from layerlens.sources.predictions import RUN_KEY, file_stem, parse_run
-
-
-def new_predictions(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (layer, pooling, probe, id, y_pred) from new run files."""
-    rows = (
-        spark.readStream.option("sep", "\t")
-        .option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{tsv,csv}")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .schema("id long, y_pred int")
-        .csv(folder)
-    )
-    key = parse_run(file_stem(F.col("_metadata.file_path")))
-    return (
-        rows.select(key.alias("key"), "id", "y_pred")
-        .filter(F.col("key.layer").isNotNull() & F.col("y_pred").isNotNull())
-        .select("key.*", "id", "y_pred")
-    )
+from layerlens.sources.predictions import RUN_KEY, lines, with_predictions, with_run_key
 
 
 def score_new_files(
@@ -43,11 +24,12 @@ def score_new_files(
     """
 
     def save_counts(batch: DataFrame, batch_id: int) -> None:
-        cells = confusion(align(batch, truth, ["id"]), list(RUN_KEY))
+        preds = with_run_key(with_predictions(batch))
+        cells = confusion(align(preds, truth, ["id"]), list(RUN_KEY))
         cells.write.mode("overwrite").parquet(f"{counts_folder}/batch={batch_id}")
 
     return (
-        new_predictions(spark, folder, files_per_batch)
+        lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder)
         .writeStream.foreachBatch(save_counts)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
