@@ -13,22 +13,30 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from layerlens.functions.sizing import small_side
 
-DRAW_DIGITS = 3  # 16 ** 3 = 4096 buckets of equal expected size
-ID_BUCKETS = 256
+BUCKET_ROWS = 100_000  # rows a bucket should hold
+MAX_DRAW_DIGITS = 5  # at most 16 ** 5 = 1,048,576 draw buckets
+MAX_ID_BUCKETS = 10_000
 
 
-def draw_bucket(draw: Column) -> Column:
-    return F.substring(draw, 1, DRAW_DIGITS)
+def draw_digits(rows: int) -> int:
+    """Hex digits of a draw to bucket by, so that buckets stay small as the table grows."""
+    digits = math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16))
+    return min(max(digits, 1), MAX_DRAW_DIGITS)
 
 
-def id_bucketizer(df: DataFrame, column: str, name: str, buckets: int = ID_BUCKETS) -> Bucketizer:
-    """Splits a numeric id into at most `buckets` ranges that hold about as many rows each.
+def draw_bucket(draw: Column, digits: int) -> Column:
+    return F.substring(draw, 1, digits)
+
+
+def id_bucketizer(df: DataFrame, column: str, name: str) -> Bucketizer:
+    """Splits a numeric id into ranges that hold about as many rows each.
 
     The borders are approximate quantiles of the id column, the only column read for them,
     so sparse or clustered ids still spread evenly.
     """
-    shares = [i / buckets for i in range(1, buckets)]
     ids = df.select(F.col(column).cast("double").alias(column))
+    buckets = min(max(ids.count() // BUCKET_ROWS, 16), MAX_ID_BUCKETS)
+    shares = [i / buckets for i in range(1, buckets)]
     cuts = ids.approxQuantile(column, shares, 0.5 / buckets)
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     return Bucketizer(splits=splits, inputCol=f"{name}_key", outputCol=name)
@@ -47,7 +55,7 @@ def _with_offsets(
 ) -> DataFrame:
     sizes = counted.groupBy(bucket).agg(F.count("*").alias("_n"))
     before = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    # One row per bucket, at most 4096 of them.
+    # One row per bucket, at most 16 ** MAX_DRAW_DIGITS of them.
     offsets = sizes.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(bucket).orderBy(*order)
     return (
@@ -62,10 +70,11 @@ def with_draw_position(
 ) -> DataFrame:
     """1-based position of every row in draw order, over the whole table.
 
-    `narrow` may be a cheaper table with the same rows' draws, to count the buckets on.
+    `narrow` may be a cheaper table with the same rows' draws, to count rows on.
     """
-    bucket = draw_bucket(F.col(draw))
-    counted = (df if narrow is None else narrow).select(bucket.alias("_bucket"))
+    draws = (df if narrow is None else narrow).select(draw)
+    bucket = draw_bucket(F.col(draw), draw_digits(draws.count()))
+    counted = draws.select(bucket.alias("_bucket"))
     return _with_offsets(df.withColumn("_bucket", bucket), counted, "_bucket", [draw, tie], name)
 
 
@@ -81,7 +90,8 @@ def lowest_draw_cuts(df: DataFrame, group: str, quota: str, draw: str, tie: str)
     Only the one bucket per group that holds the border is ranked. Groups with fewer rows
     than their quota get no cut: all their rows are in. Quotas must be above zero.
     """
-    bucketed = df.select(group, quota, draw, tie, draw_bucket(F.col(draw)).alias("_bucket"))
+    bucket = draw_bucket(F.col(draw), draw_digits(df.count()))
+    bucketed = df.select(group, quota, draw, tie, bucket.alias("_bucket"))
     sizes = bucketed.groupBy(group, "_bucket").agg(
         F.count("*").alias("_n"), F.max(quota).alias("_quota")
     )

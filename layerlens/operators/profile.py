@@ -166,7 +166,7 @@ def bigrams(df: DataFrame, keys: list[str], stop_words=STOP_WORDS) -> DataFrame:
 
     Pairs inside a row need no shuffle. For pairs across rows only the outer words of each
     row are moved: rows are compared inside id-range buckets, and a bucket's last row with
-    the head of the next filled bucket (at most 256 heads per key).
+    the head of the next filled bucket (one head per key and bucket).
     """
     kept = df.select(*keys, "id", kept_words(F.col("text"), stop_words).alias("kept"))
     pairs = F.greatest(F.size("kept") - 1, F.lit(0))
@@ -333,60 +333,74 @@ def box_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _scalar_figures() -> list[Column]:
+    lengths = [
+        f(c).alias(f"{f.__name__}_length_{unit}")
+        for c, unit in (("n_words", "words"), ("n_chars", "chars"))
+        for f in (F.avg, F.max, F.min)
+    ]
+    return [
+        F.count("*").alias("num_samples"),
+        F.countDistinct("label").alias("num_unique_labels"),
+        F.countDistinct("digest").alias("num_unique_sentences"),
+        *lengths,
+        F.stddev_samp("n_words").alias("std_length_words"),
+        F.percentile("n_words", F.array(*map(F.lit, QUARTERS))).alias("q"),
+    ]
+
+
 def profile_report(df: DataFrame, keys: list[str], stop_words=STOP_WORDS) -> DataFrame:
     """All profile figures as rows of (keys, section, key, value).
 
-    Scalar figures come from one pass over the texts, word figures from a second one.
+    The texts are read twice: for a stored table of their lengths and digests, which the
+    scalar and label figures come from, and for a stored table of word counts.
     """
-    rows = label_as_text(complete_rows(df))
-    measured = with_lengths(rows)
-    scalars = measured.groupBy(*keys).agg(
-        F.count("*").alias("num_samples"),
-        F.countDistinct("label").alias("num_unique_labels"),
-        F.countDistinct(F.sha2(F.col("text"), 256)).alias("num_unique_sentences"),
-        *[
-            f(c).alias(f"{f.__name__}_length_{unit}")
-            for c, unit in (("n_words", "words"), ("n_chars", "chars"))
-            for f in (F.avg, F.max, F.min)
-        ],
-        F.stddev_samp("n_words").alias("std_length_words"),
-        F.percentile("n_words", F.array(*map(F.lit, QUARTERS))).alias("_q"),
+    measures = with_lengths(label_as_text(df)).select(
+        *keys,
+        "label",
+        F.col("text").isNull().alias("no_text"),
+        "n_words",
+        "n_chars",
+        F.unhex(F.sha2(F.col("text"), 256)).alias("digest"),
+    )
+    measures = written(measures, "measures")
+    missing = measures.groupBy(*keys).agg(
+        F.count_if("no_text").alias("missing_text"),
+        F.count_if(F.col("label").isNull()).alias("missing_label"),
     )
+    complete = measures.filter(~F.col("no_text") & F.col("label").isNotNull())
+    scalars = complete.groupBy(*keys).agg(*_scalar_figures())
     scalars = scalars.select(
         "*",
-        F.col("_q")[0].alias("q25_words"),
-        F.col("_q")[1].alias("median_length_words"),
-        F.col("_q")[2].alias("q75_words"),
-    ).drop("_q")
+        F.col("q")[0].alias("q25_words"),
+        F.col("q")[1].alias("median_length_words"),
+        F.col("q")[2].alias("q75_words"),
+    ).drop("q")
+    counts = written(word_counts(complete_rows(df), keys), "words")
+    stop = is_stop_word(F.col("word"), stop_words)
+    stops = F.sum(F.when(stop, F.col("n")).otherwise(0))
+    vocab = counts.groupBy(*keys).agg(
+        F.count("*").alias("vocab_size"),
+        (stops / F.sum("n") * 100).alias("stop_words_percent"),
+    )
 
-    def tall(wide: DataFrame, section: str) -> DataFrame:
+    def tall(wide: DataFrame) -> DataFrame:
         values = [c for c in wide.columns if c not in keys]
         as_double = wide.select(*keys, *[F.col(c).cast("double").alias(c) for c in values])
         return as_double.unpivot(keys, values, "key", "value").select(
-            *keys, F.lit(section).alias("section"), "key", "value"
+            *keys, F.lit("basic").alias("section"), "key", "value"
         )
 
-    def listed(df: DataFrame, section: str, key: str, value: str) -> DataFrame:
-        return df.select(
-            *keys,
-            F.lit(section).alias("section"),
-            F.col(key).alias("key"),
-            F.col(value).cast("double").alias("value"),
-        )
+    def listed(rows: DataFrame, section: str, key: str, value: str) -> DataFrame:
+        value = F.col(value).cast("double").alias("value")
+        return rows.select(*keys, F.lit(section).alias("section"), F.col(key).alias("key"), value)
 
-    counts = word_counts(rows, keys)
-    stop = is_stop_word(F.col("word"), stop_words)
-    stops = F.sum(F.when(stop, F.col("n")).otherwise(0))
-    vocab = counts.groupBy(*keys).agg(
-        F.count("*").alias("vocab_size"),
-        (stops / F.sum("n") * 100).alias("stop_words_percent"),
-    )
     parts = [
-        tall(missing_counts(df, keys), "basic"),
-        tall(scalars, "basic"),
-        tall(vocab, "basic"),
-        listed(label_counts(rows, keys), "label_count", "label", "n"),
-        listed(label_shares(rows, keys), "label_percent", "label", "percent"),
+        tall(missing),
+        tall(scalars),
+        tall(vocab),
+        listed(label_counts(complete, keys), "label_count", "label", "n"),
+        listed(label_shares(complete, keys), "label_percent", "label", "percent"),
         listed(_top(counts.filter(~stop), keys, 20), "top_word", "word", "n"),
     ]
     return reduce(DataFrame.unionByName, parts)
