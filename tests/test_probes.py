@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,22 @@ def test_saved_probe_predicts_the_same(spark, two, probe):
     assert one == other and loaded.probe == probe
 
 
+def test_penalty_matches_a_direct_solution(two):
+    """Half the squared weights plus C times the summed loss, solved by Newton steps."""
+    rows = two.collect()
+    x = np.array([[*r.features, 1.0] for r in rows])
+    y = np.array([r.label for r in rows])
+    c, w = 0.05, np.zeros(4)
+    weight = np.diag([1.0, 1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = weight @ w + c * x.T @ (p - y)
+        w -= np.linalg.solve(weight + c * (x * (p * (1 - p))[:, None]).T @ x, slope)
+    model = probes.fit(two, "logistic-regression", {"C": c}).model.stages[-1]
+    assert model.coefficients.toArray() == pytest.approx(w[:3], abs=0.02)
+    assert model.intercept == pytest.approx(w[3], abs=0.02)
+
+
 def test_unknown_probe(two):
     with pytest.raises(ValueError):
         probes.fit(two, "perceptron", {})

