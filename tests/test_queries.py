@@ -29,7 +29,7 @@ def test_gives_rows(spark, con, name):
     assert rows
     if "y_pred" in rows[0].asDict() and "y_true" in rows[0].asDict():
         split = "substr(md5(concat(vec_id, '-7')), 1, 8) < '33333333'"
-        test_rows = con.sql(f"SELECT count(*) FROM embeddings WHERE {split}").fetchone()[0]
+        test_rows = con.sql(f"SELECT count(*) FROM embeddings WHERE {split}").fetchall()[0][0]
         assert len(rows) == test_rows == len({r.id for r in rows})
         assert {r.y_pred for r in rows} <= set(range(10))
 
