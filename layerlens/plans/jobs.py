@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
@@ -32,22 +32,32 @@ def extract_states(
     """
     tokens = df.select("id", truncate_pad(words(F.col("text")), length).alias("tokens"))
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                states = encoder([list(t) for t in part["tokens"]])
-                for layer in range(states.shape[1]):
-                    yield pd.DataFrame(
-                        {
-                            "id": part["id"].to_numpy(),
-                            "layer": layer,
-                            "states": [list(map(list, s)) for s in states[:, layer]],
-                        }
-                    )
-
-    return tokens.mapInPandas(encode, STATES)
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                part = whole.slice(start, batch)
+                states = encoder(part.column("tokens").to_pylist())
+                yield _state_rows(part.column("id").to_numpy(), states)
+
+    return tokens.mapInArrow(encode, STATES)
+
+
+def _state_rows(ids: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
+    """[batch, layer, position, dimension] as one row per text and layer, without copying
+    single numbers."""
+    texts, layers, positions, dims = states.shape
+    values = pa.array(np.ascontiguousarray(states, dtype=np.float64).reshape(-1))
+    vectors = pa.ListArray.from_arrays(
+        np.arange(0, len(values) + 1, dims, dtype=np.int32), values
+    )
+    rows = pa.ListArray.from_arrays(
+        np.arange(0, len(vectors) + 1, positions, dtype=np.int32), vectors
+    )
+    layer = np.tile(np.arange(layers, dtype=np.int32), texts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(ids, layers)), pa.array(layer), rows], ["id", "layer", "states"]
+    )
 
 
 def generate(

@@ -68,30 +68,36 @@ def lines(reader, folder: str) -> DataFrame:
     )
 
 
-def with_predictions(rows: DataFrame) -> DataFrame:
-    """Lines of files whose header names a `y_pred`, as `id` (if there) and `y_pred`."""
+def prediction_files(rows: DataFrame) -> DataFrame:
+    """The files whose header names a `y_pred`: path, has_id, stem and run key.
+
+    Names are parsed here, once per file and not per line.
+    """
     is_header = (F.col("first") == "y_pred") | (F.col("second") == "y_pred")
-    headers = rows.filter(is_header).groupBy("path").agg(
-        F.first(F.col("second") == "y_pred", ignorenulls=True).alias("has_id")
+    stem = file_stem(F.col("path"))
+    files = rows.filter(is_header).groupBy("path").agg(
+        F.bool_or(F.coalesce(F.col("second") == "y_pred", F.lit(False))).alias("has_id")
     )
-    has_id = F.coalesce("has_id", F.lit(False))
+    return files.withColumn("stem", stem).withColumn("key", parse_run(F.col("stem")))
+
+
+def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines of the given files with `id` (if there) and `y_pred` as numbers."""
+    y_pred = F.when(F.col("has_id"), F.col("second")).otherwise(F.col("first"))
     return (
-        rows.join(small_side(headers), "path")
-        .withColumn("id", F.when(has_id, F.col("first").try_cast("long")))
-        .withColumn(
-            "y_pred", F.when(has_id, F.col("second")).otherwise(F.col("first")).try_cast("int")
-        )
+        rows.join(small_side(files), "path")
+        .withColumn("id", F.when(F.col("has_id"), F.col("first").try_cast("long")))
+        .withColumn("y_pred", y_pred.try_cast("int"))
         .drop("first", "second", "has_id")
     )
 
 
-def with_run_key(rows: DataFrame) -> DataFrame:
+def runs(rows: DataFrame) -> DataFrame:
     """Keyed predictions with a row id; files whose name does not parse are skipped."""
-    key = parse_run(file_stem(F.col("path")))
+    files = prediction_files(rows).filter(F.col("key.layer").isNotNull())
+    files = files.select("path", "has_id", "key.*")
     return (
-        rows.select(key.alias("key"), "id", "y_pred")
-        .filter(F.col("key.layer").isNotNull() & F.col("y_pred").isNotNull())
-        .select("key.*", "id", "y_pred")
+        parsed(rows, files).filter(F.col("y_pred").isNotNull()).select(*RUN_KEY, "id", "y_pred")
     )
 
 
@@ -100,13 +106,16 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
 
     Files whose name does not parse are skipped, and so are files without predictions.
     """
-    return with_run_key(with_predictions(lines(spark.read, folder)))
+    return runs(lines(spark.read, folder))
 
 
 def read_prompt_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt predictions; the file's name is the prompt type."""
-    rows = with_predictions(lines(spark.read, folder)).filter(F.col("y_pred").isNotNull())
-    return rows.select(file_stem(F.col("path")).alias("prompt_type"), "id", "y_pred")
+    rows = lines(spark.read, folder)
+    files = prediction_files(rows).select("path", "has_id", F.col("stem").alias("prompt_type"))
+    return (
+        parsed(rows, files).filter(F.col("y_pred").isNotNull()).select("prompt_type", "id", "y_pred")
+    )
 
 
 def read_positional_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,10 +137,9 @@ def read_positional_runs(spark: SparkSession, folder: str) -> DataFrame:
     # The header line has position 0.
     position = F.col("line") - F.col("first_line") + F.col("before")
     placed = numbered.join(small_side(offsets), ["path", "start"]).withColumn("position", position)
-    key = parse_run(file_stem(F.col("path")))
+    files = prediction_files(placed).filter(F.col("key.layer").isNotNull())
     return (
-        with_predictions(placed)
-        .select(key.alias("key"), "position", "y_pred")
-        .filter(F.col("key.layer").isNotNull() & (F.col("position") > 0))
-        .select("key.*", "position", "y_pred")
+        parsed(placed, files.select("path", "has_id", "key.*"))
+        .filter(F.col("position") > 0)
+        .select(*RUN_KEY, "position", "y_pred")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from layerlens.operators.metrics import align, class_scores, confusion, scores
-from layerlens.sources.predictions import RUN_KEY, lines, with_predictions, with_run_key
+from layerlens.sources.predictions import RUN_KEY, lines, runs
 
 
 def score_new_files(
@@ -24,8 +24,7 @@ def score_new_files(
     """
 
     def save_counts(batch: DataFrame, batch_id: int) -> None:
-        preds = with_run_key(with_predictions(batch))
-        cells = confusion(align(preds, truth, ["id"]), list(RUN_KEY))
+        cells = confusion(align(runs(batch), truth, ["id"]), list(RUN_KEY))
         cells.write.mode("overwrite").parquet(f"{counts_folder}/batch={batch_id}")
 
     return (
