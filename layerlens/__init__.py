@@ -1 +1,8 @@
 """Studies labelled text and the vectors language models make from it, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -114,11 +114,20 @@ def label_shares(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def distinct_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct labels and texts. Texts are compared by digest, so only digests are moved."""
+def distinct_counts(
+    df: DataFrame, keys: list[str], relative_error: float | None = None
+) -> DataFrame:
+    """Distinct labels and texts. Texts are compared by digest, so only digests are moved.
+
+    With a `relative_error` the texts are estimated from a sketch and not moved at all.
+    """
+    digest = F.unhex(F.sha2(F.col("text"), 256))
+    if relative_error is None:
+        texts = F.countDistinct(digest)
+    else:
+        texts = F.approx_count_distinct(digest, relative_error)
     return df.groupBy(*keys).agg(
-        F.countDistinct("label").alias("num_unique_labels"),
-        F.countDistinct(F.sha2(F.col("text"), 256)).alias("num_unique_sentences"),
+        F.countDistinct("label").alias("num_unique_labels"), texts.alias("num_unique_sentences")
     )
 
 

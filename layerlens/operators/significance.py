@@ -12,23 +12,35 @@ from layerlens.functions.pvalues import normal_two_sided, student_two_sided
 from layerlens.operators.metrics import correctness
 
 
-def patterns(aligned: DataFrame, keys: list[str]) -> DataFrame:
-    """How many rows show each combination of (probe, correct), per key."""
-    answers = F.array_sort(F.collect_list(F.struct("probe", "correct")))  # one per probe
-    return (
-        correctness(aligned)
-        .groupBy(*keys, "id")
-        .agg(answers.alias("answers"))
-        .groupBy(*keys, "answers")
-        .agg(F.count("*").alias("n"))
+def patterns(aligned: DataFrame, keys: list[str], probes=None) -> DataFrame:
+    """How many rows show each combination of (probe, correct), per key.
+
+    With the `probes` named, a row's answers are plain columns, which Spark aggregates in
+    a hash table; without, they are gathered as a list (one entry per probe).
+    """
+    rows = correctness(aligned)
+    if probes is None:
+        answers = F.array_sort(F.collect_list(F.struct("probe", "correct")))
+        by_row = rows.groupBy(*keys, "id").agg(answers.alias("answers"))
+        return by_row.groupBy(*keys, "answers").agg(F.count("*").alias("n"))
+    names = sorted(probes)
+    columns = [f"_answer_{i}" for i in range(len(names))]
+    by_row = rows.groupBy(*keys, "id").agg(
+        *[F.max(F.when(F.col("probe") == p, F.col("correct"))).alias(c) for p, c in zip(names, columns)]
+    )
+    counts = by_row.groupBy(*keys, *columns).agg(F.count("*").alias("n"))
+    listed = F.array(
+        *[F.struct(F.lit(p).alias("probe"), F.col(c).alias("correct")) for p, c in zip(names, columns)]
     )
+    answered = F.filter(listed, lambda a: a["correct"].isNotNull())
+    return counts.select(*keys, answered.alias("answers"), "n")
 
 
-def pair_answers(aligned: DataFrame, keys: list[str]) -> DataFrame:
+def pair_answers(aligned: DataFrame, keys: list[str], probes=None) -> DataFrame:
     """Every unordered pair of probes with both answers and the rows that gave them."""
     later = F.filter(F.col("answers"), lambda a: a["probe"] > F.col("one.probe"))
     return (
-        patterns(aligned, keys)
+        patterns(aligned, keys, probes)
         .withColumn("one", F.explode("answers"))
         .withColumn("two", F.explode(later))
         .groupBy(
@@ -42,7 +54,7 @@ def pair_answers(aligned: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def discordance(aligned: DataFrame, keys: list[str]) -> DataFrame:
+def discordance(aligned: DataFrame, keys: list[str], probes=None) -> DataFrame:
     """Per probe pair: rows, rows only the first got right, rows only the second did."""
 
     def only(one: int, two: int):
@@ -50,7 +62,7 @@ def discordance(aligned: DataFrame, keys: list[str]) -> DataFrame:
         return F.sum(F.when(hit, F.col("n")).otherwise(0))
 
     return (
-        pair_answers(aligned, keys)
+        pair_answers(aligned, keys, probes)
         .groupBy(*keys, "probe_1", "probe_2")
         .agg(F.sum("n").alias("n"), only(1, 0).alias("b"), only(0, 1).alias("c"))
     )

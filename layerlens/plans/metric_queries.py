@@ -9,6 +9,7 @@ from layerlens.operators.metrics import METRICS
 from layerlens.operators.probes import best_of_trials
 from layerlens.plans.inputs import (
     KEYS,
+    PROBES,
     SQL_PREDICTIONS,
     SQL_PROMPT_PREDICTIONS,
     SQL_RESULTS,
@@ -36,19 +37,20 @@ def alignment(spark, sf):
 @query(
     "j1_alignment_by_position",
     f"""WITH {SQL_PREDICTIONS},
-    p AS (SELECT row_number() OVER (ORDER BY id) AS position, layer, pooling, probe, y_pred
-          FROM preds WHERE dataset = 'lang' AND layer = 0 AND pooling = 'mean' AND probe = 'knn'),
+    p AS (SELECT row_number() OVER (PARTITION BY layer, pooling, probe ORDER BY id) AS position,
+                 layer, pooling, probe, y_pred
+          FROM preds WHERE dataset = 'lang'),
     t AS (SELECT row_number() OVER (ORDER BY id) AS position, label AS y_true
           FROM truth WHERE dataset = 'quality')
     SELECT position, layer, pooling, probe, y_pred, y_true FROM p JOIN t USING (position)""",
 )
 def alignment_by_position(spark, sf):
-    """One run's predictions against a shorter truth table."""
-    run = (F.col("layer") == 0) & (F.col("pooling") == "mean") & (F.col("probe") == "knn")
-    preds = predictions(spark, sf).filter((F.col("dataset") == "lang") & run)
-    numbered = metrics.with_id_position(preds.drop("dataset"), "id").drop("id")
-    labels = truth(spark, sf).filter(F.col("dataset") == "quality").select("id", "label")
-    return metrics.align_by_position(numbered, labels).drop("id")
+    """Runs over all documents against a shorter truth table."""
+    of = lambda df, name: df.filter(F.col("dataset") == name).drop("dataset")
+    labels = truth(spark, sf)
+    numbered = metrics.with_id_position(of(labels, "lang").select("id"), "id")
+    preds = of(predictions(spark, sf), "lang").join(numbered, "id").drop("id")
+    return metrics.align_by_position(preds, of(labels, "quality")).drop("id")
 
 
 @query(
@@ -379,7 +381,7 @@ PAIR = "dataset, layer, pooling, probe_1, probe_2"
 
 
 def _pairs(spark, sf):
-    return significance.discordance(aligned(spark, sf), TEST_KEYS)
+    return significance.discordance(aligned(spark, sf), TEST_KEYS, PROBES)
 
 
 @query(
@@ -388,7 +390,7 @@ def _pairs(spark, sf):
     SELECT {PAIR}, correct_1, correct_2, count(*) AS n FROM pair_rows GROUP BY ALL""",
 )
 def probe_pairs(spark, sf):
-    return significance.pair_answers(aligned(spark, sf), TEST_KEYS)
+    return significance.pair_answers(aligned(spark, sf), TEST_KEYS, PROBES)
 
 
 @query("x1_discordance", f"WITH {SQL_PREDICTIONS}, {TESTS_SQL} SELECT {PAIR}, n, b, c FROM pairs")

@@ -101,8 +101,9 @@ def prompt_prediction_sink(spark, sf):
     return spark.read.parquet(folder)
 
 
-def _quality(df):
-    return df.filter(F.col("dataset") == "quality").drop("dataset")
+def _lang(df):
+    """One dataset's rows, as a folder of run files holds one dataset: all documents."""
+    return df.filter(F.col("dataset") == "lang").drop("dataset")
 
 
 def _run_name():
@@ -112,12 +113,12 @@ def _run_name():
 @query(
     "s8_prediction_source",
     f"""WITH {SQL_PREDICTIONS}
-    SELECT layer, pooling, probe, id, y_pred FROM preds WHERE dataset = 'quality'""",
+    SELECT layer, pooling, probe, id, y_pred FROM preds WHERE dataset = 'lang'""",
 )
 def prediction_source(spark, sf):
     """Run files written and read back by name; files with a malformed name are skipped."""
     folder = new_folder(spark, "runs")
-    preds = _quality(predictions(spark, sf))
+    preds = _lang(predictions(spark, sf))
     prediction_files.write_run_files(preds, folder, _run_name())
     nameless = F.concat(F.lit("layer_"), F.col("layer"), F.lit(".tsv"))
     prediction_files.write_run_files(preds, folder, nameless)
@@ -127,11 +128,11 @@ def prediction_source(spark, sf):
 @query(
     "s9_prompt_prediction_source",
     f"""WITH {SQL_PROMPT_PREDICTIONS}
-    SELECT prompt_type, id, y_pred FROM preds WHERE dataset = 'quality'""",
+    SELECT prompt_type, id, y_pred FROM preds WHERE dataset = 'lang'""",
 )
 def prompt_prediction_source(spark, sf):
     folder = new_folder(spark, "prompt-runs")
-    preds = _quality(prompt_predictions(spark, sf))
+    preds = _lang(prompt_predictions(spark, sf))
     prediction_files.write_run_files(preds, folder, F.concat("prompt_type", F.lit(".tsv")))
     return prediction_files.read_prompt_runs(spark, folder)
 
@@ -254,19 +255,19 @@ def resume_anti_join(spark, sf):
 
 @query(
     "v2_incremental_evaluation",
-    f"""WITH {SQL_PREDICTIONS}, {sql_scores("dataset, layer, pooling, probe", "binary")}
-    SELECT layer, pooling, probe, {", ".join(METRICS)} FROM scored WHERE dataset = 'quality'""",
+    f"""WITH {SQL_PREDICTIONS}, {sql_scores("dataset, layer, pooling, probe", "macro")}
+    SELECT layer, pooling, probe, {", ".join(METRICS)} FROM scored WHERE dataset = 'lang'""",
     RESULT_COLUMNS,
 )
 def incremental_evaluation(spark, sf):
     """Run files arrive in two deliveries; each is scored once, by a resumed stream."""
     root = new_folder(spark, "incremental")
-    preds = _quality(predictions(spark, sf))
-    labels = _quality(truth(spark, sf))
+    preds = _lang(predictions(spark, sf))
+    labels = _lang(truth(spark, sf))
     for first in (True, False):
         delivery = preds.filter((F.col("layer") == 0) == first)
         prediction_files.write_run_files(delivery, f"{root}/runs", _run_name())
         evaluation.score_new_files(
             spark, f"{root}/runs", labels, f"{root}/counts", f"{root}/checkpoint"
         ).awaitTermination()
-    return evaluation.scores_so_far(spark, f"{root}/counts")
+    return evaluation.scores_so_far(spark, f"{root}/counts", "macro")

@@ -93,3 +93,11 @@ def test_word_figures_cannot_overflow(spark):
     rows = [(big, "d", "bee ant", "x"), (big - 1, "d", "cow", "x"), (-big, "d", "dog", "x")]
     got = profile.top_words(spark.createDataFrame(rows, COLUMNS), ["dataset"]).orderBy("rank")
     assert [r.word for r in got.collect()] == ["dog", "cow", "bee", "ant"]
+
+
+def test_distinct_texts_exact_and_estimated(spark):
+    rows = [(i, "d", f"text {i % 500}", "x") for i in range(1500)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert profile.distinct_counts(df, ["dataset"]).first().num_unique_sentences == 500
+    estimate = profile.distinct_counts(df, ["dataset"], 0.02).first().num_unique_sentences
+    assert abs(estimate - 500) < 50

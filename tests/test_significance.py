@@ -45,9 +45,11 @@ def _differences(rows, one, two):
     return [right[one, i] - right[two, i] for i in sorted(ids)]
 
 
-def test_tests_match_general_formulas(spark):
+@pytest.mark.parametrize("probes", [None, "abc"])
+def test_tests_match_general_formulas(spark, probes):
     rows = _rows(1)
-    pairs = significance.discordance(spark.createDataFrame(rows, COLUMNS).repartition(4), ["layer"])
+    aligned = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    pairs = significance.discordance(aligned, ["layer"], probes)
     got = {(r.probe_1, r.probe_2): r for r in significance.test_table(pairs, ["layer"]).collect()}
     assert set(got) == set(combinations("abc", 2))
     for (one, two), row in got.items():
@@ -91,7 +93,8 @@ def test_equal_and_opposite_probes(spark):
     assert (row.t_stat, row.t_p_value) == (math.inf, 0)
 
 
-def test_only_common_rows_count(spark):
+@pytest.mark.parametrize("probes", [None, "ab"])
+def test_only_common_rows_count(spark, probes):
     rows = [(0, "a", i, 1, 1) for i in range(10)] + [(0, "b", i, 0, 1) for i in range(5, 20)]
-    row = significance.discordance(spark.createDataFrame(rows, COLUMNS), ["layer"]).first()
+    row = significance.discordance(spark.createDataFrame(rows, COLUMNS), ["layer"], probes).first()
     assert (row.n, row.b, row.c) == (5, 5, 0)
