@@ -54,30 +54,41 @@ for _name, (_probe, _params, _binary) in FITS.items():
         return _predicted(spark, sf, probe, params, binary)
 
 
-@query(
-    "m9_gaussian_naive_bayes",
-    f"""WITH {SQL_FEATURES},
+def _bayes_sql(features: str, train: str, test: str, columns: str) -> str:
+    """Class priors and normal densities with smoothed variances, written out."""
+    return f"""WITH {features},
     long AS (
       SELECT id, split, label, unnest(features) AS x, generate_subscripts(features, 1) AS dim
       FROM features),
     smoothing AS (
       SELECT 1e-9 * max(v) AS eps FROM (
-        SELECT var_pop(x) AS v FROM long WHERE split = 'train' GROUP BY dim)),
+        SELECT var_pop(x) AS v FROM long WHERE {train} GROUP BY dim)),
     model AS (
       SELECT label AS class, dim, avg(x) AS mean, var_pop(x) + any_value(eps) AS var
-      FROM long, smoothing WHERE split = 'train' GROUP BY label, dim),
+      FROM long, smoothing WHERE {train} GROUP BY label, dim),
     priors AS (
       SELECT label AS class, ln(count(*) / sum(count(*)) OVER ()) AS prior
-      FROM features WHERE split = 'train' GROUP BY label),
+      FROM features WHERE {train} GROUP BY label),
     score AS (
       SELECT id, label, class, any_value(prior) + sum(-0.5 * ln(2 * pi() * var)
              - 0.5 * (x - mean) * (x - mean) / var) AS s
       FROM long JOIN model USING (dim) JOIN priors USING (class)
-      WHERE split = 'test' GROUP BY id, label, class)
-    SELECT id, label AS y_true, max_by(class, s) AS y_pred FROM score GROUP BY id, label""",
+      WHERE {test} GROUP BY id, label, class),
+    predicted AS (
+      SELECT id, label AS y_true, max_by(class, s) AS y_pred FROM score GROUP BY id, label)
+    SELECT {columns} FROM predicted"""
+
+
+TRAIN_SQL, TEST_SQL = "split = 'train'", "split = 'test'"
+BAYES = "naive-bayes-gaussian"
+
+
+@query(
+    "m9_gaussian_naive_bayes",
+    _bayes_sql(SQL_FEATURES, TRAIN_SQL, TEST_SQL, "id, y_true, y_pred"),
 )
 def gaussian_naive_bayes(spark, sf):
-    return _predicted(spark, sf, "naive-bayes-gaussian", {})
+    return _predicted(spark, sf, BAYES, {})
 
 
 NEAREST_SQL = f"""{SQL_FEATURES},
@@ -136,18 +147,22 @@ def hyperparameter_search(spark, sf):
     return probes.trial_table(spark, trials).withColumn("params", F.to_json("params"))
 
 
-@query("m13_refit_and_predict")
+@query(
+    "m13_refit_and_predict",
+    _bayes_sql(SQL_FEATURES, TRAIN_SQL, TEST_SQL, "id, y_true, y_pred"),
+)
 def refit_and_predict(spark, sf):
+    """Trials see four fifths of the training rows, the refitted model all of them."""
     train, test = _parts(features(spark, sf))
-    fitted, _ = probes.search_and_refit(train, "decision-tree", trials=2, seed=SEED)
+    fitted, _ = probes.search_and_refit(train, BAYES, trials=2, seed=SEED)
     return metrics.align(fitted.predict(test), test.select("id", "label"), ["id"])
 
 
-@query("m14_saved_model")
+@query("m14_saved_model", _bayes_sql(SQL_FEATURES, TRAIN_SQL, TEST_SQL, "id, y_pred"))
 def saved_model(spark, sf):
     train, test = _parts(features(spark, sf))
     folder = new_folder(spark, "probe")
-    probes.fit(train, "logistic-regression", {"C": 1.0}, SEED).save(folder, spark)
+    probes.fit(train, BAYES, {}, SEED).save(folder, spark)
     return probes.FittedProbe.load(folder, spark).predict(test)
 
 
@@ -179,7 +194,7 @@ def grid_run(spark, sf):
         (layer, method, probe)
         for layer in (0, 1)
         for method in ("mean", "max")
-        for probe in ("naive-bayes-gaussian", "knn")
+        for probe in (BAYES, "knn")
     ]
     done = probes.run_grid(stored, cells, f"{folder}/predictions", trials=1, seed=SEED)
     return done.withColumn("params", F.to_json("params"))
@@ -188,11 +203,26 @@ def grid_run(spark, sf):
 def _saved_sequence_probe(spark, sf):
     train = _sequence_features(spark, sf, ["mean"]).filter(F.col("layer") == 0)
     folder = new_folder(spark, "probe")
-    probes.fit(train, "naive-bayes-gaussian", {}, SEED).save(folder, spark)
+    probes.fit(train, BAYES, {}, SEED).save(folder, spark)
     return probes.FittedProbe.load(folder, spark)
 
 
-@query("m16_saved_model_scoring")
+SEQUENCE_SQL = f"""long_sequences AS (
+  SELECT vec_id // {SEQUENCE} AS id, generate_subscripts(embedding, 1) AS dim,
+         unnest(embedding)::DOUBLE AS x
+  FROM embeddings),
+firsts AS (
+  SELECT vec_id // {SEQUENCE} AS id, (label >= 5)::INTEGER AS label
+  FROM embeddings WHERE vec_id % {SEQUENCE} = 0),
+features AS (
+  SELECT id, 'all' AS split, any_value(label) AS label, list(mean ORDER BY dim) AS features
+  FROM (SELECT id, dim, avg(x) AS mean FROM long_sequences GROUP BY id, dim) JOIN firsts USING (id)
+  GROUP BY id)"""
+
+
+@query(
+    "m16_saved_model_scoring", _bayes_sql(SEQUENCE_SQL, "true", "true", "id, y_pred")
+)
 def saved_model_scoring(spark, sf):
     states = pooling.layer(token_states(spark, sf), 0)
     return probes.score_states(states, "mean", _saved_sequence_probe(spark, sf))
