@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 MAX_SMALL_ROWS = 10_000
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """A narrow table for the small side of a join.
 
-    Up to `max_rows` rows it is read once and handed to every task. A longer table is
+    Up to MAX_SMALL_ROWS rows it is read once and handed to every task. A longer table is
     returned as it is, so Spark plans an ordinary shuffled join.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(MAX_SMALL_ROWS + 1).collect()
+    if len(rows) > MAX_SMALL_ROWS:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -20,6 +20,7 @@ from layerlens.functions.draws import draw
 MAX_PIVOTS = 256
 MAX_PIVOT_NUMBERS = 4_000_000  # 32 MB of doubles
 CHUNK_ROWS = 2048
+PIECE_NUMBERS = 1_000_000
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -31,6 +32,15 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _gaps(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Distances of a batch to all pivots, a bounded piece at a time."""
+    step = max(1, PIECE_NUMBERS // pivots.shape[1])
+    starts = range(0, len(vectors), step)
+    return np.concatenate(
+        [_distances(_matrix(vectors.iloc[i : i + step]), pivots) for i in starts]
+    )
+
+
 def _pivots(train: DataFrame, rows: int, seed: int) -> np.ndarray:
     dims = train.select(F.size("features")).first()[0]
     limit = min(MAX_PIVOTS, max(1, MAX_PIVOT_NUMBERS // dims), max(1, math.isqrt(rows)))
@@ -42,7 +52,7 @@ def _assign(pivots: np.ndarray):
     @F.pandas_udf("cell int, gap double")
     def nearest_pivot(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
-            gaps = _distances(_matrix(vectors), pivots)
+            gaps = _gaps(vectors, pivots)
             cell = gaps.argmin(axis=1)
             yield pd.DataFrame({"cell": cell, "gap": gaps[np.arange(len(cell)), cell]})
 
@@ -57,7 +67,7 @@ def _route(pivots: np.ndarray, cells: list, k: int):
     @F.pandas_udf("array<int>")
     def cells_to_visit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            gaps = _distances(_matrix(vectors), pivots[index])
+            gaps = _gaps(vectors, pivots[index])
             farthest = gaps + radius
             order = np.argsort(farthest, axis=1)
             enough = np.cumsum(rows[order], axis=1) >= min(k, rows.sum())

@@ -70,13 +70,17 @@ class RandomFourierFeatures(
         def waves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             directions = None
             for vectors in batches:
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-                if directions is None:
-                    rng = np.random.default_rng(seed)
-                    directions = rng.normal(scale=math.sqrt(2 * gamma), size=(x.shape[1], width))
-                    phases = rng.uniform(0, 2 * math.pi, width)
-                out = math.sqrt(2 / width) * np.cos(x @ directions + phases)
-                yield pd.Series(list(out))
+                out = []
+                for start in range(0, len(vectors), 1024):
+                    x = np.stack(vectors.iloc[start : start + 1024].to_list()).astype(np.float64)
+                    if directions is None:
+                        rng = np.random.default_rng(seed)
+                        directions = rng.normal(
+                            scale=math.sqrt(2 * gamma), size=(x.shape[1], width)
+                        )
+                        phases = rng.uniform(0, 2 * math.pi, width)
+                    out.extend(math.sqrt(2 / width) * np.cos(x @ directions + phases))
+                yield pd.Series(out)
 
         mapped = waves(vector_to_array(F.col(self.getInputCol())))
         return df.withColumn(self.getOutputCol(), array_to_vector(mapped))
@@ -175,7 +179,7 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
         return OneVsRest(classifier=classifier, parallelism=4, **columns)
 
     def penalty() -> float:
-        # The reference weighs the sum of losses by C, MLlib the mean by 1 / regParam.
+        # C weighs the summed loss against the penalty; MLlib weighs the penalty against the mean.
         return 1.0 / (params["C"] * table.rows)
 
     def svm(features: str):

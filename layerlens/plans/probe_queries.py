@@ -128,10 +128,11 @@ def nearest_neighbour_vote(spark, sf):
 
 @query("m11_frozen_comparison")
 def frozen_comparison(spark, sf):
-    """One trial per classifier, with fewer boosting rounds than a real search draws."""
+    """One trial per classifier, with fewer rounds than a real search draws."""
     train, test = _parts(two_classes(features(spark, sf)))
     spaces = {
         **probes.FROZEN_SPACES,
+        "mlp": lambda rng, f: {"hidden_layer_sizes": (50,), "max_iter": 50},
         "lightgbm": lambda rng, f: {"num_leaves": 31, "learning_rate": 0.3, "n_estimators": 5},
     }
     winner, preds, _ = probes.compare_frozen(train, test, trials=1, seed=SEED, spaces=spaces)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from layerlens.functions import ordering, sizing
 from layerlens.functions.ordering import with_draw_position, with_id_position
 from layerlens.operators import reduction
 
@@ -77,6 +78,24 @@ def test_bounded_reduction_positions_and_mean(spark):
     assert sum(r.n_words for r in out) / len(out) <= 8.0
 
 
+def test_same_rows_without_small_tables(spark, monkeypatch):
+    """Joins fall back to shuffles where a side is not small."""
+    monkeypatch.setattr(sizing, "MAX_SMALL_ROWS", 0)
+    rows = _rows(1)
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {r.id for r in reduction.bounded_reduction(df, 100, 8.0).select("id").collect()}
+    assert got == _reduce(rows, 100, 8.0)
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 1)
+    rows = _rows(2)
+    df = spark.createDataFrame(rows, COLUMNS)
+    out = reduction.bounded_reduction(df, 333, 5.0).collect()
+    assert {r.id for r in out} == _reduce(rows, 333, 5.0)
+    assert [r.id for r in sorted(out, key=lambda r: r.position)] == sorted((r.id for r in out), key=_draw)
+
+
 def test_quotas_sum_to_total(spark):
     rows = _rows(6)
     df = spark.createDataFrame(rows, COLUMNS)

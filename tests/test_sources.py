@@ -1,15 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from layerlens.functions import sizing
 from layerlens.operators.metrics import align_by_position
 from layerlens.session import new_folder
 from layerlens.sources import experiments, labelled, predictions, results
 
 
-def _local(folder):
-    return folder.removeprefix("file:")
-
-
 def test_csv_columns_by_name_quotes_and_missing(spark, tmp_path):
     (tmp_path / "d_train.csv").write_text(
         'label,other,text\n1,x,"He said ""hi"",\nand left"\n0,x,\n1,x,NA\n,x,plain\n'
@@ -78,6 +75,11 @@ def test_files_without_predictions_are_skipped(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(0, "mean", "knn", 5, 1), (0, "mean", "knn", 6, 0)]
 
 
+def test_many_files_fall_back_to_a_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sizing, "MAX_SMALL_ROWS", 0)
+    test_files_without_predictions_are_skipped(spark, tmp_path)
+
+
 def test_positions_over_split_files(spark, tmp_path):
     """Positions hold when a file is read by many tasks, up to the shorter length."""
     for layer, n in ((0, 3000), (1, 40)):
