@@ -159,6 +159,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty text; a text that loses all its lines stays as an empty one.
     """
     name, own, keys = fresh(docs, "lines", "own", "keys")
+    columns = docs.columns
     lost = repeated_keys(docs, doc_id, text, min_points, min_documents, batches, fanout)
     lost = lost.select(F.col("doc_id").alias(own), F.col("keys").alias(keys))
     joined = docs.join(
@@ -178,8 +179,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         )
         texts = pa.array([d[0] for d in done], batch.column(text).type)
         yield pa.RecordBatch.from_arrays(
-            [*[texts if c == text else batch.column(c) for c in docs.columns], found],
-            names=[*docs.columns, name],
+            [*[texts if c == text else batch.column(c) for c in columns], found],
+            names=[*columns, name],
         )
 
     return map_arrow(joined, run, schema), name
