@@ -6,9 +6,9 @@ have signatures as good as long ones. Bands of the signature name buckets. A buc
 only edges from its members to one centre, a star, so a bucket of n sets makes n - 1 candidates
 and never all pairs. Candidates are confirmed on the full sets.
 
-A star misses a pair whose centre resembles only one of the two. So the buckets that still mix
-components are dealt again, split by a second band and with other centres, until a round finds
-no link, `MAX_ROUNDS` at most.
+A star misses a pair whose centre resembles only one of the two. So the sets in buckets that
+still mix components are dealt again, into buckets split by two further bands and with other
+centres, until two rounds in a row find no link, `MAX_ROUNDS` at most.
 
 Equal sets are one node throughout; the copies join it again at the end.
 """
@@ -29,7 +29,8 @@ PERCENT = 80
 ROWS = 4
 BANDS = 24
 BINS = ROWS * BANDS
-MAX_ROUNDS = 6
+MAX_ROUNDS = 5
+TURNS = 4
 
 _random = np.random.default_rng(5)
 #: For every bin, the place of each other bin in its order of borrowing.
@@ -114,16 +115,31 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
-def candidates(live: DataFrame, roots: DataFrame | None, round_: int, percent: int) -> DataFrame:
-    """Edges (a, b) from the members of each bucket to its centre, across components only."""
-    rows = live.select("band", "key", "other", "id", "n")
-    if roots is None:
-        rows = rows.withColumn("root", F.col("id"))
+def tables(nodes: DataFrame, round_: int) -> DataFrame:
+    """(band, key, id, n): the buckets of a round.
+
+    The first round has one bucket per band. The later ones split the buckets of a band by two
+    other bands, TURNS times in other ways each round, so that buckets hold few and close sets.
+    """
+    if round_ == 0:
+        keys = F.col("bands")
     else:
-        rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "id"))
-        rows = rows.withColumn("key", F.xxhash64("key", "other"))
-    draw = F.xxhash64("id", F.lit(round_), *([] if roots is None else ["band"]))
+        def turned(by):
+            def key(x, i):
+                return F.xxhash64(x, F.element_at("bands", (i + by) % BANDS + 1), F.element_at("bands", (i + 2 * by + 1) % BANDS + 1))
+
+            return F.transform("bands", key)
+
+        keys = F.concat(*[turned(1 + (round_ - 1) * TURNS + t) for t in range(TURNS)])
+    return nodes.select("id", "n", F.posexplode(keys).alias("band", "key"))
+
+
+def candidates(rows: DataFrame, roots: DataFrame | None, round_: int, percent: int) -> DataFrame:
+    """Edges (a, b) from the members of each bucket to its centre, across components only."""
+    rows = _rooted(rows, roots)
+    # At first the same sets are centres in most of their buckets, which saves edges; later
+    # every bucket draws its own.
+    draw = F.xxhash64("id", F.lit(round_), *(["band"] if round_ else []))
     centres = rows.groupBy("band", "key").agg(
         F.min(F.struct(draw, F.col("id"), F.col("n"), F.col("root"))).alias("c"),
         F.min("root").alias("low"), F.max("root").alias("high"),
@@ -134,10 +150,20 @@ def candidates(live: DataFrame, roots: DataFrame | None, round_: int, percent: i
     return stars.select(F.col("id").alias("a"), "b").distinct()
 
 
-def _live(bands: DataFrame) -> DataFrame:
-    """The rows of buckets with two members or more."""
-    many = bands.groupBy("band", "key").agg(F.min("id").alias("x"), F.max("id").alias("y"))
-    return bands.join(many.where("x < y").select("band", "key"), ["band", "key"], "left_semi")
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
+    rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    return rows.withColumn("root", F.coalesce("root", "id"))
+
+
+def _mixed(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The nodes in any bucket of the first round that still mixes components."""
+    rows = _rooted(tables(nodes, 0), roots)
+    many = rows.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    many = many.where("low < high").select("band", "key")
+    ids = rows.join(many, ["band", "key"], "left_semi").select("id").distinct()
+    return nodes.join(ids, "id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -153,17 +179,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     # One row per class: the set of its least document.
     nodes = sets.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    other = F.element_at("bands", (F.col("pos") + 1) % BANDS + 1)
-    bands = nodes.select("id", "n", "bands", F.posexplode("bands").alias("pos", "key"))
-    live = written(_live(bands.select(F.col("pos").alias("band"), "key", other.alias("other"), "id", "n")), "live")
-    links = roots = None
+    members = nodes.select("id", "members")
+    dealt = written(nodes.select("id", "n", "bands"), "nodes")
+    roots, idle = None, 0
     for round_ in range(max_rounds):
-        edges = candidates(live, roots, round_, percent)
-        found = written(confirmed(written(edges, "edges"), nodes.select("id", "members"), percent), "found")
+        if round_ == 1:
+            dealt = written(_mixed(dealt, roots), "mixed")
+        edges = written(candidates(tables(dealt, round_), roots, round_, percent), "edges")
+        found = written(confirmed(edges, members, percent), "found")
         if found.isEmpty():
-            break
-        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else None
-        links = found if stars is None else found.unionAll(stars)
+            idle += 1
+            if idle == 2 or edges.isEmpty():
+                break
+            continue
+        idle = 0
+        links = found
+        if roots is not None:
+            links = found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(links)
     out = sets.select("id", "n", "digest").join(classes, "digest", "left")
     if roots is not None:
