@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from layerlens.functions.draws import is_validation
 from layerlens.operators import metrics, neighbours
 from layerlens.operators.pooling import pool, standardise
+from layerlens.session import new_folder
 
 log = logging.getLogger(__name__)
 
@@ -187,7 +188,7 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
         return LinearSVC(
             **{**columns, "featuresCol": features},
             regParam=penalty(),
-            maxIter=100,  # quasi-Newton steps, each a pass over all rows
+            maxIter=1000,  # quasi-Newton steps, each a pass over all rows
             tol=tolerance,
             standardization=False,
         )
@@ -261,6 +262,11 @@ def as_vectors(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Their fitted models hold a training summary and with it the session, which cannot be sent to
+#: executors once the session has observed metrics. Stored and loaded, a model has none.
+WITH_SUMMARY = frozenset(("logistic-regression", "linear-svm", "non-linear-svm"))
+
+
 @dataclass
 class FittedProbe:
     """A trained probe; nearest neighbours keep their training table."""
@@ -301,7 +307,12 @@ def fit(
     if probe == "knn":
         return FittedProbe(probe, params, train=train.select("id", "features", "label"))
     pipeline = estimator(probe, params, table or facts(train), seed)
-    return FittedProbe(probe, params, model=pipeline.fit(as_vectors(train)))
+    model = pipeline.fit(as_vectors(train))
+    if probe in WITH_SUMMARY:
+        folder = new_folder(train.sparkSession, "model")
+        model.write().save(folder)
+        model = PipelineModel.load(folder)
+    return FittedProbe(probe, params, model=model)
 
 
 def _in_threads(spark: SparkSession, work, items: list, parallelism: int) -> list:

@@ -74,9 +74,15 @@ def _prefix_plan(lengths: DataFrame, quotas: DataFrame, max_mean: float) -> Data
         "sum", F.coalesce(F.sum(F.col("n") * size).over(shorter), F.lit(0.0))
     )
     spare = F.lit(float(max_mean)) * F.col("rows") - F.col("sum")
-    by_mean = F.when(size <= max_mean, F.col("n")).otherwise(
-        F.floor(F.try_divide(spare, size - F.lit(float(max_mean))))
-    )
+    limit = F.lit(float(max_mean))
+    about = F.floor(F.try_divide(spare, size - limit))
+
+    def fits(m):
+        return F.try_divide(F.col("sum") + m * size, F.col("rows") + m) <= limit
+
+    # The quotient can be off by one where the mean meets the limit exactly.
+    exact = F.when((about >= 0) & fits(about + 1), about + 1).when((about > 0) & ~fits(about), about - 1).otherwise(about)
+    by_mean = F.when(size <= max_mean, F.col("n")).otherwise(exact)
     kept = F.least(F.col("n"), by_mean, F.col("quota") - F.col("rows"))
     return (
         before.join(quotas.select("label", "quota"), "label")

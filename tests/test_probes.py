@@ -146,3 +146,10 @@ def test_scoring_run_counts_rows(two):
     assert row.rows_per_second == pytest.approx(160 / row.seconds)
     empty = jobs.scoring_run(two.filter("id < 0")).first()
     assert empty.rows == 0 and empty.seconds_per_row != empty.seconds_per_row
+
+
+@pytest.mark.parametrize("probe", ["logistic-regression", "linear-svm", "non-linear-svm"])
+def test_fits_after_a_scoring_run(two, probe):
+    jobs.scoring_run(two)
+    params = {"C": 1.0, "kernel": "linear"}
+    assert probes.fit(two, probe, params).predict(two).count() == two.count()

@@ -138,3 +138,26 @@ def test_seed_changes_the_sample(spark):
     df = spark.createDataFrame(_rows(8), COLUMNS)
     picks = [{r.id for r in reduction.random_quota(df, 60, s).select(F.col("id")).collect()} for s in (1, 2)]
     assert picks[0] != picks[1]
+
+
+def test_cut_where_the_mean_meets_a_fractional_limit(spark):
+    """Every label is a case of its own, compared with the running mean row by row."""
+    draw, limit, rows, want = random.Random(12), 12.2, [], {}
+    cases = [[1, 3, 9, 16, 32, 40]] + [[draw.randint(1, 60) for _ in range(10)] for _ in range(60)]
+    for label, sizes in enumerate(cases):
+        words = kept = 0
+        for size in sorted(sizes):
+            if (words + size) / (kept + 1) > limit:
+                break
+            words, kept = words + size, kept + 1
+        want[label] = kept
+        rows += [(100 * label + i, label, size) for i, size in enumerate(sizes)]
+    assert want[0] == 5
+    lengths = spark.createDataFrame(rows, "id long, label int, n_words int")
+    quotas = spark.createDataFrame([(x, 100) for x in want], "label int, quota long")
+    freq = lengths.groupBy("label", "n_words").count()
+    plan = {r.label: (r.limit_len, r.rest) for r in reduction._prefix_plan(lengths, quotas, limit).collect()}
+    count = {(r.label, r.n_words): r["count"] for r in freq.collect()}
+    for label, kept in want.items():
+        limit_len, rest = plan.get(label, (0, 0))
+        assert sum(n for (x, size), n in count.items() if x == label and size < limit_len) + rest == kept
