@@ -117,13 +117,44 @@ class Vocabulary:
         return np.array(out, "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return joined(self.tokens, ids)
+
+
+def joined(tokens: dict[int, bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    """The tokens and ranks in a rank file's bytes."""
+    pairs = (line.split() for line in raw.splitlines() if line.strip())
+    return {base64.b64decode(t): int(r) for t, r in pairs}
 
 
 def vocabulary(raw: bytes, pattern: str) -> Vocabulary:
     """The vocabulary of a rank file's bytes."""
-    pairs = (line.split() for line in raw.splitlines() if line.strip())
-    return Vocabulary({base64.b64decode(t): int(r) for t, r in pairs}, pattern)
+    return Vocabulary(ranks_of(raw), pattern)
+
+
+def _sent(df: DataFrame, path: str, **more):
+    """The rank file at `path`, read by the driver and sent to the executors."""
+    with open(path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast({"raw": file.read(), **more})
+
+
+def _vocabulary_of(sent) -> Vocabulary:
+    """Built once per worker process, which keeps the broadcast value between its tasks."""
+    held = sent.value
+    if "vocabulary" not in held:
+        held["vocabulary"] = vocabulary(held["raw"], held["pattern"])
+    return held["vocabulary"]
+
+
+def _tokens_of(sent) -> dict[int, bytes]:
+    """The tokens by id, built once per worker process; decoding needs no automaton."""
+    held = sent.value
+    if "tokens" not in held:
+        held["tokens"] = {rank: token for token, rank in ranks_of(held["raw"]).items()}
+    return held["tokens"]
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -142,12 +173,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> tupl
     """
     (name,) = fresh(docs, "encoded")
     columns = docs.columns
-    with open(path, "rb") as file:
-        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    sent = _sent(docs, path, pattern=pattern)
     kind = StructType([StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
 
     def run(batches):
-        words = vocabulary(sent.value, pattern)
+        words = _vocabulary_of(sent)
         for part in parts_of(batches):
             ids = [words.encode(t or "") for t in part.column(text).to_pylist()]
             found = pa.StructArray.from_arrays(
@@ -163,13 +193,12 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> tuple[
     """All columns and the bytes that the ids stand for, under the returned name."""
     (name,) = fresh(rows, "decoded")
     columns = rows.columns
-    with open(path, "rb") as file:
-        sent = rows.sparkSession.sparkContext.broadcast(file.read())
+    sent = _sent(rows, path)
 
     def run(batches):
-        words = vocabulary(sent.value, pattern)
+        tokens = _tokens_of(sent)
         for part in parts_of(batches):
-            raw = [words.decode(np.frombuffer(i or b"", "<u4")) for i in part.column(ids).to_pylist()]
+            raw = [joined(tokens, np.frombuffer(i or b"", "<u4")) for i in part.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*columns, name])
 
     return rows.mapInArrow(run, with_field(rows.schema, name, BinaryType())), name
