@@ -1,6 +1,7 @@
 """Probe classifiers over pooled features, with search, refit, saving and scoring.
 
-Feature tables have `id`, `features array<double>` and `label int`, labels 0..k-1.
+Feature tables have `id`, `features array<double>` and `label`; any integers will do, as a fit
+numbers the distinct labels and gives them back in its predictions.
 Training is MLlib's, which keeps the rows on the executors; only coefficients, trees and
 per-dimension statistics reach the driver.
 """
@@ -93,21 +94,25 @@ class TableFacts:
     """What estimators need to know about a training table."""
 
     rows: int
-    classes: int
+    labels: tuple[int, ...]  # distinct, in order
     dims: int
     variance: float  # over all entries of the feature matrix
 
+    @property
+    def classes(self) -> int:
+        return len(self.labels)
+
 
 def facts(train: DataFrame) -> TableFacts:
-    """One pass; the result is one row with two numbers per dimension."""
+    """One pass; the result is one row with two numbers per dimension and the classes."""
     vector = array_to_vector(F.col("features"))
     row = train.agg(
         Summarizer.metrics("count", "mean", "variance").summary(vector).alias("s"),
-        (F.max("label") + 1).alias("classes"),
+        F.sort_array(F.collect_set("label")).alias("labels"),
     ).first()
     n, means, spread = row.s["count"], row.s["mean"].toArray(), row.s["variance"].toArray()
     variance = float((spread * (n - 1) / n).mean() + means.var())
-    return TableFacts(n, row.classes, len(means), variance)
+    return TableFacts(n, tuple(row.labels), len(means), variance)
 
 
 def _log_uniform(rng: random.Random, low: float, high: float) -> float:
@@ -254,11 +259,12 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
     return Pipeline(stages=stages)
 
 
-def as_vectors(df: DataFrame) -> DataFrame:
-    """MLlib columns next to the arrays."""
+def as_vectors(df: DataFrame, labels: tuple[int, ...] | None = None) -> DataFrame:
+    """MLlib columns next to the arrays; with the labels, each one's place among them too."""
     df = df.withColumn("vector", array_to_vector(F.col("features")))
-    if "label" in df.columns:
-        df = df.withColumn("target", F.col("label").cast("double"))
+    if labels is not None:
+        place = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
+        df = df.withColumn("target", (F.when(place > 0, place) - 1).cast("double"))
     return df
 
 
@@ -275,16 +281,19 @@ class FittedProbe:
     params: dict
     model: PipelineModel | None = None
     train: DataFrame | None = field(default=None, repr=False)
+    labels: list[int] = field(default_factory=list)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, y_pred) for every row."""
         if self.model is None:
             return neighbours.classify(self.train, df, self.params["n_neighbors"])
         scored = self.model.transform(as_vectors(df))
-        return scored.select("id", F.col("prediction").cast("int").alias("y_pred"))
+        # A model keeps room for two classes even where it saw one.
+        label = F.try_element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)
+        return scored.select("id", label.alias("y_pred"))
 
     def save(self, folder: str, spark: SparkSession) -> None:
-        about = json.dumps({"probe": self.probe, "params": self.params})
+        about = json.dumps({"probe": self.probe, "params": self.params, "labels": self.labels})
         spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{folder}/about")
@@ -306,13 +315,13 @@ def fit(
 ) -> FittedProbe:
     if probe == "knn":
         return FittedProbe(probe, params, train=train.select("id", "features", "label"))
-    pipeline = estimator(probe, params, table or facts(train), seed)
-    model = pipeline.fit(as_vectors(train))
+    table = table or facts(train)
+    model = estimator(probe, params, table, seed).fit(as_vectors(train, table.labels))
     if probe in WITH_SUMMARY:
         folder = new_folder(train.sparkSession, "model")
         model.write().save(folder)
         model = PipelineModel.load(folder)
-    return FittedProbe(probe, params, model=model)
+    return FittedProbe(probe, params, model=model, labels=list(table.labels))
 
 
 def _in_threads(spark: SparkSession, work, items: list, parallelism: int) -> list:

@@ -85,7 +85,8 @@ def head_rows(spark, sf):
 def prediction_sink(spark, sf):
     folder = new_folder(spark, "predictions")
     rows = predictions(spark, sf).withColumn("model", F.lit("rules"))
-    prediction_files.write_predictions(rows, folder)
+    for _ in range(2):  # a run written again replaces itself
+        prediction_files.write_predictions(rows, folder)
     return spark.read.parquet(folder)
 
 
@@ -97,7 +98,7 @@ def prediction_sink(spark, sf):
 def prompt_prediction_sink(spark, sf):
     folder = new_folder(spark, "prompt-predictions")
     rows = prompt_predictions(spark, sf).withColumn("model", F.lit("rules"))
-    prediction_files.write_predictions(rows, folder)
+    prediction_files.write_predictions(rows, folder, ("dataset", "model", "prompt_type"))
     return spark.read.parquet(folder)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from layerlens.functions.text import text_or_nan
+from layerlens.session import written
 
 # The languages a multilingual dataset has, one folder each.
 LANGUAGES = (
@@ -61,6 +62,19 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.withColumn("text", text_or_nan(F.col("text")))
 
 
+def whole_number(value: Column) -> Column:
+    """`1` and `1.0` as an integer; null for anything else."""
+    number = value.try_cast("double")
+    return F.coalesce(value.try_cast("int"), F.when(number == F.floor(number), number.try_cast("int")))
+
+
+def label_of(value: Column) -> Column:
+    """The integer label; null where it is missing, an error where it is no whole number."""
+    missing = value.isNull() | (F.trim(value) == "") | F.trim(value).isin(*MISSING_TEXTS)
+    problem = F.raise_error(F.concat(F.lit("Label is not a whole number: "), value)).cast("int")
+    return F.when(~missing, F.coalesce(whole_number(value), problem))
+
+
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """One CSV split, columns found by name; missing texts and labels are null.
 
@@ -69,13 +83,15 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     """
     df = normalise_columns(spark.read.options(**CSV_OPTIONS).csv(path))
     text = F.when(~F.col("text").isin(*MISSING_TEXTS), F.col("text"))
-    return df.withColumn("text", text).withColumn("label", F.col("label").try_cast("int"))
+    return df.withColumn("text", text).withColumn("label", label_of(F.col("label")))
 
 
 def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """Train and test split of a dataset, with `split`, and `lang` for a language dataset.
 
-    `multilingual` reads every language; a language's name reads that folder only.
+    `multilingual` reads every language; a language's name reads that folder only. Files
+    without an `id` get one by line order, unique over all splits; the numbered table is stored,
+    so that every later step sees the same numbers.
     """
     languages = LANGUAGES if dataset == "multilingual" else (dataset,)
     parts = []
@@ -86,9 +102,14 @@ def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:
         for split in ("train", "test"):
             part = read_split(spark, f"{base}_{split}.csv").withColumn("split", F.lit(split))
             parts.append(part.withColumn("lang", F.lit(name if name in LANGUAGES else None)))
+    numbered = all("id" in part.columns for part in parts)
+    if not numbered:
+        parts = [part.drop("id") for part in parts]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
+    if not numbered:
+        whole = written(whole.withColumn("id", F.monotonically_increasing_id()), "dataset")
     return labelled(whole)
 
 

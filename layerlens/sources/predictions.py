@@ -6,10 +6,11 @@ folder of that name holding part files, which is how Spark writes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window as W, functions as F
 
 from layerlens.functions.sizing import small_side
 from layerlens.session import written
+from layerlens.sources.labelled import whole_number
 
 RUN_KEY = ("layer", "pooling", "probe")
 
@@ -19,20 +20,26 @@ def run_file(layer: Column, pooling: Column, probe: Column) -> Column:
     return F.concat(name, F.lit(".tsv"))
 
 
-def write_predictions(df: DataFrame, folder: str, by=("dataset", "model")) -> None:
-    """Adds predictions to a long table with explicit keys.
+def write_predictions(df: DataFrame, folder: str, by=("dataset", "model", *RUN_KEY)) -> None:
+    """Puts predictions into a long table with explicit keys; a run written again replaces itself.
 
     Rebalancing keeps the files few per key and splits a key that holds many rows.
     """
-    df.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(folder)
+    _replacing(df.hint("rebalance", *by)).partitionBy(*by).parquet(folder)
+
+
+def _replacing(df: DataFrame) -> DataFrameWriter:
+    """Replaces the partitions that the rows are in and leaves the others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
 def write_run_files(df: DataFrame, folder: str, file: Column) -> None:
-    """One tab-separated file (folder) per run, named by `file`, with id and y_pred."""
-    rows = df.select(file.alias("run"), "id", "y_pred")
-    rows.hint("rebalance", "run").write.mode("append").partitionBy("run").option("sep", "\t").option("header", True).csv(
-        folder
-    )
+    """One tab-separated file (folder) per run, named by `file`, with id and y_pred.
+
+    A run written again replaces its file.
+    """
+    rows = df.select(file.alias("run"), "id", "y_pred").hint("rebalance", "run")
+    _replacing(rows).partitionBy("run").option("sep", "\t").option("header", True).csv(folder)
 
 
 def file_stem(path: Column) -> Column:
@@ -87,7 +94,7 @@ def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
     return (
         rows.join(small_side(files), "path")
         .withColumn("id", F.when(F.col("has_id"), F.col("first").try_cast("long")))
-        .withColumn("y_pred", y_pred.try_cast("int"))
+        .withColumn("y_pred", whole_number(y_pred))
         .drop("first", "second", "has_id")
     )
 

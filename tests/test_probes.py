@@ -57,6 +57,17 @@ def test_more_than_two_classes(three, probe):
     assert _hits(probes.fit(three, probe, PARAMS[probe]), three) > 0.75
 
 
+@pytest.mark.parametrize("probe", probes.PROBES)
+def test_labels_need_not_be_numbered(spark, two, probe):
+    """Labels 0 and 5 give two classes and come back as 0 and 5, from a saved probe too."""
+    apart = two.withColumn("label", F.col("label") * 5)
+    assert probes.facts(apart).classes == 2
+    fitted = probes.fit(apart, probe, PARAMS[probe])
+    folder = new_folder(spark, "probe")
+    fitted.save(folder, spark)
+    assert _hits(probes.FittedProbe.load(folder, spark), apart) > 0.85
+
+
 @pytest.mark.parametrize("probe", ["non-linear-svm", "knn", "logistic-regression"])
 def test_saved_probe_predicts_the_same(spark, two, probe):
     fitted = probes.fit(two, probe, PARAMS[probe])

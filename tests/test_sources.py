@@ -18,6 +18,28 @@ def test_csv_columns_by_name_quotes_and_missing(spark, tmp_path):
     assert [(r.text, r.label) for r in rows if r.split == "test"] == [("fine", 0)]
 
 
+def test_texts_get_ids_and_whole_labels(spark, tmp_path):
+    (tmp_path / "d_train.csv").write_text("text,label\na,1.0\nb,0\nc,\n")
+    (tmp_path / "d_test.csv").write_text("text,label\nd,2\n")
+    rows = labelled.read_dataset(spark, str(tmp_path), "d")
+    got = rows.orderBy("id").collect()
+    assert [(r.text, r.label) for r in got] == [("a", 1), ("b", 0), ("c", None), ("d", 2)]
+    assert len({r.id for r in got}) == 4 and labelled.head(rows, 1).count() == 2
+    (tmp_path / "d_test.csv").write_text("text,label\nd,positive\n")
+    with pytest.raises(Exception, match="positive"):
+        labelled.read_split(spark, str(tmp_path / "d_test.csv")).collect()
+
+
+def test_a_run_written_again_replaces_itself(spark):
+    folder = new_folder(spark, "again")
+    rows = spark.createDataFrame([(0, "mean", "knn", 1, 1), (1, "mean", "knn", 1, 0)], "layer int, pooling string, probe string, id long, y_pred int")
+    name = predictions.run_file(F.col("layer"), F.col("pooling"), F.col("probe"))
+    for part in (rows, rows.filter("layer = 1")):
+        predictions.write_run_files(part, folder, name)
+    assert predictions.read_runs(spark, folder).exceptAll(rows).count() == 0
+    assert predictions.read_runs(spark, folder).count() == 2
+
+
 def test_missing_column_is_an_error(spark, tmp_path):
     (tmp_path / "d_train.csv").write_text("text,class\na,1\n")
     with pytest.raises(ValueError):
@@ -68,7 +90,7 @@ def test_run_names(spark):
 
 
 def test_files_without_predictions_are_skipped(spark, tmp_path):
-    (tmp_path / "layer_0_mean_knn.tsv").write_text("id\ty_pred\n5\t1\n6\t0\n")
+    (tmp_path / "layer_0_mean_knn.tsv").write_text("id\ty_pred\n5\t1.0\n6\t0\n")
     (tmp_path / "layer_1_mean_knn.tsv").write_text("id\tprobability\n5\t1\n")
     (tmp_path / "layer_2.tsv").write_text("id\ty_pred\n5\t1\n")
     rows = predictions.read_runs(spark, str(tmp_path)).collect()
