@@ -8,7 +8,10 @@ and never all pairs. Candidates are confirmed on the full sets.
 
 A star misses a pair whose centre resembles only one of the two. So the sets in buckets that
 still mix components are dealt again, into buckets split by two further bands and with other
-centres, until two rounds in a row find no link, `MAX_ROUNDS` at most.
+centres, until a round finds no link, `MAX_ROUNDS` at most. What is still mixed then goes to an
+exact join: of sets that share enough, the first few shingles in an order with the rare ones
+first have one in common. Only pairs of different components that pass the bounds on length,
+place and parity are compared. So a pair is lost only if its two sets share no bucket at all.
 
 Equal sets are one node throughout; the copies join it again at the end.
 """
@@ -31,6 +34,11 @@ BANDS = 24
 BINS = ROWS * BANDS
 MAX_ROUNDS = 5
 TURNS = 4
+#: Counters for the order of the shingles, and bits of a set's parity.
+SLOTS = 1 << 20
+BITS = 512
+#: Sets of one shingle that are met by one row of the other side, in the exact join.
+CHUNK = 2000
 
 _random = np.random.default_rng(5)
 #: For every bin, the place of each other bin in its order of borrowing.
@@ -166,6 +174,95 @@ def _mixed(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(ids, "id", "left_semi")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many of the sets the shingles of each slot are. Bounded by SLOTS on the driver."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                raw = b"".join(batch.column("members").slice(start, 1024).to_pylist())
+                total += np.bincount(_slots(np.frombuffer(raw, np.uint64)), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = sets.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits as longs; two sets differ in as many members as bits, at least."""
+    odd = np.bincount((mixed(hashes) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(id, n, root, key, place, short, p0, ...): the first shingles of each set, rare ones first.
+
+    Two sets that share `percent` share one of these; it is `short` in the one of fewer members.
+    """
+    words = [f"p{i}" for i in range(BITS // 64)]
+    schema = "id long, n long, root long, key long, place long, short boolean, " + ", ".join(f"{w} long" for w in words)
+
+    def run(batch):
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            sizes, keys, places, shorts, bits = [], [], [], [], []
+            for raw in part.column("members").to_pylist():
+                members = np.frombuffer(raw, np.uint64)
+                n = len(members)
+                most = n - max(-(-percent * n // 100), 1) + 1
+                least = n - max(-(-2 * percent * n // (100 + percent)), 1) + 1
+                order = np.lexsort((members, counts[_slots(members)]))[:most]
+                sizes.append(len(order))
+                keys.append(members[order].view(np.int64))
+                places.append(np.arange(len(order)))
+                shorts.append(places[-1] < least)
+                bits.append(parity(members))
+            own = [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes)) for c in ("id", "n", "root")]
+            rows = [np.concatenate(x) for x in (keys, places, shorts)]
+            bits = np.repeat(np.array(bits), sizes, axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [*own, *map(pa.array, rows), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(words)))],
+                names=["id", "n", "root", "key", "place", "short", *words],
+            )
+
+    return map_arrow(sets.select("id", "n", "root", "members"), run, schema)
+
+
+def exact_candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of (id, n, root, members): all pairs across components that can share `percent`.
+
+    A shingle that many sets have is dealt over its turns, CHUNK of its short rows to each.
+    """
+    rows = written(prefixes(sets, shingle_counts(sets), percent), "prefixes")
+    groups = rows.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("short").alias("shorts")
+    ).where("low < high and shorts > 0")
+    groups = written(groups.select("key", F.ceil(F.col("shorts") / CHUNK).alias("turns")), "shared")
+    rows = rows.join(groups, "key")
+    words = [c for c in rows.columns if c[0] == "p" and c[1:].isdigit()]
+    longer = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    shorter = rows.where("short").select(
+        "key", F.pmod(F.xxhash64("id", "key"), F.col("turns")).alias("turn"),
+        *[F.col(c).alias(f"s_{c}") for c in ("id", "n", "root", "place", *words)],
+    )
+    both, share = F.col("n") + F.col("s_n"), F.lit(100 + percent)
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"s_{w}"))) for w in words), F.lit(0))
+    left = F.least(F.col("n") - F.col("place"), F.col("s_n") - F.col("s_place"))
+    pairs = longer.join(shorter, ["key", "turn"]).where(
+        (F.col("root") != F.col("s_root")) & (F.col("s_n") <= F.col("n")) & (F.lit(100) * F.col("s_n") >= F.lit(percent) * F.col("n"))
+        & (share * left >= F.lit(percent) * both) & (share * differ <= F.lit(100 - percent) * both)
+    )
+    return pairs.select(F.greatest("id", "s_id").alias("a"), F.least("id", "s_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     words: int = WORDS, percent: int = PERCENT, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept).
@@ -181,22 +278,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = sets.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     members = nodes.select("id", "members")
     dealt = written(nodes.select("id", "n", "bands"), "nodes")
-    roots, idle = None, 0
+    roots = None
+
+    def joined(found):
+        if roots is None:
+            return components(found)
+        return components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
     for round_ in range(max_rounds):
         if round_ == 1:
             dealt = written(_mixed(dealt, roots), "mixed")
         edges = written(candidates(tables(dealt, round_), roots, round_, percent), "edges")
         found = written(confirmed(edges, members, percent), "found")
         if found.isEmpty():
-            idle += 1
-            if idle == 2 or edges.isEmpty():
-                break
-            continue
-        idle = 0
-        links = found
-        if roots is not None:
-            links = found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
+            break
+        roots = joined(found)
+    rest = written(_rooted(_mixed(dealt, roots).select("id", "n"), roots).join(members, "id"), "rest")
+    if not rest.isEmpty():
+        found = written(confirmed(written(exact_candidates(rest, percent), "edges"), rest, percent), "found")
+        if not found.isEmpty():
+            roots = joined(found)
     out = sets.select("id", "n", "digest").join(classes, "digest", "left")
     if roots is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

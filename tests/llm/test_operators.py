@@ -209,6 +209,25 @@ def test_near_copies_in_a_group(spark):
     assert {r.id: (r.n_shingles, r.component_id) for r in out} == brute.near_duplicates(rows)
 
 
+def test_near_copies_among_strangers_alike(spark):
+    """Thousands of texts that are alike at 0.7 without being copies; some have one copy at 0.8."""
+    random = np.random.default_rng(4)
+    size, words, own, planted = 3000, 300, 247, 60
+    has = np.zeros((size, words), np.int64)
+    for row in has:
+        row[random.permutation(words)[:own]] = 1
+    for i in range(planted):
+        has[i + planted] = has[i]
+        has[i + planted, random.choice(np.flatnonzero(has[i]), 27, replace=False)] = 0
+        has[i + planted, random.choice(np.flatnonzero(has[i] == 0), 27, replace=False)] = 1
+    shared = has @ has.T
+    assert (100 * shared >= 80 * (2 * own - shared)).sum() == size + 2 * planted
+    rows = [(i + 1, " ".join(f"w{j}" for j in np.flatnonzero(row))) for i, row in enumerate(has)]
+    out = minhash.near_duplicates(rows_of(spark, rows), words=1).collect()
+    found = {r.id: r.component_id for r in out}
+    assert found == {i + 1: i + 1 - planted if planted <= i < 2 * planted else i + 1 for i in range(size)}
+
+
 def test_near_copy_edges(spark):
     out = sorted(minhash.near_duplicates(rows_of(spark, EDGES)).collect())
     assert [(r.id, r.n_shingles, r.component_id) for r in out] == [
