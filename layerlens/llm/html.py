@@ -4,7 +4,7 @@ A page becomes a list of text blocks, each with the path of tags from the root t
 text length and punctuation are added up over its blocks; the ratios of text and punctuation to
 blocks are smoothed over the page's order, multiplied, and compared with the spread of all.
 Blocks on paths above the threshold are content nodes. The text's place is the deepest container
-that holds most of them; every block inside goes out, except furniture: elements that are menus,
+that holds all of them, and no deeper than an article; every block inside goes out, except furniture: elements that are menus,
 notices, forms and so on by their tag, role or name, and lists of links on paths below the
 threshold.
 """
@@ -215,7 +215,7 @@ def main_text(html: str | None) -> str:
         if page.tag[element] in CONTAINERS and (above not in best or under[element] > under[best[above]]):
             best[above] = element
     place = 0
-    while place in best and under[best[place]] > 0.5 * under[place]:
+    while place in best and page.tag[place] not in ("article", "main") and under[best[place]] == under[place]:
         place = best[place]
     inside = np.zeros(len(under), bool)
     inside[place] = True

@@ -100,6 +100,22 @@ def test_article_only():
     assert html.main_text(page) == "The head\nFirst & second, third.\nFourth x, fifth. inline"
 
 
+_LONG = "A sentence of some words, and of some more, ends here."
+
+
+@pytest.mark.parametrize("page", [
+    "<article><section><p>" + "</p><p>".join([_LONG] * 6) + "</p></section><section><p>" + "</p><p>".join([_LONG] * 4) + "</p></section></article>",
+    f"<article><h1>Title</h1><p>Lead.</p><section><p>{_LONG}</p><p>{_LONG}</p></section></article>",
+    f"<main><h1>Title</h1><div><p>{_LONG}</p><p>{_LONG}</p></div></main>",
+    f"<div><p>{_LONG}</p><table><tr><td>{_LONG} {_LONG} {_LONG}</td></tr></table><p>{_LONG}</p></div>",
+])
+def test_articles_of_parts(page):
+    import re
+
+    whole = " ".join(re.sub("<[^>]*>", " ", page).split())
+    assert " ".join(html.main_text(f"<html><body>{page}</body></html>").split()) == whole
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<html><body></body></html>", "<script>x", "<!-- x"])
 def test_pages_without_text(page):
     assert html.main_text(page).strip("<") == ""
