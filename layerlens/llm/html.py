@@ -4,9 +4,9 @@ A page becomes a list of text blocks, each with the path of tags from the root t
 text length and punctuation are added up over its blocks; the ratios of text and punctuation to
 blocks are smoothed over the page's order, multiplied, and compared with the spread of all.
 Blocks on paths above the threshold are content nodes. The text's place is the deepest container
-that holds all of them, and no deeper than an article; every block inside goes out, except furniture: elements that are menus,
-notices, forms and so on by their tag, role or name, and lists of links on paths below the
-threshold.
+that holds all of them, and no deeper than an article; every block inside goes out, except
+furniture: elements that are menus, notices, forms and so on by their tag or role, or by their
+name where they do not hold most of the content, and lists of links on paths below the threshold.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType
 from layerlens.llm.common import fresh, map_arrow, with_field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNSEEN = frozenset(
     "head script style noscript template iframe object svg canvas title nav footer aside form "
     "button select textarea option dialog menu audio video map".split()
@@ -64,6 +65,7 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.path = [-1], ["#"], [0]
+        self.named: list[int] = []  # elements whose name is one of furniture
         self.paths: dict[tuple[int, str], int] = {}
         self.stack = [0]
         self.hidden = 0  # how deep the stack was when furniture began, or 0
@@ -95,7 +97,14 @@ class _Page(HTMLParser):
                 return True
             if name == "role" and value and value.lower() in ROLES:
                 return True
-            if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
+        return False
+
+    def _named(self, tag, attrs) -> bool:
+        """A vote only: `main_text` decides on it by what the element holds."""
+        if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+            return False
+        for name, value in attrs:
+            if name in ("class", "id") and value:
                 words = set(WORDS.findall(value.lower()))
                 if FURNITURE & words - (TITLES if words & OWN else frozenset()):
                     return True
@@ -147,6 +156,8 @@ class _Page(HTMLParser):
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         if not self.hidden and self._furniture(tag, attrs):
             self.hidden = len(self.stack)
+        if not self.hidden and self._named(tag, attrs):
+            self.named.append(len(self.tag) - 1)
         self.stack.append(len(self.tag) - 1)
         self.article += tag in ("article", "main")
         self.links += tag == "a"
@@ -187,6 +198,16 @@ def scores(paths: list[int], texts: list[str], smooth: int = 1) -> np.ndarray:
     return smoothed(length[path]) * smoothed(marks[path])
 
 
+def _chosen_under(page: _Page, elements, texts, chosen) -> np.ndarray:
+    """Chosen text under every element, from the last one up: parents have smaller numbers."""
+    under = np.zeros(len(page.tag))
+    for element, text, content in zip(elements, texts, chosen):
+        under[element] += len(text) if content else 0
+    for element in range(len(under) - 1, 0, -1):
+        under[page.parent[element]] += under[element]
+    return under
+
+
 def main_text(html: str | None) -> str:
     """The text of a whole page; empty for a null or empty page and one without content."""
     if not html:
@@ -203,12 +224,16 @@ def main_text(html: str | None) -> str:
     elements, paths, texts, linked = zip(*page.blocks)
     fused = scores(paths, texts)
     chosen = fused >= min(fused.std(), fused.max())
-    # Chosen text under every element, from the last one up: parents have smaller numbers.
-    under = np.zeros(len(page.tag))
-    for element, text, content in zip(elements, texts, chosen):
-        under[element] += len(text) if content else 0
-    for element in range(len(under) - 1, 0, -1):
-        under[page.parent[element]] += under[element]
+    under = _chosen_under(page, elements, texts, chosen)
+    dropped = np.zeros(len(page.tag), bool)
+    dropped[[e for e in page.named if 2 * under[e] <= under[0]]] = True
+    for element in range(1, len(dropped)):
+        dropped[element] |= dropped[page.parent[element]]
+    kept = chosen & ~dropped[list(elements)]
+    if kept.any():
+        under = _chosen_under(page, elements, texts, kept)
+    else:  # names alone never empty a page
+        dropped[:] = False
     best: dict[int, int] = {}
     for element in range(1, len(under)):
         above = page.parent[element]
@@ -224,7 +249,7 @@ def main_text(html: str | None) -> str:
     return "\n".join(
         text
         for element, text, content, links in zip(elements, texts, chosen, linked)
-        if inside[element] and (content or 2 * links <= len(text))
+        if inside[element] and not dropped[element] and (content or 2 * links <= len(text))
     )
 
 

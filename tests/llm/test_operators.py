@@ -116,6 +116,22 @@ def test_articles_of_parts(page):
     assert " ".join(html.main_text(f"<html><body>{page}</body></html>").split()) == whole
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout has-sidebar", "post comments-open", "page-with-menu"])
+def test_names_of_wrappers(name):
+    body = f'<div class="{name}"><p>{_LONG}</p><p>{_LONG}</p><div class="comments"><p>Nice, very nice.</p></div></div>'
+    assert html.main_text(f"<body>{body}<div class=menu><p>Home, news.</p></div></body>") == f"{_LONG}\n{_LONG}"
+
+
+def test_names_of_headings():
+    parts = "".join(f'<h2 id="{i}">Head {i}</h2><p>{_LONG}</p>' for i in ("related-work", "search", "comments-on-x"))
+    assert html.main_text(f"<article>{parts}</article>").split("\n")[::2] == ["Head related-work", "Head search", "Head comments-on-x"]
+
+
+def test_names_never_empty_a_page():
+    parts = "".join(f'<div id="{i}"><p>{_LONG}</p></div>' for i in ("related-work", "search-methods"))
+    assert html.main_text(f"<body>{parts}</body>") == f"{_LONG}\n{_LONG}"
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<html><body></body></html>", "<script>x", "<!-- x"])
 def test_pages_without_text(page):
     assert html.main_text(page).strip("<") == ""
