@@ -3,8 +3,10 @@
 A text is cut into sentences, normalised (A-Z in lower case, everything but letters and digits
 as one space). Sentences known from licences become identifiers; a licence is found where the
 identifiers of a text hold the licence's rule as a run. Unknown sentences between known ones do
-not matter. Texts are read twice over, with line ends as sentence ends and as spaces, so that
-one-line notices and wrapped paragraphs are both seen. No shuffle: one projection of the scan.
+not matter. Texts are read three times over, with line ends as sentence ends, as spaces, and as
+sentence ends only at blank lines and before lines that begin like a known sentence, so that
+one-line notices, wrapped paragraphs and paragraphs below a title are all seen. Sentences are
+stored as `ENDS` cuts the licences. No shuffle: one projection of the scan.
 """
 
 from __future__ import annotations
@@ -65,8 +67,60 @@ SENTENCES = {
     "spdx-gpl3": ["spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later"],
 }
 
+_ANY_LATER = "either version {} of the license or at your option any later version"
+_MAY = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+for _kind, _name in (("", "gpl"), ("lesser ", "lgpl"), ("affero ", "agpl")):
+    SENTENCES[f"{_name}-may"] = [_MAY.format(_kind)]
+    SENTENCES[f"{_name}3-may"] = [f"{_MAY.format(_kind)} {_ANY_LATER.format(3)}"]
+    SENTENCES[f"{_name}-title"] = [f"gnu {_kind}general public license"]
+SENTENCES |= {
+    "any-later2": [_ANY_LATER.format(2)], "any-later3": [_ANY_LATER.format(3)],
+    "gpl2-date": ["version 2 june 1991"], "gpl3-date": ["version 3 29 june 2007"], "agpl3-date": ["version 3 19 november 2007"],
+    "gpl2-may": [f"{_MAY.format('')} {_ANY_LATER.format(2)}"],
+    "apache-title": ["apache license"], "apache2-date": ["version 2 0 january 2004"],
+    "isc-grant": [
+        f"permission to use copy modify {x} distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies"
+        for x in ("and", "and or")
+    ],
+    "mpl2-subject": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl2-copy": [
+        f"if a copy of the mpl was not distributed with this file you can obtain one at {x} mozilla org mpl 2 0"
+        for x in ("http", "https")
+    ],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+}
+
+#: What a notice of one sentence calls a licence, by the identifier it gives.
+NAMES = {
+    "mit-name": ["the mit license"],
+    "apache2-name": ["the apache license version 2 0", "the apache license 2 0", "the apache 2 0 license"],
+    "gpl3-name": ["the gnu general public license version 3", "the gnu general public license v3 0", "the gpl 3 0 license"],
+    "ccby4-name": ["cc by 4 0", "a creative commons attribution 4 0 international license"],
+    "ccbync4-name": ["cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license"],
+    "ccbysa4-name": ["cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license"],
+    "isc-name": ["the isc license"],
+    "mpl2-name": ["the mozilla public license version 2 0", "the mozilla public license 2 0"],
+}
+for _name, _called in NAMES.items():
+    SENTENCES[_name] = list(dict.fromkeys([*SENTENCES.get(_name, []), *(
+        f"{subject}{verb} under {terms}{called}"
+        for subject in ("", "this project is ", "this software is ", "this work is ", "this program is ", "this code is ", "this file is ")
+        for verb in ("licensed", "released", "distributed")
+        for terms in ("", "the terms of ")
+        for called in _called
+    )]))
+
 #: The licences and the runs of identifiers that name them.
 RULES = [
+    ("AGPL-3.0", ["agpl3-may"]), ("AGPL-3.0", ["agpl-may", "any-later3"]), ("AGPL-3.0", ["agpl-title", "agpl3-date"]),
+    ("Apache-2.0", ["apache-title", "apache2-date"]),
+    ("GPL-2.0", ["gpl2-may"]), ("GPL-2.0", ["gpl-may", "any-later2"]), ("GPL-2.0", ["gpl-title", "gpl2-date"]),
+    ("GPL-3.0", ["gpl3-may"]), ("GPL-3.0", ["gpl-may", "any-later3"]), ("GPL-3.0", ["gpl-title", "gpl3-date"]),
+    ("ISC", ["isc-grant"]), ("ISC", ["isc-name"]),
+    ("LGPL-3.0", ["lgpl3-may"]), ("LGPL-3.0", ["lgpl-may", "any-later3"]), ("LGPL-3.0", ["lgpl-title", "gpl3-date"]),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-copy"]), ("MPL-2.0", ["mpl2-name"]),
+    ("Unlicense", ["unlicense"]),
     ("Apache-2.0", ["apache2-name"]), ("Apache-2.0", ["apache2-use", "apache2-copy"]), ("Apache-2.0", ["spdx-apache2"]),
     ("BSD", ["bsd-grant", "bsd-source"]),
     ("CC-BY-4.0", ["ccby4-name"]), ("CC-BY-NC-4.0", ["ccbync4-name"]), ("CC-BY-SA-4.0", ["ccbysa4-name"]),
@@ -75,6 +129,9 @@ RULES = [
 ]
 
 ENDS = r"[.!?;:]+[ \t\r\n]+"
+#: A line end before a line without letters and digits, and one before a known beginning.
+BLANK = r"\n(?:[^a-z0-9\n]*\n)+"
+BEGINS = r"\n(?=[^a-z0-9\n]*(?:{})[^a-z0-9])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,6 +150,12 @@ def identifiers(text: Column, ends: str, sentences: dict[str, list[str]]) -> Col
     return F.transform(F.filter(plain, lambda s: s.isin(list(known))), lambda s: F.element_at(table, s))
 
 
+def blocks(sentences: dict[str, list[str]]) -> str:
+    """Sentence ends of wrapped paragraphs below titles and copyright lines."""
+    begins = sorted({"[^a-z0-9]+".join(s.split(" ")[:3]) for forms in sentences.values() for s in forms})
+    return "|".join([ENDS, BLANK, BEGINS.format("|".join(begins))])
+
+
 def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES) -> tuple[DataFrame, str]:
     """All columns and a struct (licenses, sentences) under the returned name.
 
@@ -103,11 +166,12 @@ def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES)
     rows = docs.withColumn(name, F.struct(
         identifiers(F.col(text), ENDS + "|\n", sentences).alias("lines"),
         identifiers(F.col(text), ENDS, sentences).alias("wrapped"),
+        identifiers(F.col(text), blocks(sentences), sentences).alias("blocks"),
     ))
-    lines, wrapped = (F.concat(F.lit(","), F.array_join(F.col(f"`{name}`.{c}"), ","), F.lit(",")) for c in ("lines", "wrapped"))
-    found = F.array(*[
-        F.when(lines.contains("," + ",".join(run) + ",") | wrapped.contains("," + ",".join(run) + ","), F.lit(license))
-        for license, run in rules
+    # A line end stands between the readings: no run goes over two of them.
+    read = F.concat_ws("\n", *[
+        F.concat(F.lit(","), F.array_join(F.col(f"`{name}`.{c}"), ","), F.lit(",")) for c in ("lines", "wrapped", "blocks")
     ])
+    found = F.array(*[F.when(read.contains("," + ",".join(run) + ","), F.lit(license)) for license, run in rules])
     verdict = F.struct(F.sort_array(F.array_distinct(F.array_compact(found))).alias("licenses"), F.col(f"`{name}`.lines").alias("sentences"))
     return rows.withColumn(name, verdict), name

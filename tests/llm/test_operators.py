@@ -338,6 +338,55 @@ def test_wrapped_license(spark):
     assert {r.doc_id: r[name].licenses for r in out.collect()} == {1: ["MIT"], 2: [], 3: [], 4: []}
 
 
+_MIT = """MIT License
+
+Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+_GPL = """Copyright (C) 2020 X
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+_ISC = """Copyright (c) 2020 X
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_canonical_licenses(spark):
+    want = {
+        _MIT.split("\n\n", 1)[1]: "MIT", _MIT.replace("X\n\n", "X\n").split("\n\n", 1)[1]: "MIT", _GPL: "GPL-3.0",
+        _GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"): "GPL-2.0",
+        _GPL.replace("GNU General", "GNU Lesser General"): "LGPL-3.0", _ISC: "ISC", _MPL: "MPL-2.0",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n": "AGPL-3.0",
+        "This project is licensed under the MIT license.": "MIT",
+    }
+    marked = [("".join(mark + line + "\n" for line in t.splitlines()), v) for t, v in want.items() for mark in ("", " * ", "# ", "// ")]
+    out, name = licenses.scan(rows_of(spark, [(i, t) for i, (t, _) in enumerate(marked)]))
+    assert {r.doc_id: r[name].licenses for r in out.collect()} == {i: [v] for i, (_, v) in enumerate(marked)}
+
+
 # Mixing and quality
 
 
