@@ -61,48 +61,57 @@ def parse_run(stem: Column) -> Column:
     return F.when(F.size(parts) >= 4, key)
 
 
-FILES = {"sep": "\t", "recursiveFileLookup": True, "pathGlobFilter": "*.{tsv,csv}"}
-LINE = "first string, second string"
+FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.{tsv,csv}"}
 
 
 def lines(reader, folder: str) -> DataFrame:
-    """Every line of every file, header lines too, with where it came from."""
-    return reader.options(**FILES).schema(LINE).csv(folder).select(
-        "first",
-        "second",
+    """Every line of every file but blank ones, header lines too, with where it came from."""
+    return reader.options(**FILES).text(folder).where(F.trim("value") != "").select(
+        "value",
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
     )
 
 
+def cells() -> Column:
+    """The cells of a line, without quotes around them."""
+    return F.transform(F.split("value", "\t"), lambda x: F.regexp_replace(x, '^"(.*)"$', "$1"))
+
+
 def prediction_files(rows: DataFrame) -> DataFrame:
-    """The files whose header names a `y_pred`: path, has_id, stem and run key.
+    """The files whose header names a `y_pred`: path, at, stem and run key.
 
-    Names are parsed here, once per file and not per line.
+    `at` holds the places of `y_pred` and of the id from 0: the column `id`, or else a first
+    column without a name or right before `y_pred`. Names are parsed once per file, not per line.
     """
-    is_header = (F.col("first") == "y_pred") | (F.col("second") == "y_pred")
+    y_pred, own = (F.array_position("cells", name).cast("int") - 1 for name in ("y_pred", "id"))
+    first = (F.element_at("cells", 1) == "") | (y_pred == 1)
+    at = F.struct(y_pred.alias("y_pred"), F.when(own >= 0, own).when(first & (y_pred > 0), 0).alias("id"))
     stem = file_stem(F.col("path"))
-    files = rows.filter(is_header).groupBy("path").agg(
-        F.bool_or(F.coalesce(F.col("second") == "y_pred", F.lit(False))).alias("has_id")
-    )
+    headers = rows.withColumn("cells", cells()).filter(F.array_contains("cells", "y_pred"))
+    files = headers.groupBy("path").agg(F.min(at).alias("at"))
     return files.withColumn("stem", stem).withColumn("key", parse_run(F.col("stem")))
 
 
 def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """The lines of the given files with `id` (if there) and `y_pred` as numbers."""
-    y_pred = F.when(F.col("has_id"), F.col("second")).otherwise(F.col("first"))
-    return (
-        rows.join(small_side(files), "path")
-        .withColumn("id", F.when(F.col("has_id"), F.col("first").try_cast("long")))
-        .withColumn("y_pred", whole_number(y_pred))
-        .drop("first", "second", "has_id")
-    )
+    """The lines of the given files with `id` (if there) and `y_pred` as numbers.
+
+    Header lines have no `y_pred`; any other line without a whole one is an error.
+    """
+    found = rows.join(small_side(files), "path").withColumn("cells", cells())
+    y_pred = F.get("cells", F.col("at.y_pred"))
+    found = found.withColumn("id", F.get("cells", F.col("at.id")).try_cast("long"))
+    wrong = whole_number(y_pred).isNull() & (F.coalesce(y_pred, F.lit("")) != "y_pred")
+    count, example = found.filter(wrong).agg(F.count("*"), F.min("path")).first()
+    if count:
+        raise ValueError(f"{count} predictions are not whole numbers, for example in {example}")
+    return found.withColumn("y_pred", whole_number(y_pred)).drop("value", "cells", "at")
 
 
 def runs(rows: DataFrame) -> DataFrame:
     """Keyed predictions with a row id; files whose name does not parse are skipped."""
     files = prediction_files(rows).filter(F.col("key.layer").isNotNull())
-    files = files.select("path", "has_id", "key.*")
+    files = files.select("path", "at", "key.*")
     return (
         parsed(rows, files).filter(F.col("y_pred").isNotNull()).select(*RUN_KEY, "id", "y_pred")
     )
@@ -119,7 +128,7 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
 def read_prompt_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt predictions; the file's name is the prompt type."""
     rows = lines(spark.read, folder)
-    files = prediction_files(rows).select("path", "has_id", F.col("stem").alias("prompt_type"))
+    files = prediction_files(rows).select("path", "at", F.col("stem").alias("prompt_type"))
     return (
         parsed(rows, files).filter(F.col("y_pred").isNotNull()).select("prompt_type", "id", "y_pred")
     )
@@ -146,7 +155,7 @@ def read_positional_runs(spark: SparkSession, folder: str) -> DataFrame:
     placed = numbered.join(small_side(offsets), ["path", "start"]).withColumn("position", position)
     files = prediction_files(placed).filter(F.col("key.layer").isNotNull())
     return (
-        parsed(placed, files.select("path", "has_id", "key.*"))
+        parsed(placed, files.select("path", "at", "key.*"))
         .filter(F.col("position") > 0)
         .select(*RUN_KEY, "position", "y_pred")
     )

@@ -97,6 +97,24 @@ def test_files_without_predictions_are_skipped(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(0, "mean", "knn", 5, 1), (0, "mean", "knn", 6, 0)]
 
 
+def test_prediction_column_by_name(spark, tmp_path):
+    (tmp_path / "layer_0_mean_knn.tsv").write_text("text\ty_true\ty_pred\tid\na b\t0\t1\t5\n\nc\t1\t0\t6\n")
+    (tmp_path / "layer_1_mean_knn.tsv").write_text("\ty_true\ty_pred\n7\t0\t1\n")
+    (tmp_path / "layer_2_mean_knn.tsv").write_text("y_pred\ty_true\n1\t0\n")
+    rows = predictions.read_runs(spark, str(tmp_path)).collect()
+    assert {r.layer: (r.id, r.y_pred) for r in rows if r.id != 6} == {0: (5, 1), 1: (7, 1), 2: (None, 1)}
+    assert sorted((r.id, r.y_pred) for r in rows if r.layer == 0) == [(5, 1), (6, 0)]
+
+
+def test_predictions_that_do_not_parse(spark, tmp_path):
+    (tmp_path / "layer_0_mean_knn.tsv").write_text("id\ty_pred\n5\t1\n6\tyes\n7\t0.5\n8\t\n")
+    with pytest.raises(ValueError, match="3 predictions"):
+        predictions.read_runs(spark, str(tmp_path))
+    (tmp_path / "layer_0_mean_knn.tsv").rename(tmp_path / "zero.tsv")
+    with pytest.raises(ValueError, match="3 predictions"):
+        predictions.read_prompt_runs(spark, str(tmp_path))
+
+
 def test_many_files_fall_back_to_a_join(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sizing, "MAX_SMALL_ROWS", 0)
     test_files_without_predictions_are_skipped(spark, tmp_path)
