@@ -47,10 +47,33 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return out
 
 
+# Public suffixes of two names, under which domains are registered, by country.
+_SECOND = {
+    "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt net org school",
+    "br": "com edu gov mil net org art blog eco ind inf", "jp": "ac ad co ed go gr lg ne or", "za": "ac co edu gov law net org web",
+    "in": "ac co edu firm gen gov ind net nic org res", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org",
+    "tw": "com edu gov idv net org", "hk": "com edu gov idv net org", "sg": "com edu gov net org per", "my": "com edu gov net org",
+    "mx": "com edu gob net org", "ar": "com edu gob gov net org", "co": "com edu gov net org", "pe": "com edu gob net org",
+    "tr": "av bel com edu gov k12 net org web", "il": "ac co gov k12 muni net org", "th": "ac co go in net or",
+    "id": "ac co go net or sch web", "ph": "com edu gov net org", "vn": "com edu gov net org", "ua": "com edu gov in net org",
+    "pl": "com edu gov net org", "pk": "com edu gov net org", "eg": "com edu gov net org", "ng": "com edu gov net org",
+    "ke": "ac co go ne or", "sa": "com edu gov net org",
+}
+SUFFIXES = [f"{name}.{country}" for country, names in _SECOND.items() for name in names.split()]
+ADDRESS = r"^([0-9]+([.][0-9]+){3}|\[.*)$"
+
+
 def levels(host: Column) -> tuple[Column, Column]:
-    """The suffix (last label) and the registered domain (last two) of a host without its port."""
+    """The suffix and the registered domain of a host without its port.
+
+    The suffix is one of SUFFIXES or else the last name; the domain has one name more. An IP
+    address is its own domain, below one suffix for all of them.
+    """
     name = F.regexp_replace(host, ":[0-9]*$", "")
-    return F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    address, long = name.rlike(ADDRESS), F.substring_index(name, ".", -2).isin(SUFFIXES)
+    last = [F.substring_index(name, ".", -n) for n in (1, 2, 3)]
+    suffix = F.when(address, F.lit("[ip]")).when(long, last[1]).otherwise(last[0])
+    return suffix, F.when(address, name).when(long, last[2]).otherwise(last[1])
 
 
 def _shrunk(groups: DataFrame, keys: list[str], parent: DataFrame, on: list[str]) -> DataFrame:

@@ -298,6 +298,17 @@ def test_url_parts(spark):
     assert all(found[i].verdict == "allow" for i in found)
 
 
+def test_registered_domains(spark):
+    want = {
+        "www.a.co.uk": ("co.uk", "a.co.uk"), "b.co.uk:80": ("co.uk", "b.co.uk"), "x.y.gov.br": ("gov.br", "y.gov.br"),
+        "x.a.com": ("com", "a.com"), "co.uk": ("co.uk", "co.uk"), "h": ("h", "h"), "": ("", ""),
+        "10.0.2.3:8080": ("[ip]", "10.0.2.3"), "11.9.2.3": ("[ip]", "11.9.2.3"), "[::1]:80": ("[ip]", "[::1]"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    found = df.select("host", *hosts.levels(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == want
+
+
 @pytest.mark.parametrize("url, rule, verdict", [
     ("http://www.example.org/es/x", "example.org/es/", "block"), ("http://example.org/fr/", "org/", "allow"),
     ("http://example.org/en/12", "example.org/en/1", "block"), ("http://x.org", None, "allow"),
