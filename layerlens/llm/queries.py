@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from layerlens.llm import bpe, hosts, html, lattice, licenses, line_dedup, minhash, mixing, quality, substrings
+from layerlens.llm import bpe, hosts, html, lattice, licenses, line_dedup, merkle, minhash, mixing, quality, substrings
 from layerlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -91,11 +91,20 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", *[F.col(f"{name}.{c}").alias(c) for c in columns])
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = [merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*fields))
+    manifest = merkle.manifest_of(docs, presented=tampered)
+    return merkle.prove(manifest, manifest.leaves)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_html_extraction, op3_byte_bpe, op4_line_dedup, op5_minhash_near_dedup,
         op6_host_reputation, op7_license_scan, op8_substring_dedup, op9_mixing, op10_quality_rules,
+        op11_merkle_manifest,
     )
 }
 
@@ -122,6 +131,55 @@ SELECT d.doc_id, coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM
 FROM documents d"""
 
 
+def _manifest_sql(levels: int = 6) -> str:
+    """The levels of the source trees and of the tree above them written out, up to 16 ** levels rows."""
+    def leaf(text):
+        parts = ["coalesce(%s, '-')" % f"strlen({v}) || ':' || {v}" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def tree(name, first):
+        out = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            out.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY pos)) AS d
+  FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // 16)""")
+            # What stands before and after a node among its siblings.
+            out.append(f"""{name}b{k} AS (
+  SELECT tree, pos, d, coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k} WHERE n > 1)""")
+        out.append(f"{name}_root AS (" + " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+        return out
+
+    def steps(name, of, pos, nodes):
+        """A path folded upwards, one level a step."""
+        out = []
+        for k in range(levels):
+            out.append(f"""{name}{k + 1} AS (
+  SELECT x.* REPLACE (coalesce(sha256(b.l || x.shown || b.r), x.shown) AS shown, x.proof || coalesce(b.l || b.r, '') AS proof)
+  FROM {name}{k} x LEFT JOIN {nodes}b{k} b ON b.tree = x.{of} AND b.pos = x.{pos} // {16 ** k})""")
+        return out
+
+    crc = ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), "
+           "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)")
+    lower = f"translate(text, '{hosts.UPPER}', '{hosts.LOWER}')"
+    parts = [f"""leaves AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS shown FROM documents)""",
+             """placed AS (
+  SELECT *, coalesce('s' || source, 'n') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves)"""]
+    parts += tree("n", "SELECT tree, pos, n, leaf AS d FROM placed")
+    parts.append("""tops AS (SELECT tree AS name, 'r' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, d FROM n_root)""")
+    parts += tree("t", "SELECT tree, pos, n, d FROM tops")
+    parts.append("""s0 AS (SELECT p.doc_id, p.leaf, p.shown, p.tree, p.pos, tops.pos AS top_at, 'r' AS top, tops.d AS subroot, '' AS proof FROM placed p JOIN tops ON tops.name = p.tree)""")
+    parts += steps("s", "tree", "pos", "n")
+    parts.append(f"u0 AS (SELECT * FROM s{levels})")
+    parts += steps("u", "top", "top_at", "t")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, t_root.d AS root, sha256(proof) AS proof_sha256, shown AS folded_root, shown = t_root.d AS verified
+FROM u{levels}, t_root"""
+
+
 ORACLE_SQL = {
     "op1_embedding_near_dedup": """
 WITH RECURSIVE v AS (
@@ -151,4 +209,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
     "op7_license_scan": _license_sql(),
+    "op11_merkle_manifest": _manifest_sql(),
 }
