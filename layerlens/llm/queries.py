@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from layerlens.llm import bpe, hosts, html, lattice, licenses, line_dedup, merkle, minhash, mixing, quality, substrings
+from layerlens.llm import bpe, hosts, html, lattice, licenses, line_dedup, merkle, minhash, mixing, quality, search, substrings
 from layerlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -99,16 +99,21 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.prove(manifest, manifest.leaves)
 
 
+def op13_ranked_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_html_extraction, op3_byte_bpe, op4_line_dedup, op5_minhash_near_dedup,
         op6_host_reputation, op7_license_scan, op8_substring_dedup, op9_mixing, op10_quality_rules,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op13_ranked_search,
     )
 }
 
 _WHITE = r"\x20\x09-\x0D"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEY = f"translate(regexp_replace(line, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g'), '{hosts.UPPER}', '{hosts.LOWER}')"
 
 
@@ -210,4 +215,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id""",
     "op7_license_scan": _license_sql(),
     "op11_merkle_manifest": _manifest_sql(),
+    "op13_ranked_search": rf"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}') AS t, row_number() OVER () AS r FROM documents),
+asked AS (
+  SELECT row_number() OVER () AS q, item_id, translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}') AS t FROM benchmark),
+words AS (SELECT r, unnest(regexp_extract_all(t, '{_TERM}')) AS term FROM lowered),
+wanted AS (
+  SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(regexp_extract_all(t, '{_TERM}')) AS term FROM asked)
+  GROUP BY q, item_id, term),
+lengths AS (SELECT r, count(*) AS n FROM words GROUP BY r),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM lengths),
+tf AS (SELECT r, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, n_docs),
+part AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total))) AS v
+  FROM tf JOIN w USING (term) JOIN lengths USING (r), corpus),
+scored AS (SELECT q, item_id, r, sum(times * v)::BIGINT AS score FROM wanted JOIN part USING (term) GROUP BY q, item_id, r),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored JOIN lowered USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
