@@ -40,8 +40,7 @@ UNDETERMINED = "und"
 MEMO_WORDS = 200_000
 STEP_NUMBERS = 8_000_000
 
-# First code points of letter ranges by script; other letters count as Latin's
-# neighbours below do, by the range they fall in.
+# The first code points of letter ranges, by script.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
     (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x08A0, "arabic"),
@@ -66,7 +65,6 @@ _OF_RANGE = [_PLACE[name] for _, name in SCRIPTS]
 
 # A word is a run of letters with their marks. Scripts that write no spaces are cut into pieces.
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_LETTER = r"\p{L}\p{M}*"
 WORD = regex.compile(rf"(?V1)(?:[\p{{L}}&&[{_UNSPACED}]]\p{{M}}*){{1,4}}|(?:[\p{{L}}--[{_UNSPACED}]]\p{{M}}*)+")
 
 
@@ -203,9 +201,6 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
         rows = starts[:k] + t
         out[rows] = now[:k]
         now[:k] = came[rows, now[:k]]
-    if most:
-        # The first word came from nowhere; its row of `came` is never asked for.
-        pass
     return out
 
 

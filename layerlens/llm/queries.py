@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from layerlens.llm import bpe, hosts, html, lattice, licenses, line_dedup, merkle, minhash, mixing, quality, search, substrings
+from layerlens.llm import bpe, hosts, html, language, lattice, licenses, line_dedup, merkle, minhash, mixing, quality, search, substrings
 from layerlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -99,6 +99,17 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.prove(manifest, manifest.leaves)
 
 
+def op12_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.learn(docs.where(~held_out))
+    out, name = language.identify(docs.select("doc_id", "text"), model, spans=False)
+    return out.select(
+        "doc_id", held_out.alias("held_out"), F.col(f"{name}.lang").alias("lang_pred"),
+        F.col(f"{name}.score").alias("score"), F.col(f"{name}.n_spans").alias("n_spans"),
+    )
+
+
 def op13_ranked_search(spark, sf_dir):
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -108,7 +119,7 @@ QUERIES = {
     for f in (
         op1_embedding_near_dedup, op2_html_extraction, op3_byte_bpe, op4_line_dedup, op5_minhash_near_dedup,
         op6_host_reputation, op7_license_scan, op8_substring_dedup, op9_mixing, op10_quality_rules,
-        op11_merkle_manifest, op13_ranked_search,
+        op11_merkle_manifest, op12_language_id, op13_ranked_search,
     )
 }
 
