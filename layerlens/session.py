@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,69 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Writes a table in buckets of `key`, one per shuffle partition, and reads it back.
+
+    A later join on the key finds these rows where they are, and only the other side moves.
+    The table is known to this session's catalog alone; its files are in the shared folder.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_folder(spark, name)
+    table = f"layerlens_{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        dealt = df.repartition(buckets, key)
+        dealt.write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(table)
+    return spark.table(table)
+
+
+#: Removes a query's shuffle files when it ends. A stored result needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes made inside leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+class Scratch:
+    """Intermediate tables of one job, each deleted as soon as no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As `written`, and the shuffle files of the write go with it."""
+        folder = new_folder(self.spark, name)
+        with shuffles_removed(self.spark):
+            df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(out)] = out, folder
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables made here; others are left alone."""
+        for table in tables:
+            if id(table) in self.folders:
+                dropped(self.spark, self.folders.pop(id(table))[1])
+
+
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of intermediate tables that no later step reads."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals a scan with fewer splits than cores over all cores; longer scans stay as they are.
 
