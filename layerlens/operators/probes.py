@@ -2,8 +2,8 @@
 
 Feature tables have `id`, `features array<double>` and `label`; any integers will do, as a fit
 numbers the distinct labels and gives them back in its predictions.
-Training is MLlib's, which keeps the rows on the executors; only coefficients, trees and
-per-dimension statistics reach the driver.
+Training is MLlib's, or for boosted trees and perceptrons this package's own; the rows stay on
+the executors, and only coefficients, trees and per-dimension statistics reach the driver.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
@@ -39,6 +37,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from layerlens.functions.draws import is_validation
 from layerlens.operators import metrics, neighbours
+from layerlens.operators.boosting import BoostedTrees, Growth, fit as fit_boosted
+from layerlens.operators.perceptron import Perceptron, fit as fit_perceptron
+from layerlens.operators.vector_index import VectorIndex
 from layerlens.operators.pooling import pool, standardise
 from layerlens.session import new_folder
 
@@ -124,7 +125,8 @@ SPACES = {
     "logistic-regression": lambda rng, f: {"C": _log_uniform(rng, 1e-4, 1e2)},
     "linear-svm": lambda rng, f: {"C": _log_uniform(rng, 1e-4, 1e2)},
     "mlp": lambda rng, f: {
-        "hidden_layer_sizes": rng.choice([(64,), (128,), (64, 64), (128, 64)])
+        "hidden_layer_sizes": rng.choice([(64,), (128,), (64, 64), (128, 64)]),
+        "alpha": _log_uniform(rng, 1e-4, 1e-1),
     },
     "non-linear-svm": lambda rng, f: {
         "C": _log_uniform(rng, 1e-4, 1e2),
@@ -156,7 +158,9 @@ FROZEN_SPACES = {
     "logistic-regression": lambda rng, f: {"C": _log_uniform(rng, 1e-3, 1e2)},
     "mlp": lambda rng, f: {
         "hidden_layer_sizes": rng.choice([(50,), (100,), (50, 50)]),
+        "alpha": _log_uniform(rng, 1e-4, 1e-1),
         "learning_rate_init": _log_uniform(rng, 1e-5, 1e-3),
+        "max_iter": 500,
     },
     "lightgbm": lambda rng, f: {
         "num_leaves": rng.randrange(31, 70, 10),
@@ -224,13 +228,6 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
                 classifier=classifier, parallelism=4, featuresCol="waves", labelCol="target"
             )
         stages = [waves, classifier]
-    elif probe == "mlp":
-        layers = [table.dims, *params["hidden_layer_sizes"], table.classes]
-        stages = [
-            MultilayerPerceptronClassifier(
-                **columns, layers=layers, maxIter=params.get("max_iter", 200), seed=seed
-            )
-        ]
     elif probe == "decision-tree":
         stages = [DecisionTreeClassifier(**columns, maxDepth=params["max_depth"], seed=seed)]
     elif probe == "random-forest":
@@ -242,16 +239,6 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
                 seed=seed,
             )
         ]
-    elif probe in ("xgboost", "lightgbm"):
-        depth = 6 if probe == "xgboost" else round(math.log2(params.get("num_leaves", 31)))
-        boosted = GBTClassifier(
-            **columns,
-            maxIter=params["n_estimators"],
-            stepSize=params["learning_rate"],
-            maxDepth=params.get("max_depth", depth),
-            seed=seed,
-        )
-        stages = [per_class(boosted)]
     elif probe == "naive-bayes-gaussian":
         stages = [NaiveBayes(**columns, modelType="gaussian")]
     else:
@@ -273,20 +260,69 @@ def as_vectors(df: DataFrame, labels: tuple[int, ...] | None = None) -> DataFram
 WITH_SUMMARY = frozenset(("logistic-regression", "linear-svm", "non-linear-svm"))
 
 
+#: Probes trained here rather than by MLlib, and what their fitted models are stored as.
+OWN = {"mlp": Perceptron, "xgboost": BoostedTrees, "lightgbm": BoostedTrees}
+
+
+def fit_own(train: DataFrame, probe: str, params: dict, table: TableFacts, seed: int) -> Perceptron | BoostedTrees:
+    """Fits (id, features, label), whose labels are numbered by the table's order."""
+    place = F.array_position(F.array(*map(F.lit, table.labels)), F.col("label")) - 1
+    rows = train.select("id", "features", place.cast("int").alias("target"))
+    if probe == "mlp":
+        return fit_perceptron(
+            rows, table.rows, table.dims, table.classes, tuple(params["hidden_layer_sizes"]),
+            params.get("alpha", 1e-4), params.get("learning_rate_init", 1e-3), params.get("max_iter", 1000), seed,
+        )
+    if probe == "xgboost":
+        return fit_boosted(rows, table.classes, Growth.by_levels(params))
+    return fit_boosted(rows, table.classes, Growth.by_leaves(params), from_prior=True)
+
+
+def _class_probabilities(model: Perceptron | BoostedTrees):
+    @F.pandas_udf("array<double>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            out = []
+            for start in range(0, len(vectors), 1024):
+                out.extend(model.probabilities(np.stack(vectors.iloc[start : start + 1024].to_list())))
+            yield pd.Series(out)
+
+    return scored
+
+
 @dataclass
 class FittedProbe:
-    """A trained probe; nearest neighbours keep their training table."""
+    """A trained probe; nearest neighbours keep their training table or their index."""
 
     probe: str
     params: dict
     model: PipelineModel | None = None
     train: DataFrame | None = field(default=None, repr=False)
     labels: list[int] = field(default_factory=list)
+    own: Perceptron | BoostedTrees | None = field(default=None, repr=False)
+    index: VectorIndex | None = field(default=None, repr=False)
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        """(id, probabilities): one for each of `labels`, in their order; null where a probe has none."""
+        if self.own is not None:
+            found = df.select("id", _class_probabilities(self.own)("features").alias("p"))
+        elif self.model is not None and "probability" in (scored := self.model.transform(as_vectors(df))).columns:
+            found = scored.select("id", vector_to_array("probability").alias("p"))
+        else:
+            return df.select("id", F.lit(None).cast("array<double>").alias("probabilities"))
+        return found.select("id", F.slice("p", 1, len(self.labels)).alias("probabilities"))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, y_pred) for every row."""
-        if self.model is None:
+        if self.index is not None:
+            return self.index.classify(df, self.params["n_neighbors"])
+        if self.train is not None:
             return neighbours.classify(self.train, df, self.params["n_neighbors"])
+        if self.own is not None:
+            scored = self.probabilities(df)
+            # The first label of equals.
+            best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+            return scored.select("id", F.element_at(F.array(*map(F.lit, self.labels)), best).alias("y_pred"))
         scored = self.model.transform(as_vectors(df))
         # A model keeps room for two classes even where it saw one.
         label = F.try_element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)
@@ -297,7 +333,9 @@ class FittedProbe:
         spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{folder}/about")
-        if self.model is None:
+        if self.own is not None:
+            spark.createDataFrame([(self.own.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(f"{folder}/own")
+        elif self.model is None:
             self.train.write.mode("overwrite").parquet(f"{folder}/train")
         else:
             self.model.write().overwrite().save(f"{folder}/model")
@@ -306,16 +344,29 @@ class FittedProbe:
     def load(folder: str, spark: SparkSession) -> FittedProbe:
         about = json.loads(spark.read.text(f"{folder}/about").first()[0])
         if about["probe"] == "knn":
-            return FittedProbe(**about, train=spark.read.parquet(f"{folder}/train"))
+            return _nearest(about["params"], spark.read.parquet(f"{folder}/train"))
+        if about["probe"] in OWN:
+            text = spark.read.text(f"{folder}/own").first()[0]
+            return FittedProbe(**about, own=OWN[about["probe"]].from_json(text))
         return FittedProbe(**about, model=PipelineModel.load(f"{folder}/model"))
 
 
+def _nearest(params: dict, train: DataFrame) -> FittedProbe:
+    """Exact neighbours, or with `approximate` those of an index built now."""
+    out = FittedProbe("knn", params, train=train)
+    if params.get("approximate"):
+        out.index = VectorIndex.build(train, new_folder(train.sparkSession, "vector-index"))
+    return out
+
+
 def fit(
     train: DataFrame, probe: str, params: dict, seed: int = 42, table: TableFacts | None = None
 ) -> FittedProbe:
     if probe == "knn":
-        return FittedProbe(probe, params, train=train.select("id", "features", "label"))
+        return _nearest(params, train.select("id", "features", "label"))
     table = table or facts(train)
+    if probe in OWN:
+        return FittedProbe(probe, params, labels=list(table.labels), own=fit_own(train, probe, params, table, seed))
     model = estimator(probe, params, table, seed).fit(as_vectors(train, table.labels))
     if probe in WITH_SUMMARY:
         folder = new_folder(train.sparkSession, "model")

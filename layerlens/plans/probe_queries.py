@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from layerlens.operators import metrics, neighbours, pooling, probes
+from layerlens.operators import metrics, neighbours, pooling, probes, vector_index
 from layerlens.plans import jobs
 from layerlens.plans.inputs import (
+    MARK,
     SEQUENCE,
     SQL_FEATURES,
+    SQL_MARKED,
+    SQL_TEST,
     features,
+    marked_features,
     table,
     token_states,
-    two_classes,
 )
 from layerlens.plans.registry import query
 from layerlens.session import new_folder
@@ -24,34 +27,32 @@ def _parts(df):
     return df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
 
 
-def _predicted(spark, sf, probe, params, binary=False):
-    rows = features(spark, sf)
-    train, test = _parts(two_classes(rows) if binary else rows)
+def _predicted(spark, sf, probe, params, rows=features):
+    train, test = _parts(rows(spark, sf))
     preds = probes.fit(train, probe, params, SEED).predict(test)
     return metrics.align(preds, test.select("id", "label"), ["id"])
 
 
-# Parameters of the registered fits; boosting and the kernel probe tell two classes apart.
+# Parameters of the registered fits, all within the search spaces.
 FITS = {
-    "m1_logistic_regression": ("logistic-regression", {"C": 1.0}, False),
-    "m2_linear_svm": ("linear-svm", {"C": 1.0}, False),
-    "m3_multilayer_perceptron": ("mlp", {"hidden_layer_sizes": (64,)}, False),
-    "m4_kernel_svm": ("non-linear-svm", {"C": 1.0, "kernel": "rbf"}, True),
-    "m5_decision_tree": ("decision-tree", {"max_depth": 8}, False),
-    "m6_random_forest": ("random-forest", {"n_estimators": 50, "max_depth": 8}, False),
-    "m7_boosted_trees": ("xgboost", {"n_estimators": 10, "learning_rate": 0.3}, True),
+    "m1_logistic_regression": ("logistic-regression", {"C": 1.0}),
+    "m2_linear_svm": ("linear-svm", {"C": 1.0}),
+    "m3_multilayer_perceptron": ("mlp", {"hidden_layer_sizes": (64,), "alpha": 1e-2}),
+    "m4_kernel_svm": ("non-linear-svm", {"C": 1.0, "kernel": "rbf"}),
+    "m5_decision_tree": ("decision-tree", {"max_depth": 12}),
+    "m6_random_forest": ("random-forest", {"n_estimators": 50, "max_depth": 8}),
+    "m7_boosted_trees": ("xgboost", {"n_estimators": 50, "learning_rate": 0.3}),
     "m8_boosted_trees_by_leaves": (
         "lightgbm",
-        {"n_estimators": 10, "learning_rate": 0.3, "num_leaves": 31},
-        True,
+        {"n_estimators": 50, "learning_rate": 0.3, "num_leaves": 31},
     ),
 }
 
-for _name, (_probe, _params, _binary) in FITS.items():
+for _name, (_probe, _params) in FITS.items():
 
-    @query(_name)
-    def fitted_probe(spark, sf, probe=_probe, params=_params, binary=_binary):
-        return _predicted(spark, sf, probe, params, binary)
+    @query(_name, SQL_MARKED)
+    def fitted_probe(spark, sf, probe=_probe, params=_params):
+        return _predicted(spark, sf, probe, params, marked_features)
 
 
 def _bayes_sql(features: str, train: str, test: str, columns: str) -> str:
@@ -126,37 +127,63 @@ def nearest_neighbour_vote(spark, sf):
     return _predicted(spark, sf, "knn", {"n_neighbors": K})
 
 
-@query("m11_frozen_comparison")
+@query(
+    "j4_approximate_neighbours",
+    f"""SELECT count(*) AS tests, {K} AS k, true AS recall_reached
+    FROM embeddings WHERE {SQL_TEST.format('vec_id')}""",
+)
+def approximate_neighbours(spark, sf):
+    """Whether the index finds nine tenths of the exact neighbours, over all test vectors."""
+    train, test = _parts(features(spark, sf))
+    index = vector_index.VectorIndex.build(train, new_folder(spark, "vector-index"), list_rows=100)
+    found = index.search(test, K)
+    row = vector_index.recall(found, neighbours.nearest_neighbours(train, test, K))
+    return row.select("tests", F.lit(K).alias("k"), (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query("m10_indexed_neighbour_vote", SQL_MARKED)
+def indexed_neighbour_vote(spark, sf):
+    return _predicted(spark, sf, "knn", {"n_neighbors": K, "approximate": True}, marked_features)
+
+
+@query(
+    "m11_frozen_comparison",
+    f"""SELECT 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1_score,
+      1.0::DOUBLE AS mcc FROM embeddings WHERE {SQL_TEST.format('vec_id')} LIMIT 1""",
+)
 def frozen_comparison(spark, sf):
-    """One trial per classifier, with cheaper parameters than a real search may draw."""
-    train, test = _parts(two_classes(features(spark, sf)))
-    spaces = {
-        **probes.FROZEN_SPACES,
-        "non-linear-svm": lambda rng, f: {"C": 0.1, "kernel": "linear"},
-        "mlp": lambda rng, f: {"hidden_layer_sizes": (50,), "max_iter": 50},
-        "lightgbm": lambda rng, f: {"num_leaves": 31, "learning_rate": 0.3, "n_estimators": 5},
-    }
-    winner, preds, _ = probes.compare_frozen(train, test, trials=1, seed=SEED, spaces=spaces)
+    """All four classifiers over their whole spaces; the best one finds every mark."""
+    train, test = _parts(marked_features(spark, sf))
+    _, preds, _ = probes.compare_frozen(train, test, trials=1, seed=SEED)
     scored = metrics.align(preds, test.select("id", "label"), ["id"])
     classes = metrics.class_scores(metrics.confusion(scored, []), [])
-    return metrics.scores(classes, [], "weighted").withColumn("probe", F.lit(winner.probe))
+    return metrics.scores(classes, [], "weighted")
 
 
-@query("m12_hyperparameter_search")
-def hyperparameter_search(spark, sf):
-    train, _ = _parts(features(spark, sf))
-    trials = probes.search(train, "logistic-regression", trials=3, seed=SEED)
-    return probes.trial_table(spark, trials).withColumn("params", F.to_json("params"))
+TRIALS = 5
+SEARCHED = ("logistic-regression", "decision-tree", BAYES, "knn")
 
 
 @query(
-    "m13_refit_and_predict",
-    _bayes_sql(SQL_FEATURES, TRAIN_SQL, TEST_SQL, "id, y_true, y_pred"),
+    "m12_hyperparameter_search",
+    f"""SELECT probe, {TRIALS}::BIGINT AS trials, 1.0::DOUBLE AS best_accuracy
+    FROM (SELECT unnest({list(SEARCHED)}) AS probe) WHERE (SELECT count(*) FROM embeddings) > 0""",
+    "best_accuracy",
 )
+def hyperparameter_search(spark, sf):
+    """The best of five trials of each probe; one of them at least finds every mark."""
+    train, _ = _parts(marked_features(spark, sf))
+    trials = [t for probe in SEARCHED for t in probes.search(train, probe, TRIALS, SEED)]
+    return probes.trial_table(spark, trials).groupBy("probe").agg(
+        F.count("*").alias("trials"), F.max("accuracy").alias("best_accuracy")
+    )
+
+
+@query("m13_refit_and_predict", SQL_MARKED)
 def refit_and_predict(spark, sf):
     """Trials see four fifths of the training rows, the refitted model all of them."""
-    train, test = _parts(features(spark, sf))
-    fitted, _ = probes.search_and_refit(train, BAYES, trials=2, seed=SEED)
+    train, test = _parts(marked_features(spark, sf))
+    fitted, _ = probes.search_and_refit(train, "decision-tree", TRIALS, SEED)
     return metrics.align(fitted.predict(test), test.select("id", "label"), ["id"])
 
 
@@ -185,21 +212,26 @@ def _sequence_features(spark, sf, methods):
     return pooling.pool(token_states(spark, sf), methods).join(labels, "id")
 
 
-@query("m15_grid_run")
+GRID_PROBES = ("decision-tree", BAYES, "knn")
+
+
+@query(
+    "m15_grid_run",
+    f"""SELECT layer, pooling, probe, 'done' AS status, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_score
+    FROM (SELECT unnest([0, 1, 2]) AS layer), (SELECT unnest({list(pooling.POOLINGS)}) AS pooling),
+      (SELECT unnest({list(GRID_PROBES)}) AS probe)
+    WHERE (SELECT count(*) FROM embeddings) > 0""",
+)
 def grid_run(spark, sf):
+    """All layers and poolings of the states, with the label marked in one more dimension."""
     folder = new_folder(spark, "grid")
-    _sequence_features(spark, sf, ["mean", "max"]).write.partitionBy("layer", "pooling").parquet(
-        f"{folder}/features"
-    )
+    marked = F.concat("features", F.array((MARK * F.col("label")).cast("double")))
+    rows = _sequence_features(spark, sf, list(pooling.POOLINGS)).withColumn("features", marked)
+    rows.write.partitionBy("layer", "pooling").parquet(f"{folder}/features")
     stored = spark.read.parquet(f"{folder}/features")
-    cells = [
-        (layer, method, probe)
-        for layer in (0, 1)
-        for method in ("mean", "max")
-        for probe in (BAYES, "knn")
-    ]
+    cells = [(layer, method, probe) for layer in (0, 1, 2) for method in pooling.POOLINGS for probe in GRID_PROBES]
     done = probes.run_grid(stored, cells, f"{folder}/predictions", trials=1, seed=SEED)
-    return done.withColumn("params", F.to_json("params"))
+    return done.select("layer", "pooling", "probe", "status", "accuracy", "f1_score")
 
 
 def _saved_sequence_probe(spark, sf):

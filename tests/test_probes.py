@@ -12,7 +12,7 @@ COLUMNS = "id long, features array<double>, label int"
 PARAMS = {
     "logistic-regression": {"C": 1.0},
     "linear-svm": {"C": 1.0},
-    "mlp": {"hidden_layer_sizes": (8,)},
+    "mlp": {"hidden_layer_sizes": (8,), "learning_rate_init": 0.05, "max_iter": 60},
     "non-linear-svm": {"C": 10.0, "kernel": "rbf"},
     "decision-tree": {"max_depth": 4},
     "random-forest": {"n_estimators": 10, "max_depth": 4},
