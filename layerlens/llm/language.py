@@ -67,6 +67,27 @@ _OF_RANGE = [_PLACE[name] for _, name in SCRIPTS]
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 WORD = regex.compile(rf"(?V1)(?:[\p{{L}}&&[{_UNSPACED}]]\p{{M}}*){{1,4}}|(?:[\p{{L}}--[{_UNSPACED}]]\p{{M}}*)+")
 
+#: Signs that belong to no word and are not Latin-1, and the bytes of Latin-1 that are letters.
+_FOREIGN_SIGNS = regex.compile(r"[^\p{L}\p{M}\x00-\xff]+")
+_LATIN = bytes(b if chr(b).isalpha() else 32 for b in range(256))
+
+
+def words_of(text: str) -> list:
+    """The words of a text in order: Latin-1 ones as bytes, which takes a tenth of the time, or
+    all as text if there are other letters."""
+    try:
+        return text.encode("latin-1").translate(_LATIN).split()
+    except UnicodeEncodeError:
+        pass
+    try:
+        return _FOREIGN_SIGNS.sub(" ", text).encode("latin-1").translate(_LATIN).split()
+    except UnicodeEncodeError:
+        return WORD.findall(text)
+
+
+def _spelled(words: list) -> list[str]:
+    return [w.decode("latin-1") if isinstance(w, bytes) else w for w in words]
+
 
 def script_of(word: str) -> int:
     """The number of the script of a word's first letter."""
@@ -115,18 +136,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         slots: dict[str, np.ndarray] = {}
         letters: dict[str, np.ndarray] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
                 words: dict[str, Counter] = {}
                 for t, l in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
                     if t:
-                        words.setdefault(l, Counter()).update(WORD.findall(t))
+                        words.setdefault(l, Counter()).update(words_of(t))
                 for l, counts in words.items():
                     if not counts:
                         continue
                     if l not in slots:
                         slots[l], letters[l] = np.zeros(SLOTS), np.zeros(len(NAMES))
-                    own, n = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+                    own, n = _spelled(list(counts)), np.fromiter(counts.values(), np.float64, len(counts))
                     at, keys = slots_of([w.lower() for w in own])
                     slots[l] += np.bincount(keys, n[at], SLOTS)
                     size = n * np.fromiter(map(len, own), np.float64, len(own))
@@ -216,7 +237,7 @@ class _Scorer:
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.table = np.concatenate([self.table, word_scores(new, self.model)])
+            self.table = np.concatenate([self.table, word_scores(_spelled(new), self.model)])
         return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
@@ -274,7 +295,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
             found = {"lang": [], "score": [], "n_spans": [], "spans": []}
             words, size, first = [], 0, 0
             for i, t in enumerate(texts):
-                words.append(WORD.findall(t) if t and known else [])
+                words.append(words_of(t) if t and known else [])
                 size += len(words[-1])
                 if size < most and i + 1 < len(texts):
                     continue
