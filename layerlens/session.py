@@ -116,6 +116,11 @@ class Scratch:
         self.folders[id(out)] = out, folder
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables made here but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*[t for key, (t, _) in self.folders.items() if key not in kept])
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables made here; others are left alone."""
         for table in tables:
