@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from layerlens.llm.common import fresh, map_arrow, window_hashes, with_field, word_hashes
-from layerlens.session import written
+from layerlens.session import Scratch, bucketed
 
 LENGTH = 35
+#: Ranges a task holds before it hands them on.
+HELD_SPANS = 1_000_000
 
 
 def levels(length: int) -> list[int]:
@@ -60,7 +62,8 @@ def ranges(first: list[int], last: list[int]) -> list[tuple[int, int]]:
 
 
 def _runs(rows: DataFrame, length: int, size: int) -> DataFrame:
-    """(hash, row, first, last): the runs of `size` words that stand for candidate windows.
+    """(hash, row, first, more): the runs of `size` words that stand for candidate windows,
+    which are `first` and the `more` after it.
 
     Without a column `spans` every window is a candidate.
     """
@@ -80,31 +83,74 @@ def _runs(rows: DataFrame, length: int, size: int) -> DataFrame:
                 at = [(0, len(words) - length)]
             for lo, hi in at:
                 runs, first, last = least_runs(hashes, length - size + 1, lo, hi)
-                for column, part in zip(found, (hashes[runs].view(np.int64), np.full(len(runs), row), first, last)):
+                for column, part in zip(found, (hashes[runs].view(np.int64), np.full(len(runs), row), first, last - first)):
                     column.append(part)
         if found[0]:
+            columns = [np.concatenate(c) for c in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).astype(np.int64)) for c in found],
-                names=["hash", "row", "first", "last"],
+                [pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])],
+                names=["hash", "row", "first", "more"],
             )
 
-    return map_arrow(rows, run, "hash long, row long, first long, last long")
+    return map_arrow(rows, run, "hash long, row long, first int, more int")
 
 
-def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
+def joined_spans(runs: DataFrame) -> DataFrame:
+    """(row, first, last) from (row, first, more): ranges of a task's rows joined where they touch.
+
+    What a text of copied words sends on is a few ranges, not one per window.
+    """
+
+    def run(batches):
+        row: dict[int, list[tuple[int, int]]] = {}
+
+        def told():
+            out = [(r, *span) for r, spans in row.items() for span in ranges(*zip(*spans))]
+            row.clear()
+            columns = zip(*out)
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "first", "last"])
+
+        held = 0
+        for batch in batches:
+            rows, first = batch.column("row").to_numpy(), batch.column("first").to_numpy()
+            last = first + batch.column("more").to_numpy()
+            order = np.lexsort((first, rows))
+            rows, first, last = rows[order], first[order], last[order]
+            # Where a new range begins: another row, or a gap after all ranges before it.
+            reach = np.maximum.accumulate(last.astype(np.int64) + (np.cumsum(np.r_[False, rows[1:] != rows[:-1]]) << 32))
+            place = first.astype(np.int64) + (np.cumsum(np.r_[False, rows[1:] != rows[:-1]]) << 32)
+            begins = np.flatnonzero(np.r_[True, place[1:] > reach[:-1] + 1])
+            ends = np.r_[begins[1:] - 1, len(rows) - 1] if len(rows) else begins
+            for r, lo, hi in zip(rows[begins].tolist(), first[begins].tolist(), (reach[ends] & 0xFFFFFFFF).tolist()):
+                row.setdefault(r, []).append((lo, hi))
+            held += len(begins)
+            if held > HELD_SPANS:
+                yield told()
+                held = 0
+        if row:
+            yield told()
+
+    return runs.select("row", "first", "more").mapInArrow(run, "row long, first int, last int")
+
+
+def repeated_windows(rows: DataFrame, length: int, scratch: Scratch | None = None) -> DataFrame:
     """From (row, text) to (row, spans): the starts of repeated windows, as ranges."""
-    left = rows
+    scratch = scratch or Scratch(rows.sparkSession)
+    left, spans = rows, None
     for size in levels(length):
         # Below the full length a run may stand for two ranges of a row and so count twice: a
         # candidate too many. At the full length every window is its own run, counted once.
-        runs = written(_runs(left, length, size), "runs")
+        runs = scratch.written(_runs(left, length, size), "runs")
         twice = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-        spans = runs.join(twice, "hash").groupBy("row").agg(
+        twice = scratch.written(twice, "twice")
+        found = joined_spans(runs.join(twice, "hash")).groupBy("row").agg(
             F.collect_list(F.struct("first", "last")).alias("spans")
         )
-        spans = written(spans, "spans")
-        if size < length:
-            left = written(rows.join(spans.hint("shuffle_hash"), "row"), "left")
+        before, spans = spans, scratch.written(found, "spans")
+        scratch.drop(runs, twice, before)
+        # The texts lie bucketed by row, so that only the spans move.
+        left = rows.join(spans, "row")
     return spans
 
 
@@ -118,8 +164,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     """
     row, spans_, name = fresh(docs, "row", "spans", "repeats")
     columns = docs.columns
-    # Numbered and stored, so that every later step sees the same numbers.
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # Numbered and stored in buckets of rows, so that every later step sees the same numbers
+    # and no text moves again.
+    rows = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row, "numbered")
     slim = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
     found = repeated_windows(slim, length).select(F.col("row").alias(row), F.col("spans").alias(spans_))
     joined = rows.join(found, row, "left").select(*[f"`{c}`" for c in docs.columns], spans_)
