@@ -127,6 +127,9 @@ class BoostedTrees:
                 out[:, c] += tree.value[tree.leaves(bins)]
         return out
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.margins(x) if self.base.size > 1 else self.probabilities(x)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return _probabilities(self.margins(x))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,9 @@ class Perceptron:
     shifts: list[np.ndarray]
     losses: list[float]
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.probabilities(x)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = _forward(x, self.weights, self.shifts)[-1]
         return np.concatenate([1 - out, out], axis=1) if out.shape[1] == 1 else out
@@ -89,7 +93,7 @@ def _sums(x: np.ndarray, target: np.ndarray, weights, shifts) -> np.ndarray:
     return np.concatenate([[len(x), -np.log(hit).sum()], *parts])
 
 
-def _stored(train: DataFrame, batches: int, seed: int, folder: str) -> list[DataFrame]:
+def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> list[DataFrame]:
     """Blocks (x, target) of each batch."""
     spark = train.sparkSession
     dealt = train.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(batches)).cast("int").alias("batch"), "features", "target")
@@ -116,16 +120,19 @@ def _stored(train: DataFrame, batches: int, seed: int, folder: str) -> list[Data
     return [spark.read.schema("x binary, target binary").parquet(f"{folder}/batch={b}") for b in held]
 
 
-def _gradient(batch: DataFrame, tasks: int, weights, shifts) -> np.ndarray:
-    dims = weights[0].shape[0]
-    size = 2 + sum(w.size + b.size for w, b in zip(weights, shifts))
-    shared = batch.sparkSession.sparkContext.broadcast((weights, shifts))
+def summed(blocks: DataFrame, tasks: int, dims: int, size: int, of_block: Callable, state) -> np.ndarray:
+    """The sum over all blocks of of_block(x, target, state), which gives `size` numbers.
+
+    Tasks add up their own blocks; the sums of many tasks are added up in an exchange before
+    the driver adds the rest.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(state)
 
     def run(parts):
         total = np.zeros(size)
         for part in parts:
             for x, target in zip(part.column("x").to_pylist(), part.column("target").to_pylist()):
-                total += _sums(np.frombuffer(x).reshape(-1, dims), np.frombuffer(target, np.int32), *shared.value)
+                total += of_block(np.frombuffer(x).reshape(-1, dims), np.frombuffer(target, np.int32), shared.value)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     def add(parts):
@@ -135,7 +142,7 @@ def _gradient(batch: DataFrame, tasks: int, weights, shifts) -> np.ndarray:
                 total += np.frombuffer(raw)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    sums = batch.mapInArrow(run, "sums binary")
+    sums = blocks.mapInArrow(run, "sums binary")
     if tasks > DIRECT_TASKS:
         sums = sums.repartition(math.isqrt(tasks)).mapInArrow(add, "sums binary")
     out = sum((np.frombuffer(r.sums) for r in sums.collect()), np.zeros(size))
@@ -143,6 +150,10 @@ def _gradient(batch: DataFrame, tasks: int, weights, shifts) -> np.ndarray:
     return out
 
 
+def _of_block(x: np.ndarray, target: np.ndarray, state) -> np.ndarray:
+    return _sums(x, target, *state)
+
+
 def _start(layers: list[int], seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Uniform weights whose spread keeps the units' spread from layer to layer."""
     rng = np.random.default_rng(seed)
@@ -162,16 +173,17 @@ def fit(train: DataFrame, rows: int, dims: int, classes: int, hidden: tuple[int,
     """
     spark = train.sparkSession
     folder = new_folder(spark, "perceptron")
-    batches = _stored(train, max(1, min(math.ceil(rows / BATCH_ROWS), MAX_BATCHES)), seed, folder)
+    batches = stored_blocks(train, max(1, min(math.ceil(rows / BATCH_ROWS), MAX_BATCHES)), seed, folder)
     tasks = [b.rdd.getNumPartitions() for b in batches]
     weights, shifts = _start([dims, *hidden, 1 if classes <= 2 else classes], seed)
     first = [np.zeros_like(p) for pair in zip(weights, shifts) for p in pair]
     second = [np.zeros_like(p) for p in first]
+    size = 2 + sum(p.size for p in first)
     rng, step, losses, best, waited = np.random.default_rng(seed), 0, [], math.inf, 0
     for _ in range(epochs):
         total = seen = 0.0
         for b in rng.permutation(len(batches)):
-            sums = _gradient(batches[b], tasks[b], weights, shifts)
+            sums = summed(batches[b], tasks[b], dims, size, _of_block, (weights, shifts))
             n, loss, at = sums[0], sums[1], 2
             total += loss + 0.5 * alpha * sum(float((w * w).sum()) for w in weights)
             seen += n

@@ -18,26 +18,23 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LinearSVC,
     LogisticRegression,
     NaiveBayes,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from layerlens.functions.draws import is_validation
-from layerlens.operators import metrics, neighbours
+from layerlens.operators import calibration, guided, metrics, neighbours
 from layerlens.operators.boosting import BoostedTrees, Growth, fit as fit_boosted
+from layerlens.operators.hinge import LinearMargins, fit as fit_margins
+from layerlens.operators.kernels import KernelMargins, fit as fit_kernel
 from layerlens.operators.perceptron import Perceptron, fit as fit_perceptron
 from layerlens.operators.vector_index import VectorIndex
 from layerlens.operators.pooling import pool, standardise
@@ -46,48 +43,6 @@ from layerlens.session import new_folder
 log = logging.getLogger(__name__)
 
 TOLERANCE = 1e-4  # where linear fits stop
-KERNEL_TOLERANCE = 1e-3  # where kernel fits stop
-
-
-class RandomFourierFeatures(
-    Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Maps vectors so that dot products approximate a Gaussian kernel.
-
-    The random directions follow from the seed, so every task draws the same ones.
-    """
-
-    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel coefficient", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, seed=None, width=256, gamma=1.0):
-        super().__init__()
-        self._setDefault(width=256, gamma=1.0)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        width, gamma = self.getOrDefault(self.width), self.getOrDefault(self.gamma)
-        seed = self.getSeed()
-
-        @F.pandas_udf("array<double>")
-        def waves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            directions = None
-            for vectors in batches:
-                out = []
-                for start in range(0, len(vectors), 1024):
-                    x = np.stack(vectors.iloc[start : start + 1024].to_list()).astype(np.float64)
-                    if directions is None:
-                        rng = np.random.default_rng(seed)
-                        directions = rng.normal(
-                            scale=math.sqrt(2 * gamma), size=(x.shape[1], width)
-                        )
-                        phases = rng.uniform(0, 2 * math.pi, width)
-                    out.extend(math.sqrt(2 / width) * np.cos(x @ directions + phases))
-                yield pd.Series(out)
-
-        mapped = waves(vector_to_array(F.col(self.getInputCol())))
-        return df.withColumn(self.getOutputCol(), array_to_vector(mapped))
 
 
 @dataclass(frozen=True)
@@ -130,7 +85,7 @@ SPACES = {
     },
     "non-linear-svm": lambda rng, f: {
         "C": _log_uniform(rng, 1e-4, 1e2),
-        "kernel": rng.choice(["linear", "rbf"]),
+        "kernel": rng.choice(["linear", "rbf", "poly", "sigmoid"]),
     },
     "decision-tree": lambda rng, f: {"max_depth": rng.randint(3, 30)},
     "random-forest": lambda rng, f: {
@@ -184,24 +139,10 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
     columns = {"featuresCol": "vector", "labelCol": "target"}
     many = table.classes > 2
 
-    def per_class(classifier):
-        if not many:
-            return classifier
-        return OneVsRest(classifier=classifier, parallelism=4, **columns)
-
     def penalty() -> float:
         # C weighs the summed loss against the penalty; MLlib weighs the penalty against the mean.
         return 1.0 / (params["C"] * table.rows)
 
-    def svm(features: str, tolerance: float = TOLERANCE):
-        return LinearSVC(
-            **{**columns, "featuresCol": features},
-            regParam=penalty(),
-            maxIter=1000,  # quasi-Newton steps, each a pass over all rows
-            tol=tolerance,
-            standardization=False,
-        )
-
     if probe == "logistic-regression":
         stages = [
             LogisticRegression(
@@ -213,21 +154,6 @@ def estimator(probe: str, params: dict, table: TableFacts, seed: int) -> Pipelin
                 family="multinomial" if many else "auto",
             )
         ]
-    elif probe == "linear-svm":
-        stages = [per_class(svm("vector"))]
-    elif probe == "non-linear-svm" and params["kernel"] == "linear":
-        stages = [per_class(svm("vector", KERNEL_TOLERANCE))]
-    elif probe == "non-linear-svm" and params["kernel"] == "rbf":
-        gamma = 1.0 / (table.dims * table.variance) if table.variance > 0 else 1.0
-        waves = RandomFourierFeatures(
-            inputCol="vector", outputCol="waves", seed=seed, width=256, gamma=gamma
-        )
-        classifier = svm("waves", KERNEL_TOLERANCE)
-        if many:
-            classifier = OneVsRest(
-                classifier=classifier, parallelism=4, featuresCol="waves", labelCol="target"
-            )
-        stages = [waves, classifier]
     elif probe == "decision-tree":
         stages = [DecisionTreeClassifier(**columns, maxDepth=params["max_depth"], seed=seed)]
     elif probe == "random-forest":
@@ -257,17 +183,25 @@ def as_vectors(df: DataFrame, labels: tuple[int, ...] | None = None) -> DataFram
 
 #: Their fitted models hold a training summary and with it the session, which cannot be sent to
 #: executors once the session has observed metrics. Stored and loaded, a model has none.
-WITH_SUMMARY = frozenset(("logistic-regression", "linear-svm", "non-linear-svm"))
+WITH_SUMMARY = frozenset(("logistic-regression",))
 
 
 #: Probes trained here rather than by MLlib, and what their fitted models are stored as.
-OWN = {"mlp": Perceptron, "xgboost": BoostedTrees, "lightgbm": BoostedTrees}
+OWN = {
+    "linear-svm": LinearMargins, "non-linear-svm": KernelMargins, "mlp": Perceptron, "xgboost": BoostedTrees,
+    "lightgbm": BoostedTrees,
+}
+Own = LinearMargins | KernelMargins | Perceptron | BoostedTrees | calibration.Calibrated
 
 
-def fit_own(train: DataFrame, probe: str, params: dict, table: TableFacts, seed: int) -> Perceptron | BoostedTrees:
+def fit_own(train: DataFrame, probe: str, params: dict, table: TableFacts, seed: int) -> Own:
     """Fits (id, features, label), whose labels are numbered by the table's order."""
-    place = F.array_position(F.array(*map(F.lit, table.labels)), F.col("label")) - 1
-    rows = train.select("id", "features", place.cast("int").alias("target"))
+    rows = _numbered(train, table)
+    if probe == "linear-svm":
+        return fit_margins(rows, table.dims, table.classes, params["C"], seed=seed)
+    if probe == "non-linear-svm":
+        gamma = 1.0 / (table.dims * table.variance) if table.variance > 0 else 1.0
+        return fit_kernel(rows, table.dims, table.classes, params["C"], params["kernel"], gamma, seed)
     if probe == "mlp":
         return fit_perceptron(
             rows, table.rows, table.dims, table.classes, tuple(params["hidden_layer_sizes"]),
@@ -278,16 +212,33 @@ def fit_own(train: DataFrame, probe: str, params: dict, table: TableFacts, seed:
     return fit_boosted(rows, table.classes, Growth.by_leaves(params), from_prior=True)
 
 
-def _class_probabilities(model: Perceptron | BoostedTrees):
+def _numbered(df: DataFrame, table: TableFacts) -> DataFrame:
+    """(id, features, target): labels by their place among the table's."""
+    place = F.array_position(F.array(*map(F.lit, table.labels)), F.col("label")) - 1
+    return df.select("id", "features", place.cast("int").alias("target"))
+
+
+def _sigmoids(train: DataFrame, probe: str, params: dict, table: TableFacts, seed: int):
+    """Sigmoids for the scores of a probe, from rows that a fit on the others has not seen."""
+    held_out = is_validation(F.col("id"), seed)
+    model = fit_own(train.filter(~held_out), probe, params, table, seed)
+    scored = _numbered(train.filter(held_out), table).withColumn("features", _of_vectors(model.scores))
+    counts = {r.target: r.n for r in scored.groupBy("target").agg(F.count("*").alias("n")).collect()}
+    return calibration.fit(scored, table.classes, [counts.get(c, 0) for c in range(table.classes)], seed)
+
+
+def _of_vectors(measure):
+    """A column of `features` to what measure(matrix) gives for each row."""
+
     @F.pandas_udf("array<double>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
             out = []
             for start in range(0, len(vectors), 1024):
-                out.extend(model.probabilities(np.stack(vectors.iloc[start : start + 1024].to_list())))
+                out.extend(measure(np.stack(vectors.iloc[start : start + 1024].to_list())))
             yield pd.Series(out)
 
-    return scored
+    return measured("features")
 
 
 @dataclass
@@ -299,13 +250,13 @@ class FittedProbe:
     model: PipelineModel | None = None
     train: DataFrame | None = field(default=None, repr=False)
     labels: list[int] = field(default_factory=list)
-    own: Perceptron | BoostedTrees | None = field(default=None, repr=False)
+    own: Own | None = field(default=None, repr=False)
     index: VectorIndex | None = field(default=None, repr=False)
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """(id, probabilities): one for each of `labels`, in their order; null where a probe has none."""
-        if self.own is not None:
-            found = df.select("id", _class_probabilities(self.own)("features").alias("p"))
+        if hasattr(self.own, "probabilities"):
+            found = df.select("id", _of_vectors(self.own.probabilities).alias("p"))
         elif self.model is not None and "probability" in (scored := self.model.transform(as_vectors(df))).columns:
             found = scored.select("id", vector_to_array("probability").alias("p"))
         else:
@@ -319,9 +270,10 @@ class FittedProbe:
         if self.train is not None:
             return neighbours.classify(self.train, df, self.params["n_neighbors"])
         if self.own is not None:
-            scored = self.probabilities(df)
+            scores = F.slice(_of_vectors(self.own.scores), 1, len(self.labels))
+            scored = df.select("id", scores.alias("s"))
             # The first label of equals.
-            best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+            best = F.array_position("s", F.array_max("s")).cast("int")
             return scored.select("id", F.element_at(F.array(*map(F.lit, self.labels)), best).alias("y_pred"))
         scored = self.model.transform(as_vectors(df))
         # A model keeps room for two classes even where it saw one.
@@ -347,7 +299,9 @@ class FittedProbe:
             return _nearest(about["params"], spark.read.parquet(f"{folder}/train"))
         if about["probe"] in OWN:
             text = spark.read.text(f"{folder}/own").first()[0]
-            return FittedProbe(**about, own=OWN[about["probe"]].from_json(text))
+            kind = OWN[about["probe"]]
+            own = calibration.Calibrated.from_json(text, kind) if "slopes" in json.loads(text) else kind.from_json(text)
+            return FittedProbe(**about, own=own)
         return FittedProbe(**about, model=PipelineModel.load(f"{folder}/model"))
 
 
@@ -366,7 +320,10 @@ def fit(
         return _nearest(params, train.select("id", "features", "label"))
     table = table or facts(train)
     if probe in OWN:
-        return FittedProbe(probe, params, labels=list(table.labels), own=fit_own(train, probe, params, table, seed))
+        own = fit_own(train, probe, params, table, seed)
+        if params.get("probability") and not hasattr(own, "probabilities"):
+            own = calibration.Calibrated(own, *_sigmoids(train, probe, params, table, seed))
+        return FittedProbe(probe, params, labels=list(table.labels), own=own)
     model = estimator(probe, params, table, seed).fit(as_vectors(train, table.labels))
     if probe in WITH_SUMMARY:
         folder = new_folder(train.sparkSession, "model")
@@ -389,10 +346,15 @@ def search(
     parallelism: int = 4,
     spaces: dict = SPACES,
     average: str = "macro",
+    folder: str | None = None,
+    metric: str = "accuracy",
 ) -> list[dict]:
     """Trials scored on a held-out fifth of the training rows, in trial order.
 
-    Each has `trial`, `probe`, `params`, `accuracy` and `f1_score`.
+    Each has `trial`, `probe`, `params`, `accuracy` and `f1_score`. The first ones are seeded
+    draws, run side by side; from guided.STARTUP on each is proposed from the `metric` of all
+    before it. With a shared `folder` every trial is stored as it ends, and a later search of
+    the same probe and seed takes the stored ones up and goes on after them.
     """
     held_out = is_validation(F.col("id"), seed)
     fit_rows, validation = train.filter(~held_out), train.filter(held_out)
@@ -404,16 +366,50 @@ def search(
         truth = validation.select("id", "label")
         cells = metrics.confusion(metrics.align(preds, truth, ["id"]), [])
         row = metrics.scores(metrics.class_scores(cells, []), [], average).first()
-        return {
+        done = {
             "trial": trial,
             "probe": probe,
             "params": params,
             "accuracy": row.accuracy,
             "f1_score": row.f1_score,
         }
-
-    drawn = draw_params(spaces, probe, table, trials, seed)
-    return _in_threads(train.sparkSession, run, list(enumerate(drawn)), parallelism)
+        if folder is not None:
+            _store_trial(train.sparkSession, done, seed, folder)
+        return done
+
+    stored = {} if folder is None else _stored_trials(train.sparkSession, probe, seed, folder)
+    drawn = draw_params(spaces, probe, table, min(trials, guided.STARTUP), seed)
+    first = [(i, params) for i, params in enumerate(drawn) if i not in stored]
+    for trial in _in_threads(train.sparkSession, run, first, parallelism):
+        stored[trial["trial"]] = trial
+    for i in range(len(drawn), trials):
+        if i not in stored:
+            rng = random.Random(f"{seed}-{probe}-{i}")
+            candidates = [spaces[probe](rng, table) for _ in range(guided.CANDIDATES)]
+            params = guided.propose(candidates, [stored[j] for j in range(i)], metric)
+            stored[i] = run((i, params))
+    return [stored[i] for i in range(trials)]
+
+
+STORED = "seed long, trial int, probe string, params string, accuracy double, f1_score double"
+
+
+def _store_trial(spark: SparkSession, trial: dict, seed: int, folder: str) -> None:
+    """One row under the trial's own name, so that a repeated trial replaces itself."""
+    row = (seed, trial["trial"], trial["probe"], json.dumps(trial["params"]), trial["accuracy"], trial["f1_score"])
+    path = f"{folder}/{trial['probe']}-{seed}-{trial['trial']}"
+    spark.createDataFrame([row], STORED).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _stored_trials(spark: SparkSession, probe: str, seed: int, folder: str) -> dict[int, dict]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    whole = hadoop.Path(f"{folder}/{probe}-{seed}-*/_SUCCESS")
+    found = whole.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(whole) or []
+    if not len(found):
+        return {}
+    paths = [f.getPath().getParent().toString() for f in found]
+    rows = spark.read.schema(STORED).parquet(*paths).drop("seed").collect()
+    return {r.trial: {**r.asDict(), "params": json.loads(r.params)} for r in rows}
 
 
 TRIALS = "trial int, probe string, params map<string,string>, accuracy double, f1_score double"

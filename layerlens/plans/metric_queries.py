@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from layerlens.operators import compare, metrics, significance
@@ -151,23 +153,37 @@ def confusion_flatten(spark, sf):
 
 @query(
     "a20_evaluation_loss",
-    """WITH logits AS (
-      SELECT vec_id, label, unnest(embedding[1:10])::DOUBLE AS x, generate_subscripts(embedding[1:10], 1) - 1 AS c
-      FROM embeddings),
+    """WITH long AS (
+      SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+    means AS (SELECT label AS c, dim, avg(x) AS m FROM long GROUP BY label, dim),
+    logits AS (SELECT vec_id, label, c, sum(x * m) AS s FROM long JOIN means USING (dim) GROUP BY vec_id, label, c),
     chances AS (
-      SELECT vec_id, label, c, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM logits)
+      SELECT vec_id, label, c, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id) AS p FROM logits)
     SELECT label, avg(-ln(p)) AS eval_loss FROM chances WHERE c = label GROUP BY label""",
     "eval_loss",
 )
 def evaluation_loss(spark, sf):
-    """The first ten dimensions of a vector taken as class scores."""
-    peaks = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double")))
-    scored = table(spark, sf, "embeddings").select("label", peaks.alias("peaks"))
-    total = F.aggregate("peaks", F.lit(0.0), lambda acc, x: acc + x)
+    """Class scores are the products of a vector with the mean vector of each label, over all
+    dimensions; their probabilities are the scores' softmax."""
+    vectors = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    means = vectors.groupBy("label").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("m")
+    ).agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("means"))
+    scored = vectors.withColumn("means", means.scalar())
+    product = lambda m: F.aggregate(
+        F.zip_with("x", m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+    )
+    scored = scored.withColumn("s", F.transform("means", lambda c: product(c["m"])))
+    peaks = F.transform("s", lambda v: F.exp(v - F.array_max("s")))
+    scored = scored.withColumn("peaks", peaks)
+    total = F.aggregate("peaks", F.lit(0.0), lambda acc, v: acc + v)
     scored = scored.withColumn("total", total).withColumn(
-        "probability", F.transform("peaks", lambda x: x / F.col("total"))
+        "probability", F.transform("peaks", lambda v: v / F.col("total"))
     )
-    return metrics.cross_entropy(scored, ["label"])
+    # A label's place among all labels is where its probability stands.
+    place = F.array_position(F.transform("means", lambda c: c["label"]), F.col("label")) - 1
+    scored = scored.select(F.col("label").alias("own"), place.alias("label"), "probability")
+    return metrics.cross_entropy(scored, ["own"]).withColumnRenamed("own", "label")
 
 
 RESULT_COLUMNS = " ".join(METRICS)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from layerlens.operators import metrics, significance
 from layerlens.operators.metrics import METRICS
@@ -102,9 +104,17 @@ def prompt_prediction_sink(spark, sf):
     return spark.read.parquet(folder)
 
 
-def _lang(df):
-    """One dataset's rows, as a folder of run files holds one dataset: all documents."""
-    return df.filter(F.col("dataset") == "lang").drop("dataset")
+DATASETS = ("quality", "lang")
+
+
+def _each(df):
+    """(dataset, its rows): a folder of run files holds one dataset."""
+    return [(d, df.filter(F.col("dataset") == d).drop("dataset")) for d in DATASETS]
+
+
+def _of_each(read, folder):
+    """What `read` finds in the folder of each dataset."""
+    return reduce(DataFrame.unionByName, [read(f"{folder}/{d}").withColumn("dataset", F.lit(d)) for d in DATASETS])
 
 
 def _run_name():
@@ -114,28 +124,28 @@ def _run_name():
 @query(
     "s8_prediction_source",
     f"""WITH {SQL_PREDICTIONS}
-    SELECT layer, pooling, probe, id, y_pred FROM preds WHERE dataset = 'lang'""",
+    SELECT dataset, layer, pooling, probe, id, y_pred FROM preds""",
 )
 def prediction_source(spark, sf):
     """Run files written and read back by name; files with a malformed name are skipped."""
     folder = new_folder(spark, "runs")
-    preds = _lang(predictions(spark, sf))
-    prediction_files.write_run_files(preds, folder, _run_name())
     nameless = F.concat(F.lit("layer_"), F.col("layer"), F.lit(".tsv"))
-    prediction_files.write_run_files(preds, folder, nameless)
-    return prediction_files.read_runs(spark, folder)
+    for dataset, preds in _each(predictions(spark, sf)):
+        for name in (_run_name(), nameless):
+            prediction_files.write_run_files(preds, f"{folder}/{dataset}", name)
+    return _of_each(lambda own: prediction_files.read_runs(spark, own), folder)
 
 
 @query(
     "s9_prompt_prediction_source",
     f"""WITH {SQL_PROMPT_PREDICTIONS}
-    SELECT prompt_type, id, y_pred FROM preds WHERE dataset = 'lang'""",
+    SELECT dataset, prompt_type, id, y_pred FROM preds""",
 )
 def prompt_prediction_source(spark, sf):
     folder = new_folder(spark, "prompt-runs")
-    preds = _lang(prompt_predictions(spark, sf))
-    prediction_files.write_run_files(preds, folder, F.concat("prompt_type", F.lit(".tsv")))
-    return prediction_files.read_prompt_runs(spark, folder)
+    for dataset, preds in _each(prompt_predictions(spark, sf)):
+        prediction_files.write_run_files(preds, f"{folder}/{dataset}", F.concat("prompt_type", F.lit(".tsv")))
+    return _of_each(lambda own: prediction_files.read_prompt_runs(spark, own), folder)
 
 
 @query("s10_result_append", f"WITH {SQL_RESULTS} SELECT * FROM scored", RESULT_COLUMNS)
@@ -257,18 +267,18 @@ def resume_anti_join(spark, sf):
 @query(
     "v2_incremental_evaluation",
     f"""WITH {SQL_PREDICTIONS}, {sql_scores("dataset, layer, pooling, probe", "macro")}
-    SELECT layer, pooling, probe, {", ".join(METRICS)} FROM scored WHERE dataset = 'lang'""",
+    SELECT dataset, layer, pooling, probe, {", ".join(METRICS)} FROM scored""",
     RESULT_COLUMNS,
 )
 def incremental_evaluation(spark, sf):
     """Run files arrive in two deliveries; each is scored once, by a resumed stream."""
     root = new_folder(spark, "incremental")
-    preds = _lang(predictions(spark, sf))
-    labels = _lang(truth(spark, sf))
+    labels = dict(_each(truth(spark, sf)))
     for first in (True, False):
-        delivery = preds.filter((F.col("layer") == 0) == first)
-        prediction_files.write_run_files(delivery, f"{root}/runs", _run_name())
-        evaluation.score_new_files(
-            spark, f"{root}/runs", labels, f"{root}/counts", f"{root}/checkpoint"
-        ).awaitTermination()
-    return evaluation.scores_so_far(spark, f"{root}/counts", "macro")
+        for dataset, preds in _each(predictions(spark, sf).filter((F.col("layer") == 0) == first)):
+            own = f"{root}/{dataset}"
+            prediction_files.write_run_files(preds, f"{own}/runs", _run_name())
+            evaluation.score_new_files(
+                spark, f"{own}/runs", labels[dataset], f"{own}/counts", f"{own}/checkpoint"
+            ).awaitTermination()
+    return _of_each(lambda own: evaluation.scores_so_far(spark, f"{own}/counts", "macro"), root)

@@ -6,9 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from layerlens.operators.metrics import align, class_scores, confusion, scores
+from layerlens.session import dropped
 from layerlens.sources.predictions import RUN_KEY, lines, runs
 
 
+COUNTED = (*RUN_KEY, "y_true", "y_pred")
+
+
+def _version(folder: str, batch_id: int) -> str:
+    return f"{folder}/upto={batch_id}"
+
+
+def stored_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The batches whose sums are there and complete."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    whole = hadoop.Path(f"{folder}/upto=*/_SUCCESS")
+    found = whole.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(whole) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def score_new_files(
     spark: SparkSession,
     folder: str,
@@ -17,15 +33,22 @@ def score_new_files(
     checkpoint: str,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Reads what is new, then stops. Each batch leaves its confusion counts.
+    """Reads what is new, then stops. The counts of all batches so far are one small table.
 
-    A batch that is repeated after a failure overwrites its own folder, so no file is
-    counted twice.
+    A batch adds its confusion counts to those up to the batch before it and stores the sum
+    under its own number; older sums are deleted, but for the one it was made from. A batch
+    that is repeated after a failure starts from that one again and overwrites its own, so no
+    file is counted twice, and neither folders nor reads grow with the batches.
     """
 
     def save_counts(batch: DataFrame, batch_id: int) -> None:
         cells = confusion(align(runs(batch), truth, ["id"]), list(RUN_KEY))
-        cells.write.mode("overwrite").parquet(f"{counts_folder}/batch={batch_id}")
+        earlier = [v for v in stored_versions(spark, counts_folder) if v < batch_id]
+        if earlier:
+            cells = cells.unionByName(spark.read.parquet(_version(counts_folder, max(earlier))))
+        total = cells.groupBy(*COUNTED).agg(F.sum("n").alias("n"))
+        total.write.mode("overwrite").parquet(_version(counts_folder, batch_id))
+        dropped(spark, *[_version(counts_folder, v) for v in sorted(earlier)[:-1]])
 
     return (
         lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder)
@@ -37,8 +60,8 @@ def score_new_files(
 
 
 def confusion_so_far(spark: SparkSession, counts_folder: str) -> DataFrame:
-    cells = spark.read.parquet(counts_folder)
-    return cells.groupBy(*RUN_KEY, "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    """The counts up to the last batch that is stored whole."""
+    return spark.read.parquet(_version(counts_folder, max(stored_versions(spark, counts_folder))))
 
 
 def scores_so_far(spark: SparkSession, counts_folder: str, average: str = "binary") -> DataFrame:
