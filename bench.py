@@ -42,9 +42,16 @@ HEADLINE = (
     "s8_prediction_source",
     "s14_resume_list",
     "v2_incremental_evaluation",
+    "j4_nearest_neighbours",
+    "j4_approximate_neighbours",
     "m1_logistic_regression",
+    "m2_linear_svm",
+    "m4_kernel_svm",
+    "m5_decision_tree",
+    "m6_random_forest",
     "m9_gaussian_naive_bayes",
     "m10_nearest_neighbour_vote",
+    "m10_indexed_neighbour_vote",
 )
 
 
