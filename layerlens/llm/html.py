@@ -7,11 +7,14 @@ Blocks on paths above the threshold are content nodes. The text's place is the d
 that holds all of them, and no deeper than an article; every block inside goes out, except
 furniture: elements that are menus, notices, forms and so on by their tag or role, or by their
 name where they do not hold most of the content, and lists of links on paths below the threshold.
+Reader comments and consent notices go however long they are, unless an article or a first
+heading is inside: the former by their name and repeated items, the latter by their name.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -52,6 +55,11 @@ FURNITURE = frozenset(
 #: Names that are part of the article where they come with one of OWN, as in "entry-header".
 TITLES = frozenset("header masthead notice legal form search copyright banner".split())
 OWN = frozenset("article post entry content story main".split())
+#: Names of reader comments and of consent notices, which may be longer than the article.
+READERS = frozenset("comment comments commentlist disqus replies".split())
+CONSENT = frozenset("cookie cookies consent gdpr".split())
+#: Alike children that make a list of comments.
+REPEATED = 3
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split()
 )
@@ -66,6 +74,10 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.path = [-1], ["#"], [0]
         self.named: list[int] = []  # elements whose name is one of furniture
+        self.readers: list[int] = []  # those of comments, and of consent
+        self.consent: list[int] = []
+        self.look: list[tuple[str, str]] = [("#", "")]  # tag and class, which repeated items share
+        self.open = Counter()  # elements of each tag on the stack
         self.paths: dict[tuple[int, str], int] = {}
         self.stack = [0]
         self.hidden = 0  # how deep the stack was when furniture began, or 0
@@ -99,27 +111,36 @@ class _Page(HTMLParser):
                 return True
         return False
 
-    def _named(self, tag, attrs) -> bool:
+    def _name(self, tag, attrs) -> None:
         """A vote only: `main_text` decides on it by what the element holds."""
         if tag in HEADINGS or tag in ("html", "body", "article", "main"):
-            return False
+            return
+        element, named = len(self.tag) - 1, False
         for name, value in attrs:
             if name in ("class", "id") and value:
                 words = set(WORDS.findall(value.lower()))
-                if FURNITURE & words - (TITLES if words & OWN else frozenset()):
-                    return True
-        return False
+                named = named or bool(FURNITURE & words - (TITLES if words & OWN else frozenset()))
+                if not words & OWN:
+                    if READERS & words:
+                        self.readers.append(element)
+                    if CONSENT & words:
+                        self.consent.append(element)
+        if named:
+            self.named.append(element)
 
     def _close_to(self, depth: int):
         """Closes the elements above `depth`."""
         while len(self.stack) > depth:
             tag = self.tag[self.stack.pop()]
+            self.open[tag] -= 1
             self.article -= tag in ("article", "main")
             self.links -= tag == "a"
         if self.hidden and len(self.stack) <= self.hidden:
             self.hidden = 0
 
     def _find(self, tags, stop) -> int:
+        if not any(self.open[tag] for tag in tags):
+            return 0  # without a walk, however deep the page is
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.tag[self.stack[depth]]
             if tag in tags:
@@ -156,9 +177,11 @@ class _Page(HTMLParser):
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         if not self.hidden and self._furniture(tag, attrs):
             self.hidden = len(self.stack)
-        if not self.hidden and self._named(tag, attrs):
-            self.named.append(len(self.tag) - 1)
+        self.look.append((tag, next((v or "" for n, v in attrs if n == "class"), "")))
+        if not self.hidden:
+            self._name(tag, attrs)
         self.stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
         self.article += tag in ("article", "main")
         self.links += tag == "a"
 
@@ -208,15 +231,32 @@ def _chosen_under(page: _Page, elements, texts, chosen) -> np.ndarray:
     return under
 
 
+def _long_furniture(page: _Page) -> list[int]:
+    """Comments and notices that go whatever their share of the page."""
+    if not page.readers and not page.consent:
+        return []
+    count = len(page.tag)
+    guarded = np.zeros(count, bool)
+    for element in range(count - 1, 0, -1):
+        guarded[element] |= page.tag[element] in ("h1", "article", "main")
+        guarded[page.parent[element]] |= guarded[element]
+    alike = Counter((page.parent[e], page.look[e]) for e in range(1, count) if page.tag[e] not in INLINE)
+    repeated = np.zeros(count, bool)
+    for (parent, _), n in alike.items():
+        repeated[parent] |= n >= REPEATED
+    for element in range(count - 1, 0, -1):
+        repeated[page.parent[element]] |= repeated[element]
+    return [e for e in page.readers if repeated[e] and not guarded[e]] + [e for e in page.consent if not guarded[e]]
+
+
 def main_text(html: str | None) -> str:
     """The text of a whole page; empty for a null or empty page and one without content."""
     if not html:
         return ""
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:  # it runs to the end of the page
-        html = html[:comment]
     page = _Page()
     page.feed(html)
+    if page.rawdata.startswith("<!--"):  # a comment in the markup that runs to the end of the page
+        page.rawdata = ""
     page.close()
     page._flush()
     if not page.blocks:
@@ -226,7 +266,7 @@ def main_text(html: str | None) -> str:
     chosen = fused >= min(fused.std(), fused.max())
     under = _chosen_under(page, elements, texts, chosen)
     dropped = np.zeros(len(page.tag), bool)
-    dropped[[e for e in page.named if 2 * under[e] <= under[0]]] = True
+    dropped[[e for e in page.named if 2 * under[e] <= under[0]] + _long_furniture(page)] = True
     for element in range(1, len(dropped)):
         dropped[element] |= dropped[page.parent[element]]
     kept = chosen & ~dropped[list(elements)]
