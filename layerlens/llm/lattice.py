@@ -141,8 +141,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """One row per vector: (id, n_links, component_id, kept).
 
     Vectors are compared when their labels are equal and not null. Null, empty and zero vectors
-    and those with null or non-finite components link with nothing. Ids are expected to be
-    unique; a null id is one node. An empty table gives an empty table.
+    and those with null or non-finite components link with nothing. A repeated row is a vector of
+    its own, as linked as its copies; a null id is one node. An empty table gives an empty table.
     """
     nodes = written(nodes_of(vectors, vec_id, embedding, label, tables, probes, scale), "vectors")
     classes = written(
@@ -153,7 +153,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     )
     reps = nodes.join(
         classes.select("label", "digest", F.col("rep").alias("id")), ["label", "digest", "id"], "left_semi"
-    )
+    ).dropDuplicates(["label", "digest", "id"])  # a repeated row is one node
     asked = reps.select("label", "id", F.explode("cells").alias("cell"))
     held = reps.select(
         "label", F.col("id").alias("b"),
