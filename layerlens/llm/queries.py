@@ -147,6 +147,53 @@ SELECT d.doc_id, coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM
 FROM documents d"""
 
 
+def _reputation_sql() -> str:
+    """Posterior counts level by level, each shrunk towards the one above, and the longest rule."""
+    least, most = hosts.LEAST, hosts.MOST
+
+    def shrunk(name, groups, keys, parent, on):
+        join = f"JOIN {parent} p USING ({on})" if on else f"CROSS JOIN {parent} p"
+        return f"""{name}_m AS (SELECT g.*, p.a / (p.a + p.b) AS m FROM {groups} g {join}),
+{name}_c AS (
+  SELECT least(greatest(coalesce((sum((y - n * m) ** 2) - sum(n * m * (1 - m))) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), {most}), {least}), {most}) AS c
+  FROM {name}_m WHERE n > 0),
+{name} AS (SELECT {keys}, (1 / c - 1) * m + y AS a, (1 / c - 1) * (1 - m) + n - y AS b FROM {name}_m, {name}_c)"""
+
+    def last(n):
+        return f"array_to_string(parts[greatest(len(parts) - {n - 1}, 1):], '.')"
+
+    cases = {"rule": "", "verdict": ""}
+    for verdict, rule in reversed(sorted(reversed(URL_RULES), key=lambda r: len(r[1]))):
+        own, _, rest = rule.partition("/")
+        fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')"
+        cases["rule"] += f" WHEN {fits} THEN '{rule}'"
+        cases["verdict"] += f" WHEN {fits} THEN '{verdict}'"
+    suffixes = ", ".join(f"'{x}'" for x in hosts.SUFFIXES)
+    bound = f"a / (a + b) + {hosts.BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"
+    parts = [
+        rf"""judged AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{hosts.UPPER}', '{hosts.LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
+        """marks AS (SELECT doc_id AS page_id, count(*) AS n, sum(quality) AS y FROM labels WHERE quality IN (0, 1) GROUP BY doc_id)""",
+        """counts AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(y), 0)::DOUBLE AS y FROM judged LEFT JOIN marks USING (page_id) GROUP BY host)""",
+        r"""named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM counts)""",
+        f"""cut AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '{hosts.ADDRESS}') AS address FROM named)""",
+        f"""hosts AS (
+  SELECT host, n, y, CASE WHEN address THEN '[ip]' WHEN {last(2)} IN ({suffixes}) THEN {last(2)} ELSE {last(1)} END AS suffix,
+    CASE WHEN address THEN name WHEN {last(2)} IN ({suffixes}) THEN {last(3)} ELSE {last(2)} END AS domain FROM cut)""",
+        """domains AS (SELECT suffix, domain, sum(n) AS n, sum(y) AS y FROM hosts GROUP BY suffix, domain)""",
+        """suffixes AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM domains GROUP BY suffix)""",
+        """root AS (SELECT coalesce(sum(y), 0) + 1.0 AS a, coalesce(sum(n - y), 0) + 1.0 AS b FROM suffixes)""",
+        shrunk("s", "suffixes", "suffix", "root", ""),
+        shrunk("d", "domains", "suffix, domain", "s", "suffix"),
+        shrunk("h", "hosts", "host", "d", "suffix, domain"),
+    ]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT page_id, host, path, CASE{cases['rule']} END AS rule,
+  CASE{cases['verdict']} WHEN {bound} < {hosts.THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
+FROM judged JOIN h USING (host)"""
+
+
 def _manifest_sql(levels: int = 6) -> str:
     """The levels of the source trees and of the tree above them written out, up to 16 ** levels rows."""
     def leaf(text):
@@ -224,6 +271,7 @@ marked AS (SELECT k.*, hot.key IS NOT NULL AND hot.owner <> doc_id AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_host_reputation": _reputation_sql(),
     "op7_license_scan": _license_sql(),
     "op11_merkle_manifest": _manifest_sql(),
     "op13_ranked_search": rf"""
