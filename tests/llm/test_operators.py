@@ -1,4 +1,5 @@
 import base64
+import time
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,14 @@ def test_empty_tables(spark, tmp_path, name):
 # Embeddings
 
 
+def test_repeated_vectors_count_once_each(spark):
+    v, w = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
+    rows = [(1, v, 0), (1, v, 0), (2, w, 0), (3, [0.0, 1.0, 0.0], 0), (4, v, 1)]
+    out = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in out) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4)]
+
+
+
 def test_lattice_points():
     x = np.random.default_rng(3).normal(size=(500, 8)) * 2
     points = lattice.decode(x)
@@ -127,6 +136,30 @@ def test_names_of_headings():
     assert html.main_text(f"<article>{parts}</article>").split("\n")[::2] == ["Head related-work", "Head search", "Head comments-on-x"]
 
 
+@pytest.mark.parametrize("before", ['<script>var s="<!--";</script>', "<style><!-- p{}</style>", "<script>a <!-- b</script><!-- x -->"])
+def test_comment_marks_outside_the_markup(before):
+    assert html.main_text(f"{before}<article><p>{_LONG}</p></article>") == _LONG
+    assert html.main_text(f"<article><p>{_LONG}</p></article><!-- open <p>{_LONG}</p>") == _LONG
+
+
+def test_comments_and_notices_longer_than_the_article():
+    short = "A short post, with one remark."
+    comments = "".join(f'<div class="comment"><p>{_LONG} {i}</p></div>' for i in range(20))
+    assert html.main_text(f'<body><article><p>{short}</p><section class="comments">{comments}</section></article></body>') == short
+    assert html.main_text(f'<body><div><p>{short}</p></div><div id="comments"><ol>{comments}</ol></div></body>') == short
+    notice = f'<div class="cookie-notice"><p>{_LONG}</p><p>{_LONG}</p></div>'
+    assert html.main_text(f"<body><div><h1>Title</h1><p>{short}</p></div>{notice}</body>").split("\n")[-1] == short
+    # An article inside keeps its container.
+    assert _LONG in html.main_text(f'<div class="comments"><article><h1>On comments</h1><p>{_LONG}</p></article></div>')
+
+
+@pytest.mark.parametrize("tag", ["b", "font", "div", "unknown"])
+def test_many_open_elements_take_linear_time(tag):
+    started = time.perf_counter()
+    assert html.main_text(f"<article><p>{_LONG}</p></article>" + f"<{tag}>" * 50_000 + "</i></em>" * 1000).startswith(_LONG)
+    assert time.perf_counter() - started < 2
+
+
 def test_names_never_empty_a_page():
     parts = "".join(f'<div id="{i}"><p>{_LONG}</p></div>' for i in ("related-work", "search-methods"))
     assert html.main_text(f"<body>{parts}</body>") == f"{_LONG}\n{_LONG}"
@@ -442,4 +475,4 @@ def test_quality_keeps_the_good(spark):
     good = [out[m.doc_id].kept for m in marks if m.quality == 1 and not out[m.doc_id].base_failed]
     bad = [out[m.doc_id].kept for m in marks if m.quality == 0]
     assert np.mean(good) > 0.95
-    assert np.mean(bad) < np.mean(good)
+    assert np.mean(bad) < 0.05

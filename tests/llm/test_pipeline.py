@@ -1,5 +1,15 @@
+import base64
+import hashlib
+import struct
+from collections import Counter
+
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
+from layerlens.llm import mixing, quality, queries
 from layerlens.llm.common import table
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +30,59 @@ def test_stages_keep_the_columns(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert sorted(out.collect()) == sorted(corpus_pipeline.run(spark, SF).collect())
+
+
+def test_every_stage_against_a_plain_version(spark):
+    """Each stage on what the one before it kept. The verdicts of the quality model and the
+    rates of the mix are the operators' own, which their tests compare with plain versions;
+    here it counts that they take effect and that nothing else changes."""
+    encoding = tiktoken.Encoding(
+        "plain", pat_str=public_tokenizers.PATTERN, special_tokens={},
+        mergeable_ranks={
+            base64.b64decode(a): int(b)
+            for a, b in map(bytes.split, open(public_tokenizers.path(queries.VOCABULARY), "rb"))
+        },
+    )
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, SF, "documents")
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    def through(name, docs):
+        return corpus_pipeline.written(stages[name](spark, docs, SF), "test-stage")
+
+    judged, verdict = quality.judge(docs, keep=["doc_id"])
+    good = {r.doc_id for r in judged.collect() if r[verdict].kept}
+    first = through("quality_rules", docs)
+    assert rows(first) == sorted(r for r in rows(docs) if r[0] in good) and 0 < len(good) < docs.count()
+
+    lines = brute.dedup_lines([(r.doc_id, r.text) for r in first.collect()])
+    second = through("line_dedup", first)
+    want = [(i, lines[i][2], lang, source, len(lines[i][2])) for i, _, lang, source, _ in rows(first)]
+    assert rows(second) == sorted(want) and rows(second) != rows(first)
+
+    groups = brute.near_duplicates([(r.doc_id, r.text) for r in second.collect()], words=5, percent=80)
+    third = through("minhash_near_dedup", second)
+    assert rows(third) == [r for r in rows(second) if groups[r[0]][1] == r[0]] and third.count() < second.count()
+
+    mixed, at = mixing.mix(third, keep=["doc_id", "source"])
+    copies = {r.doc_id: r[at].copies for r in mixed.collect()}
+    fourth = through("mixing", third)
+    assert rows(fourth) == sorted(r for r in rows(third) for _ in range(copies[r[0]]))
+    sizes = Counter()
+    for r in third.collect():
+        sizes[r.source] += len(brute.WORD.findall(r.text or ""))
+    taken = Counter()
+    for r in fourth.collect():
+        taken[r.source] += len(brute.WORD.findall(r.text or ""))
+    target = brute.targets(sizes)
+    longest = max(len(brute.WORD.findall(r.text or "")) for r in third.collect())
+    assert all(abs(taken[s] - target[s]) <= longest for s in sizes)
+
+    digests = []
+    for doc_id, text, *_ in rows(fourth):
+        ids = encoding.encode_ordinary(text)
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        digests.append((doc_id, len(ids), hashlib.sha256(raw).hexdigest(), brute.sha(text)))
+    assert rows(through("byte_bpe", fourth).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) == sorted(digests)
