@@ -73,6 +73,10 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     A later join on the key finds these rows where they are, and only the other side moves.
     The table is known to this session's catalog alone; its files are in the shared folder.
     """
+    return _in_buckets(df, key, name)[0]
+
+
+def _in_buckets(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str, str]:
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, name)
@@ -80,7 +84,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     with shuffles_removed(spark):
         dealt = df.repartition(buckets, key)
         dealt.write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), folder, table
 
 
 #: Removes a query's shuffle files when it ends. A stored result needs them no more.
@@ -105,7 +109,7 @@ class Scratch:
     """Intermediate tables of one job, each deleted as soon as no later step reads it."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folders = spark, {}
+        self.spark, self.folders, self.catalog = spark, {}, {}
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """As `written`, and the shuffle files of the write go with it."""
@@ -116,6 +120,12 @@ class Scratch:
         self.folders[id(out)] = out, folder
         return out
 
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """As `bucketed`; the catalog forgets the table when it is dropped."""
+        out, folder, table = _in_buckets(df, key, name)
+        self.folders[id(out)], self.catalog[id(out)] = (out, folder), table
+        return out
+
     def keep(self, *tables: DataFrame) -> None:
         """Deletes all tables made here but these."""
         kept = {id(t) for t in tables}
@@ -126,6 +136,8 @@ class Scratch:
         for table in tables:
             if id(table) in self.folders:
                 dropped(self.spark, self.folders.pop(id(table))[1])
+                if id(table) in self.catalog:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self.catalog.pop(id(table))}")
 
 
 def dropped(spark: SparkSession, *folders: str) -> None:
