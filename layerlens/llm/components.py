@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from layerlens.session import written
+from layerlens.session import Scratch
 
 
 def _smaller_first(links: DataFrame) -> DataFrame:
@@ -29,13 +29,16 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
     return twice.unionAll(inner).isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """From links (a long, b long) to (node, root): the least node reachable from each node.
 
     Nodes that are their own root have no row. Null ids are not allowed; repeated links, links
-    in both directions, links of a node to itself and an empty table are.
+    in both directions, links of a node to itself and an empty table are. Each round's table is
+    deleted after the next one; the result is a table of `scratch`.
     """
-    links = written(_smaller_first(links), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    links = scratch.written(_smaller_first(links).withColumnsRenamed({"a": "node", "b": "root"}), "links")
+    stored, links = links, links.withColumnsRenamed({"node": "a", "root": "b"})
     while not _is_forest_of_stars(links):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -45,5 +48,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         lower = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = lower.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        links = written(small, "links")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        last, stored = stored, scratch.written(small.withColumnsRenamed({"a": "node", "b": "root"}), "links")
+        scratch.drop(last)
+        links = stored.withColumnsRenamed({"node": "a", "root": "b"})
+    return stored

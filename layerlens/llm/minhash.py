@@ -14,6 +14,12 @@ first have one in common. Only pairs of different components that pass the bound
 place and parity are compared. So a pair is lost only if its two sets share no bucket at all.
 
 Equal sets are one node throughout; the copies join it again at the end.
+
+What is stored of every document is a sketch of bounded size: its bands and the parity of its
+members by slots, which bounds how far two sets differ. Only the sets of candidates that pass
+that bound are made again from their texts, compared, and deleted. Texts are stored once in
+buckets of their ids, so that they stay where they are and whole sets move for true or nearly
+true links alone.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from layerlens.llm.common import NO_ID, fresh, map_arrow, window_hashes, word_hashes, mixed
 from layerlens.llm.components import components
-from layerlens.session import written
+from layerlens.session import Scratch
 
 WORDS = 2
 PERCENT = 80
@@ -34,9 +40,11 @@ BANDS = 24
 BINS = ROWS * BANDS
 MAX_ROUNDS = 5
 TURNS = 4
-#: Counters for the order of the shingles, and bits of a set's parity.
+#: Counters for the order of the shingles, and bits of a set's parity in the exact join.
 SLOTS = 1 << 20
 BITS = 512
+#: Bits of a sketch's parity per member, at least.
+SKETCH_BITS = 2
 #: Sets of one shingle that are met by one row of the other side, in the exact join.
 CHUNK = 2000
 
@@ -81,27 +89,74 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sets_of(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(id, n, digest, bands, members): one row per document; an empty set has no digest."""
-    schema = "id long, n long, digest binary, bands array<long>, members binary"
+def sketch_parity(hashes: np.ndarray) -> bytes:
+    """The parity of a set by slots, SKETCH_BITS to a member, a power of two and BITS at least.
+
+    Folding it in half gives the parity of half as many slots.
+    """
+    bits = max(BITS, 1 << (SKETCH_BITS * len(hashes) - 1).bit_length())
+    slots = (mixed(hashes) >> np.uint64(24)) & np.uint64(bits - 1)
+    odd = np.bincount(slots.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound of the members that are in one of two sets only, by their parities."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def sketches_of(docs: DataFrame, words: int) -> DataFrame:
+    """(id, n, digest, bands, parity) from (id, text): an empty set has no digest."""
+    schema = "id long, n long, digest binary, bands array<long>, parity binary"
 
     def run(batch):
         out = [[], [], [], []]
-        for t in batch.column(text).to_pylist():
+        for t in batch.column("text").to_pylist():
             members = shingles(t, words)
-            raw = members.tobytes()
+            some = len(members) > 0
             out[0].append(len(members))
-            out[1].append(xxhash.xxh3_128_digest(raw) if len(members) else None)
-            out[2].append(band_keys(members) if len(members) else None)
-            out[3].append(raw)
-        ids = batch.column(doc_id).cast(pa.int64()).fill_null(NO_ID)
+            out[1].append(xxhash.xxh3_128_digest(members.tobytes()) if some else None)
+            out[2].append(band_keys(members) if some else None)
+            out[3].append(sketch_parity(members) if some else None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
+            [batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
              pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-            names=["id", "n", "digest", "bands", "members"],
+            names=["id", "n", "digest", "bands", "parity"],
         )
 
-    return map_arrow(docs.select(doc_id, text), run, schema)
+    return map_arrow(docs, run, schema)
+
+
+def members_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, members) of the `wanted` (id, digest), made again from (id, text)."""
+
+    def run(batch):
+        found = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+        mine = [xxhash.xxh3_128_digest(m) == d for m, d in zip(found, batch.column("digest").to_pylist())]
+        rows = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "members"])
+        yield rows.filter(pa.array(mine, pa.bool_()))
+
+    return map_arrow(docs.join(wanted.select("id", "digest"), "id").select("id", "text", "digest"), run, "id long, members binary")
+
+
+def plausible(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose sets can share `percent` by their sizes and parities; no link is lost."""
+    one = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("left"))
+    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("right"))
+    pairs = edges.join(one, "a").join(two, "b")
+
+    def run(batch):
+        columns = (batch.column(c).to_pylist() for c in ("na", "nb", "left", "right"))
+        keep = [(100 + percent) * differing(x, y) <= (100 - percent) * (m + n) for m, n, x, y in zip(*columns)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(pairs, run, "a long, b long")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +179,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tables(nodes: DataFrame, round_: int) -> DataFrame:
-    """(band, key, id, n): the buckets of a round.
+    """(key, id, n): the buckets of a round; a band's keys are like no other's.
 
     The first round has one bucket per band. The later ones split the buckets of a band by two
     other bands, TURNS times in other ways each round, so that buckets hold few and close sets.
@@ -139,7 +194,7 @@ def tables(nodes: DataFrame, round_: int) -> DataFrame:
             return F.transform("bands", key)
 
         keys = F.concat(*[turned(1 + (round_ - 1) * TURNS + t) for t in range(TURNS)])
-    return nodes.select("id", "n", F.posexplode(keys).alias("band", "key"))
+    return nodes.select("id", "n", F.explode(keys).alias("key"))
 
 
 def candidates(rows: DataFrame, roots: DataFrame | None, round_: int, percent: int) -> DataFrame:
@@ -147,14 +202,14 @@ def candidates(rows: DataFrame, roots: DataFrame | None, round_: int, percent: i
     rows = _rooted(rows, roots)
     # At first the same sets are centres in most of their buckets, which saves edges; later
     # every bucket draws its own.
-    draw = F.xxhash64("id", F.lit(round_), *(["band"] if round_ else []))
-    centres = rows.groupBy("band", "key").agg(
+    draw = F.xxhash64("id", F.lit(round_), *(["key"] if round_ else []))
+    centres = rows.groupBy("key").agg(
         F.min(F.struct(draw, F.col("id"), F.col("n"), F.col("root"))).alias("c"),
         F.min("root").alias("low"), F.max("root").alias("high"),
     ).where("low < high")
-    centres = centres.select("band", "key", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("centre"))
+    centres = centres.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("centre"))
     near = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    stars = rows.join(centres, ["band", "key"]).where((F.col("root") != F.col("centre")) & near)
+    stars = rows.join(centres, "key").where((F.col("root") != F.col("centre")) & near)
     return stars.select(F.col("id").alias("a"), "b").distinct()
 
 
@@ -168,9 +223,9 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _mixed(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The nodes in any bucket of the first round that still mixes components."""
     rows = _rooted(tables(nodes, 0), roots)
-    many = rows.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    many = many.where("low < high").select("band", "key")
-    ids = rows.join(many, ["band", "key"], "left_semi").select("id").distinct()
+    many = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    many = many.where("low < high").select("key")
+    ids = rows.join(many, "key", "left_semi").select("id").distinct()
     return nodes.join(ids, "id", "left_semi")
 
 
@@ -208,9 +263,11 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     Two sets that share `percent` share one of these; it is `short` in the one of fewer members.
     """
     words = [f"p{i}" for i in range(BITS // 64)]
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
     schema = "id long, n long, root long, key long, place long, short boolean, " + ", ".join(f"{w} long" for w in words)
 
     def run(batch):
+        counts = shared.value
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             sizes, keys, places, shorts, bits = [], [], [], [], []
@@ -236,16 +293,16 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return map_arrow(sets.select("id", "n", "root", "members"), run, schema)
 
 
-def exact_candidates(sets: DataFrame, percent: int) -> DataFrame:
+def exact_candidates(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) of (id, n, root, members): all pairs across components that can share `percent`.
 
     A shingle that many sets have is dealt over its turns, CHUNK of its short rows to each.
     """
-    rows = written(prefixes(sets, shingle_counts(sets), percent), "prefixes")
+    stored = rows = scratch.written(prefixes(sets, shingle_counts(sets), percent), "prefixes")
     groups = rows.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("short").alias("shorts")
     ).where("low < high and shorts > 0")
-    groups = written(groups.select("key", F.ceil(F.col("shorts") / CHUNK).alias("turns")), "shared")
+    groups = scratch.written(groups.select("key", F.ceil(F.col("shorts") / CHUNK).alias("turns")), "shared")
     rows = rows.join(groups, "key")
     words = [c for c in rows.columns if c[0] == "p" and c[1:].isdigit()]
     longer = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
@@ -260,7 +317,10 @@ def exact_candidates(sets: DataFrame, percent: int) -> DataFrame:
         (F.col("root") != F.col("s_root")) & (F.col("s_n") <= F.col("n")) & (F.lit(100) * F.col("s_n") >= F.lit(percent) * F.col("n"))
         & (share * left >= F.lit(percent) * both) & (share * differ <= F.lit(100 - percent) * both)
     )
-    return pairs.select(F.greatest("id", "s_id").alias("a"), F.least("id", "s_id").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("id", "s_id").alias("a"), F.least("id", "s_id").alias("b")).distinct()
+    out = scratch.written(pairs, "exact")
+    scratch.drop(stored, groups)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -270,45 +330,76 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null, empty and blank texts have no shingle and no links. Rows that share an id are one
     node; a null id is one node of its own (the least). An empty table gives an empty table.
     """
-    sets = written(sets_of(docs, doc_id, text, words), "sets")
-    classes = written(
-        sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes"
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    texts = scratch.bucketed(texts, "id", "texts")
+    sketches = scratch.written(sketches_of(texts, words), "sketches")
+    classes = scratch.written(
+        sketches.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes"
     )
     # One row per class: the set of its least document.
-    nodes = sets.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    members = nodes.select("id", "members")
-    dealt = written(nodes.select("id", "n", "bands"), "nodes")
+    nodes = scratch.written(
+        sketches.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(
+            ["digest", "id"]
+        ),
+        "nodes",
+    )
     roots = None
 
-    def joined(found):
-        if roots is None:
-            return components(found)
-        return components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
+    def confirmed_links(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+        edges = scratch.written(edges, "edges")
+        near = scratch.written(plausible(edges, nodes, percent), "near")
+        scratch.drop(edges)
+        made = None
+        if members is None:
+            ends = near.select(F.col("a").alias("id")).unionAll(near.select("b")).distinct()
+            wanted = scratch.written(nodes.select("id", "digest").join(ends, "id", "left_semi"), "wanted")
+            members = made = scratch.written(members_of(texts, wanted, words), "members")
+            scratch.drop(wanted)
+        found = scratch.written(confirmed(near, members, percent), "found")
+        scratch.drop(near, made)
+        return found
+
+    def joined(found: DataFrame) -> DataFrame:
+        links = found
+        if roots is not None:
+            links = links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        out = components(links, scratch)
+        scratch.drop(found, roots)
+        return out
+
+    dealt = nodes.select("id", "n", "bands")
     for round_ in range(max_rounds):
         if round_ == 1:
-            dealt = written(_mixed(dealt, roots), "mixed")
-        edges = written(candidates(tables(dealt, round_), roots, round_, percent), "edges")
-        found = written(confirmed(edges, members, percent), "found")
+            dealt = scratch.written(_mixed(dealt, roots), "mixed")
+        found = confirmed_links(candidates(tables(dealt, round_), roots, round_, percent))
         if found.isEmpty():
+            scratch.drop(found)
             break
         roots = joined(found)
-    rest = written(_rooted(_mixed(dealt, roots).select("id", "n"), roots).join(members, "id"), "rest")
+    rest = scratch.written(_rooted(_mixed(dealt, roots).select("id", "n"), roots), "rest")
     if not rest.isEmpty():
-        found = written(confirmed(written(exact_candidates(rest, percent), "edges"), rest, percent), "found")
+        wanted = scratch.written(nodes.select("id", "digest").join(rest, "id", "left_semi"), "wanted")
+        members = scratch.written(members_of(texts, wanted, words).join(rest, "id"), "rest-members")
+        found = confirmed_links(exact_candidates(members, percent, scratch), members)
         if not found.isEmpty():
             roots = joined(found)
-    out = sets.select("id", "n", "digest").join(classes, "digest", "left")
+    out = sketches.select("id", "n", "digest").join(classes, "digest", "left")
     if roots is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         out = out.withColumn("root", F.lit(None).cast("long"))
     component = F.coalesce("root", "rep", "id")
     whole = F.nullif(component, F.lit(NO_ID))
-    return out.select(
-        F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"),
-        whole.alias("component_id"), (F.col("id") == component).alias("kept"),
+    out = scratch.written(
+        out.select(
+            F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"),
+            whole.alias("component_id"), (F.col("id") == component).alias("kept"),
+        ),
+        "near-duplicates",
     )
+    scratch.keep(out)
+    return out
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
