@@ -21,8 +21,6 @@ from layerlens.llm.common import fresh, map_arrow, window_hashes, with_field, wo
 from layerlens.session import Scratch, bucketed
 
 LENGTH = 35
-#: Ranges a task holds before it hands them on.
-HELD_SPANS = 1_000_000
 
 
 def levels(length: int) -> list[int]:
@@ -50,15 +48,22 @@ def least_runs(hashes: np.ndarray, span: int, lo: int, hi: int) -> tuple[np.ndar
     return at[first], first + lo, last + lo
 
 
-def ranges(first: list[int], last: list[int]) -> list[tuple[int, int]]:
-    """Ranges put in order and joined where they touch or overlap."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(first, last)):
-        if out and a <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+#: A range of windows is one number: the first, and the last in the lower bits.
+LAST_BITS = 32
+
+
+def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of packed ranges, put in order and joined where they touch or overlap."""
+    spans = np.sort(spans)
+    first, last = spans >> LAST_BITS, np.maximum.accumulate(spans & ((1 << LAST_BITS) - 1))
+    begins = np.flatnonzero(np.r_[True, first[1:] > last[:-1] + 1]) if len(spans) else np.empty(0, np.int64)
+    return first[begins], last[np.r_[begins[1:] - 1, len(spans) - 1]] if len(spans) else last
+
+
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    """The numbers of each list, without an object per number."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] if ok else None for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
 
 
 def _runs(rows: DataFrame, length: int, size: int) -> DataFrame:
@@ -70,7 +75,7 @@ def _runs(rows: DataFrame, length: int, size: int) -> DataFrame:
     narrowed = "spans" in rows.columns
 
     def run(batch):
-        spans = batch.column("spans").to_pylist() if narrowed else None
+        spans = _lists(batch.column("spans")) if narrowed else None
         found: list[list[np.ndarray]] = [[], [], [], []]
         for i, (row, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text").to_pylist())):
             words = text.encode().split() if text else []
@@ -78,7 +83,7 @@ def _runs(rows: DataFrame, length: int, size: int) -> DataFrame:
                 continue
             hashes = window_hashes(word_hashes(words), size)
             if narrowed:
-                at = ranges([s["first"] for s in spans[i]], [s["last"] for s in spans[i]])
+                at = zip(*merged(spans[i]))
             else:
                 at = [(0, len(words) - length)]
             for lo, hi in at:
@@ -95,43 +100,15 @@ def _runs(rows: DataFrame, length: int, size: int) -> DataFrame:
     return map_arrow(rows, run, "hash long, row long, first int, more int")
 
 
-def joined_spans(runs: DataFrame) -> DataFrame:
-    """(row, first, last) from (row, first, more): ranges of a task's rows joined where they touch.
+def joined_spans(rows: DataFrame) -> DataFrame:
+    """(row, spans) with the ranges of each row joined: a copied text is one range, not one per window."""
 
-    What a text of copied words sends on is a few ranges, not one per window.
-    """
+    def run(batch):
+        found = [merged(s) for s in _lists(batch.column("spans"))]
+        spans = pa.array([(first << LAST_BITS) | last for first, last in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), spans], names=["row", "spans"])
 
-    def run(batches):
-        row: dict[int, list[tuple[int, int]]] = {}
-
-        def told():
-            out = [(r, *span) for r, spans in row.items() for span in ranges(*zip(*spans))]
-            row.clear()
-            columns = zip(*out)
-            kinds = (pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "first", "last"])
-
-        held = 0
-        for batch in batches:
-            rows, first = batch.column("row").to_numpy(), batch.column("first").to_numpy()
-            last = first + batch.column("more").to_numpy()
-            order = np.lexsort((first, rows))
-            rows, first, last = rows[order], first[order], last[order]
-            # Where a new range begins: another row, or a gap after all ranges before it.
-            reach = np.maximum.accumulate(last.astype(np.int64) + (np.cumsum(np.r_[False, rows[1:] != rows[:-1]]) << 32))
-            place = first.astype(np.int64) + (np.cumsum(np.r_[False, rows[1:] != rows[:-1]]) << 32)
-            begins = np.flatnonzero(np.r_[True, place[1:] > reach[:-1] + 1])
-            ends = np.r_[begins[1:] - 1, len(rows) - 1] if len(rows) else begins
-            for r, lo, hi in zip(rows[begins].tolist(), first[begins].tolist(), (reach[ends] & 0xFFFFFFFF).tolist()):
-                row.setdefault(r, []).append((lo, hi))
-            held += len(begins)
-            if held > HELD_SPANS:
-                yield told()
-                held = 0
-        if row:
-            yield told()
-
-    return runs.select("row", "first", "more").mapInArrow(run, "row long, first int, last int")
+    return map_arrow(rows, run, "row long, spans array<long>")
 
 
 def repeated_windows(rows: DataFrame, length: int, scratch: Scratch | None = None) -> DataFrame:
@@ -144,10 +121,11 @@ def repeated_windows(rows: DataFrame, length: int, scratch: Scratch | None = Non
         runs = scratch.written(_runs(left, length, size), "runs")
         twice = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
         twice = scratch.written(twice, "twice")
-        found = joined_spans(runs.join(twice, "hash")).groupBy("row").agg(
-            F.collect_list(F.struct("first", "last")).alias("spans")
+        span = F.shiftleft(F.col("first").cast("long"), LAST_BITS) + F.col("first") + F.col("more")
+        found = runs.join(twice, "hash").select("row", span.alias("span")).groupBy("row").agg(
+            F.collect_list("span").alias("spans")
         )
-        before, spans = spans, scratch.written(found, "spans")
+        before, spans = spans, scratch.written(joined_spans(found), "spans")
         scratch.drop(runs, twice, before)
         # The texts lie bucketed by row, so that only the spans move.
         left = rows.join(spans, "row")
@@ -174,12 +152,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     def run(batch):
         texts, n_words, n_removed = [], [], []
-        for t, spans in zip(batch.column(text).to_pylist(), batch.column(spans_).to_pylist()):
+        for t, spans in zip(batch.column(text).to_pylist(), _lists(batch.column(spans_))):
             words = t.encode().split() if t else []
             before = len(words)
-            if spans:
+            if spans is not None:
                 gone = np.zeros(before, bool)
-                for lo, hi in ranges([s["first"] for s in spans], [s["last"] for s in spans]):
+                for lo, hi in zip(*merged(spans)):
                     gone[lo : hi + length] = True
                 words = [words[i] for i in np.flatnonzero(~gone)]
             texts.append(b" ".join(words).decode())
