@@ -31,6 +31,7 @@ from layerlens.plans.registry import query
 from layerlens.session import new_folder
 from layerlens.sources import experiments, labelled, results as result_tables
 from layerlens.sources import predictions as prediction_files
+from layerlens.sources.quoted import read_quoted
 from layerlens.streaming import evaluation
 
 
@@ -42,6 +43,19 @@ def labelled_source(spark, sf):
     return labelled.labelled(incomplete_texts(spark, sf))
 
 
+@query(
+    "s1_quoted_csv",
+    f"WITH {SQL_INCOMPLETE} SELECT id, dataset, coalesce(text, 'nan') AS text, label FROM incomplete",
+)
+def quoted_csv(spark, sf):
+    """The texts as quoted CSV files, each read by as many tasks as it has ranges."""
+    folder = new_folder(spark, "quoted")
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    incomplete_texts(spark, sf).write.options(header=True, escape='"', **spaces).csv(folder)
+    rows = read_quoted(spark, folder).withColumn("label", labelled.label_of(F.col("label")))
+    return labelled.labelled(rows.select(F.col("id").cast("long").alias("id"), "dataset", "text", "label"))
+
+
 @query(
     "s2_language_source",
     """SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars

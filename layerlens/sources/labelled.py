@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from layerlens.functions.text import text_or_nan
 from layerlens.session import written
+from layerlens.sources.quoted import read_quoted
 
 # The languages a multilingual dataset has, one folder each.
 LANGUAGES = (
@@ -43,7 +44,7 @@ MISSING_TEXTS = (
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def normalise_columns(df: DataFrame) -> DataFrame:
+def normalise_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keeps `text` and `label` (and `id`); a `sentence` column is taken as the text."""
     if "text" not in df.columns:
         if "sentence" not in df.columns:
@@ -51,7 +52,7 @@ def normalise_columns(df: DataFrame) -> DataFrame:
         df = df.withColumnRenamed("sentence", "text")
     if "label" not in df.columns:
         raise ValueError("No 'label' column")
-    return df.select(*[c for c in ("id", "split", "lang", "text", "label") if c in df.columns])
+    return df.select(*[c for c in ("id", "split", "lang", "text", "label", *keep) if c in df.columns])
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -75,15 +76,44 @@ def label_of(value: Column) -> Column:
     return F.when(~missing, F.coalesce(whole_number(value), problem))
 
 
+#: A dataset's parts get ids this far apart; places within a part stay below it.
+PART_IDS = 1 << 57
+
+
+def longest_file(spark: SparkSession, path: str) -> int:
+    """The bytes of the longest file under a path or pattern."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    longest = 0
+    for status in system.globStatus(hadoop) or []:
+        files = system.listFiles(status.getPath(), True)
+        while files.hasNext():
+            longest = max(longest, files.next().getLen())
+    return longest
+
+
+def _placed_split(spark: SparkSession, path: str) -> DataFrame:
+    """A split with each row's place in it under `_at`."""
+    if longest_file(spark, path) > _bytes(spark, "spark.sql.files.maxPartitionBytes"):
+        raw = read_quoted(spark, path)
+    else:
+        raw = spark.read.options(**CSV_OPTIONS).csv(path).withColumn("_at", F.monotonically_increasing_id())
+    df = normalise_columns(raw, keep=("_at",))
+    text = F.when(~F.col("text").isin(*MISSING_TEXTS), F.col("text"))
+    return df.withColumn("text", text).withColumn("label", label_of(F.col("label")))
+
+
+def _bytes(spark: SparkSession, setting: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+
+
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """One CSV split, columns found by name; missing texts and labels are null.
 
-    Quoted texts may span lines, so a file is read by one task; keep a large split as many
-    files, or as parquet.
+    Quoted texts may span lines. A file that fits one scan task is read by one; longer ones are
+    read by many tasks each (`quoted.read_quoted`), with the same rows.
     """
-    df = normalise_columns(spark.read.options(**CSV_OPTIONS).csv(path))
-    text = F.when(~F.col("text").isin(*MISSING_TEXTS), F.col("text"))
-    return df.withColumn("text", text).withColumn("label", label_of(F.col("label")))
+    return _placed_split(spark, path).drop("_at")
 
 
 def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:
@@ -100,17 +130,15 @@ def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:
         if name in LANGUAGES:
             base = f"{root}/multilingual/{name}/{MULTILINGUAL_NAME}"
         for split in ("train", "test"):
-            part = read_split(spark, f"{base}_{split}.csv").withColumn("split", F.lit(split))
+            part = _placed_split(spark, f"{base}_{split}.csv").withColumn("split", F.lit(split))
+            part = part.withColumn("_at", F.col("_at") + F.lit(len(parts) * PART_IDS))
             parts.append(part.withColumn("lang", F.lit(name if name in LANGUAGES else None)))
     numbered = all("id" in part.columns for part in parts)
-    if not numbered:
-        parts = [part.drop("id") for part in parts]
+    parts = [part.drop("_at") if numbered else part.drop("id").withColumnRenamed("_at", "id") for part in parts]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    if not numbered:
-        whole = written(whole.withColumn("id", F.monotonically_increasing_id()), "dataset")
-    return labelled(whole)
+    return labelled(whole if numbered else written(whole, "dataset"))
 
 
 def in_languages(df: DataFrame, languages) -> DataFrame:
