@@ -131,17 +131,25 @@ _KEY = f"translate(regexp_replace(line, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g'), '
 def _license_sql() -> str:
     known = ", ".join(f"('{s}', '{name}')" for name, forms in licenses.SENTENCES.items() for s in forms)
     rules = ", ".join(f"('{name}', ',{','.join(run)},')" for name, run in licenses.RULES)
+    general = ", ".join(f"('{name}', '{x}')" for name, special in licenses.GENERAL.items() for x in special)
+    begins = "|".join(licenses.beginnings(licenses.SENTENCES))
     return rf"""
-WITH known(s, name) AS (VALUES {known}), rules(license, run) AS (VALUES {rules}),
+WITH known(s, name) AS (VALUES {known}), rules(license, run) AS (VALUES {rules}), general(license, special) AS (VALUES {general}),
+read AS (
+  SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}'), '{licenses.TAGGED}', '\1 ', 'g') AS t FROM documents),
 cut AS (
-  SELECT doc_id, 1 AS way, string_split_regex(translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}'), '[.!?;:]+[ \t\r\n]+|\n') AS parts FROM documents
+  SELECT doc_id, 1 AS way, string_split_regex(t, '[.!?;:]+[ \t\r\n]+|\n') AS parts FROM read
   UNION ALL
-  SELECT doc_id, 2, string_split_regex(translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}'), '[.!?;:]+[ \t\r\n]+') FROM documents),
+  SELECT doc_id, 2, string_split_regex(t, '[.!?;:]+[ \t\r\n]+') FROM read
+  UNION ALL
+  SELECT doc_id, 3, string_split_regex(regexp_replace(replace(t, '_', ' '), '\n([^a-z0-9\n]*(?:{begins})\b)', chr(10) || chr(10) || '\1', 'g'), '[.!?;:]+[ \t\r\n]+|\n(?:[^a-z0-9\n]*\n)+') FROM read),
 rows AS (SELECT doc_id, way, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM cut),
 named AS (
   SELECT doc_id, way, ',' || string_agg(name, ',' ORDER BY i) || ',' AS names, count(*) AS n
   FROM rows JOIN known ON s = trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g'), ' ') GROUP BY doc_id, way),
-found AS (SELECT DISTINCT doc_id, license FROM named JOIN rules ON contains(names, run))
+told AS (SELECT DISTINCT doc_id, license FROM named JOIN rules ON contains(names, run)),
+found AS (SELECT * FROM told t WHERE NOT EXISTS (
+  SELECT 1 FROM general g JOIN told o ON o.license = g.special WHERE g.license = t.license AND o.doc_id = t.doc_id))
 SELECT d.doc_id, coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM found f WHERE f.doc_id = d.doc_id), '') AS licenses,
   coalesce((SELECT n FROM named n WHERE n.doc_id = d.doc_id AND way = 1), 0) AS n_sentences
 FROM documents d"""

@@ -379,7 +379,15 @@ def test_wrapped_license(spark):
     lines = (grant.replace(" and ", "\nand ") + ":\n\n" + keep + ".").upper()
     rows = [(1, lines), (2, keep + ". " + grant), (3, None), (4, "x\nSPDX-License-Identifier: MIT\ny")]
     out, name = licenses.scan(rows_of(spark, rows))
-    assert {r.doc_id: r[name].licenses for r in out.collect()} == {1: ["MIT"], 2: [], 3: [], 4: []}
+    assert {r.doc_id: r[name].licenses for r in out.collect()} == {1: ["MIT"], 2: [], 3: [], 4: ["MIT"]}
+
+
+def test_spdx_tags(spark):
+    cases = [(f"{mark}SPDX-License-Identifier: {value}{end}", license)
+             for license, values in licenses.SPDX.items() for value in values for mark, end in (("// ", "\nint x;\n"), ("/* ", " */"))]
+    cases += [("SPDX-License-Identifier: Unknown-1.0\n", None), ("identifier: MIT", None)]
+    out, name = licenses.scan(rows_of(spark, [(i, t) for i, (t, _) in enumerate(cases)]))
+    assert {r.doc_id: r[name].licenses for r in out.collect()} == {i: [v] if v else [] for i, (_, v) in enumerate(cases)}
 
 
 _MIT = """MIT License
@@ -418,6 +426,46 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """
 
 
+_BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+_BSD3 = _BSD2.replace("THIS SOFTWARE", """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""")
+_ZLIB = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+_EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+
+
+def test_licenses_apart(spark):
+    """Licences with sentences in common, wrapped, as one paragraph each and behind comment marks."""
+    # The numbers of the clauses are sentences of their own.
+    want = {_BSD2: "BSD-2-Clause", _BSD3: "BSD-3-Clause", _ZLIB: "Zlib", _EPL: "EPL-2.0", "CC0 1.0 Universal\n": "CC0-1.0",
+            "This file is released under the GNU General Public License version 2.\n": "GPL-2.0"}
+    marked = [("".join(mark + line + "\n" for line in t.splitlines()), v) for t, v in want.items() for mark in ("", " * ", "# ")]
+    out, name = licenses.scan(rows_of(spark, [(i, t) for i, (t, _) in enumerate(marked)]).withColumn("license_scan", F.lit(1)))
+    assert {r.doc_id: r[name].licenses for r in out.collect()} == {i: [v] for i, (_, v) in enumerate(marked)}
+
+
 def test_canonical_licenses(spark):
     want = {
         _MIT.split("\n\n", 1)[1]: "MIT", _MIT.replace("X\n\n", "X\n").split("\n\n", 1)[1]: "MIT", _GPL: "GPL-3.0",
