@@ -16,8 +16,12 @@ METRICS = ("accuracy", "precision", "recall", "f1_score", "mcc")
 
 
 def align(preds: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs every prediction with its true label by row key."""
-    return preds.join(truth.withColumnRenamed("label", "y_true"), on)
+    """Pairs every prediction with its true label by row key.
+
+    The truth has one row where the predictions have one per layer, pooling and probe. A task
+    holds its part of the truth and lets the predictions pass, instead of sorting them.
+    """
+    return preds.join(truth.withColumnRenamed("label", "y_true").hint("shuffle_hash"), on)
 
 
 def align_by_position(preds: DataFrame, truth: DataFrame) -> DataFrame:
