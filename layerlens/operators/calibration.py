@@ -14,7 +14,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 
-from layerlens.operators.perceptron import stored_blocks, summed
+from layerlens.operators.perceptron import released, stored_blocks, summed
 from layerlens.session import dropped, new_folder
 
 ROUNDS, TOLERANCE = 100, 1e-7
@@ -85,7 +85,7 @@ def fit(scored: DataFrame, classes: int, counts: list[int], seed: int = 42) -> t
     spark = scored.sparkSession
     folder = new_folder(spark, "calibration")
     (blocks,) = stored_blocks(scored, 1, seed, folder)
-    tasks, width, k = blocks.rdd.getNumPartitions(), max(classes, 2), 1 if classes <= 2 else classes
+    tasks, width, k = blocks.getNumPartitions(), max(classes, 2), 1 if classes <= 2 else classes
     n = np.array([counts[1] if len(counts) > 1 else 0] if k == 1 else counts, float)
     targets = (n + 1) / (n + 2), 1 / (sum(counts) - n + 2)
     a, b = np.zeros(k), np.log((n + 1) / (sum(counts) - n + 1))
@@ -102,5 +102,6 @@ def fit(scored: DataFrame, classes: int, counts: list[int], seed: int = 42) -> t
         if not step.any():
             break
         a, b = a + step * da, b + step * db
+    released(blocks)
     dropped(spark, folder)
     return a, b

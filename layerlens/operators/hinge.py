@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from layerlens.operators.perceptron import stored_blocks, summed
+from layerlens.operators.perceptron import released, stored_blocks, summed
 from layerlens.session import dropped, new_folder
 
 TOLERANCE = 1e-4  # of the first slope, where Newton steps stop
@@ -112,7 +112,7 @@ def fit(train: DataFrame, dims: int, classes: int, c: float, steps: int = 1000,
     spark = train.sparkSession
     folder = new_folder(spark, "hinge")
     (blocks,) = stored_blocks(train, 1, seed, folder)
-    tasks, columns = blocks.rdd.getNumPartitions(), 1 if classes <= 2 else classes
+    tasks, columns = blocks.getNumPartitions(), 1 if classes <= 2 else classes
     shape = dims + 1, columns
     weights, first = np.zeros(shape), None
 
@@ -139,5 +139,6 @@ def fit(train: DataFrame, dims: int, classes: int, c: float, steps: int = 1000,
         if not chosen.any():
             break  # at the limit of the arithmetic
         weights = weights + chosen * way
+    released(blocks)
     dropped(spark, folder)
     return LinearMargins(weights)

@@ -4,8 +4,8 @@ Rows are dealt to batches once and stored by batch. A step reads one batch: task
 gradients of their rows, the sums are added up (in an exchange first where there are many) and
 the driver takes one step whose length adapts to each weight (first and second moments, as in
 Adam). The batches of an epoch come in another order each time. Training stops when the mean
-loss has not fallen by TOLERANCE for PATIENCE epochs. What reaches the driver per step is one
-gradient, as large as the weights.
+loss has not fallen by TOLERANCE for PATIENCE epochs. What reaches the driver per step are at most
+DIRECT_TASKS gradients, each as large as the weights, however many tasks there are.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from layerlens.session import dropped, new_folder
@@ -24,12 +25,15 @@ from layerlens.session import dropped, new_folder
 #: Rows of a batch at least, and batches of an epoch at most: a step of a large table takes more
 #: rows instead of an epoch taking more steps.
 BATCH_ROWS, MAX_BATCHES = 200, 32
-BLOCK_ROWS = 10_000
+#: Rows of a block at most, and numbers in it.
+BLOCK_ROWS, BLOCK_NUMBERS = 10_000, 1_000_000
 TOLERANCE, PATIENCE = 1e-4, 10
 # The decay of the moments and what keeps the division safe.
 FIRST, SECOND, TINY = 0.9, 0.999, 1e-8
-#: Tasks whose gradients are added up on the driver; more are added up in an exchange first.
-DIRECT_TASKS = 64
+#: Tasks whose gradients are added up on the driver; more are added up in exchanges first.
+DIRECT_TASKS = 4
+#: Numbers that a task of a step should have at least.
+TASK_NUMBERS = 250_000
 
 
 @dataclass
@@ -93,8 +97,12 @@ def _sums(x: np.ndarray, target: np.ndarray, weights, shifts) -> np.ndarray:
     return np.concatenate([[len(x), -np.log(hit).sum()], *parts])
 
 
-def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> list[DataFrame]:
-    """Blocks (x, target) of each batch."""
+def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> list[RDD]:
+    """Blocks (x, target) of each batch.
+
+    A step is one small job, so that the plan of the stored rows is made once and not in each step.
+    Cached blocks that are lost are read from the folder again.
+    """
     spark = train.sparkSession
     dealt = train.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(batches)).cast("int").alias("batch"), "features", "target")
     if batches > 1:
@@ -102,13 +110,15 @@ def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> lis
 
     def run(parts):
         for part in parts:
-            number = np.array(part.column("batch").to_pylist())
-            x = np.array(part.column("features").to_pylist(), np.float64)
-            target = np.array(part.column("target").to_pylist(), np.int32)
-            for b in np.unique(number):
-                at = np.flatnonzero(number == b)
-                for start in range(0, len(at), BLOCK_ROWS):
-                    rows = at[start : start + BLOCK_ROWS]
+            width = len(part.column("features").flatten()) // max(part.num_rows, 1)
+            most = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(width, 1)))
+            for first in range(0, part.num_rows, most):
+                piece = part.slice(first, most)
+                number = piece.column("batch").to_numpy()
+                x = _vectors(piece.column("features"))
+                target = piece.column("target").to_numpy().astype(np.int32)
+                for b in np.unique(number):
+                    rows = np.flatnonzero(number == b)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(b)], pa.int32()), pa.array([x[rows].tobytes()], pa.binary()), pa.array([target[rows].tobytes()], pa.binary())],
                         names=["batch", "x", "target"],
@@ -116,38 +126,57 @@ def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> lis
 
     dealt.mapInArrow(run, "batch int, x binary, target binary").write.partitionBy("batch").parquet(folder)
     whole = spark.read.schema("x binary, target binary, batch int").parquet(folder)
-    held = sorted(r.batch for r in whole.select("batch").distinct().collect())
-    return [spark.read.schema("x binary, target binary").parquet(f"{folder}/batch={b}") for b in held]
+    held = whole.groupBy("batch").agg(F.sum(F.octet_length("x")).alias("bytes")).orderBy("batch").collect()
+    return [
+        cached(spark.read.schema("x binary, target binary").parquet(f"{folder}/batch={r.batch}"), r.bytes // 8) for r in held
+    ]
+
+
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    """One row per list, all of one length."""
+    if column.null_count:
+        raise ValueError("There are rows without features")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def cached(blocks: DataFrame, numbers: int) -> RDD:
+    """The rows of stored blocks as tuples of bytes, kept on the executors while they are used.
+
+    Few numbers are not dealt over more tasks than they are worth.
+    """
+    rows = blocks.rdd.coalesce(max(1, math.ceil(numbers / TASK_NUMBERS)))
+    return rows.mapPartitions(lambda rows: (tuple(map(bytes, r)) for r in rows)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def summed(blocks: DataFrame, tasks: int, dims: int, size: int, of_block: Callable, state) -> np.ndarray:
+def released(*blocks: RDD) -> None:
+    for kept in blocks:
+        kept.unpersist()
+
+
+def summed(blocks: RDD, tasks: int, dims: int, size: int, of_block: Callable, state) -> np.ndarray:
     """The sum over all blocks of of_block(x, target, state), which gives `size` numbers.
 
-    Tasks add up their own blocks; the sums of many tasks are added up in an exchange before
+    Tasks add up their own blocks; the sums of many tasks are added up in exchanges before
     the driver adds the rest.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(state)
 
-    def run(parts):
+    def run(index, rows):
         total = np.zeros(size)
-        for part in parts:
-            for x, target in zip(part.column("x").to_pylist(), part.column("target").to_pylist()):
-                total += of_block(np.frombuffer(x).reshape(-1, dims), np.frombuffer(target, np.int32), shared.value)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        for x, target in rows:
+            total += of_block(np.frombuffer(x).reshape(-1, dims), np.frombuffer(target, np.int32), state)
+        yield index, total
 
-    def add(parts):
+    def add(index, rows):
         total = np.zeros(size)
-        for part in parts:
-            for raw in part.column("sums").to_pylist():
-                total += np.frombuffer(raw)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    sums = blocks.mapInArrow(run, "sums binary")
-    if tasks > DIRECT_TASKS:
-        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(add, "sums binary")
-    out = sum((np.frombuffer(r.sums) for r in sums.collect()), np.zeros(size))
-    shared.unpersist()
-    return out
+        for _, part in rows:
+            total += part
+        yield index, total
+
+    sums = blocks.mapPartitionsWithIndex(run)
+    while tasks > max(DIRECT_TASKS, 1):
+        tasks = math.isqrt(tasks)
+        sums = sums.partitionBy(tasks, int).mapPartitionsWithIndex(add)
+    return sum((part for _, part in sums.collect()), np.zeros(size))
 
 
 def _of_block(x: np.ndarray, target: np.ndarray, state) -> np.ndarray:
@@ -174,7 +203,7 @@ def fit(train: DataFrame, rows: int, dims: int, classes: int, hidden: tuple[int,
     spark = train.sparkSession
     folder = new_folder(spark, "perceptron")
     batches = stored_blocks(train, max(1, min(math.ceil(rows / BATCH_ROWS), MAX_BATCHES)), seed, folder)
-    tasks = [b.rdd.getNumPartitions() for b in batches]
+    tasks = [b.getNumPartitions() for b in batches]
     weights, shifts = _start([dims, *hidden, 1 if classes <= 2 else classes], seed)
     first = [np.zeros_like(p) for pair in zip(weights, shifts) for p in pair]
     second = [np.zeros_like(p) for p in first]
@@ -202,5 +231,6 @@ def fit(train: DataFrame, rows: int, dims: int, classes: int, hidden: tuple[int,
         best = min(best, losses[-1])
         if waited > PATIENCE:
             break
+    released(*batches)
     dropped(spark, folder)
     return Perceptron(weights, shifts, losses)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from layerlens.operators import perceptron
 
@@ -88,3 +89,31 @@ def test_batches_learn_and_stop(spark, monkeypatch):
     assert model.losses[-1] < model.losses[0]
     again = perceptron.Perceptron.from_json(model.to_json())
     assert np.array_equal(again.probabilities(x), model.probabilities(x))
+
+
+def test_few_sums_reach_the_driver(spark, monkeypatch):
+    """Many tasks' gradients are added up before the driver gets them."""
+    monkeypatch.setattr(perceptron, "TASK_NUMBERS", 1)
+    seen, collect = [], RDD.collect
+
+    def counted(rdd):
+        seen.append(collect(rdd))
+        return seen[-1]
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    x, y = _data(90, 3, 2)
+    model = perceptron.fit(_frame(spark, x, y).repartition(12), 90, 3, 3, (4,), 0.5, 0.01, 2, 5)
+    assert seen and max(map(len, seen)) <= perceptron.DIRECT_TASKS
+    for got, want in zip(model.weights, _plain(x, y, (4,), 0.5, 0.01, 2, 5)):
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_blocks_hold_few_numbers(spark, monkeypatch, tmp_path):
+    """Wide rows come in shorter blocks, so that a task's memory does not follow their width."""
+    monkeypatch.setattr(perceptron, "BLOCK_NUMBERS", 30, raising=False)
+    x, y = _data(90, 3, 2)
+    (blocks,) = perceptron.stored_blocks(_frame(spark, x, y), 1, 5, f"{tmp_path}/blocks")
+    held = [(np.frombuffer(a).reshape(-1, 3), np.frombuffer(b, np.int32)) for a, b in blocks.collect()]
+    assert max(a.size for a, _ in held) <= 30
+    rows = sorted((*map(float, v), int(c)) for a, b in held for v, c in zip(a, b))
+    assert rows == sorted((*map(float, v), int(c)) for v, c in zip(x, y))
