@@ -3,9 +3,10 @@
 Training rows are cut into bins of approximate quantiles once and stored in blocks. A round fits
 one tree per class (one in all for two classes) to the gradients and curvatures of the softmax
 loss. What a pass over the blocks computes is a histogram of both per node and feature; tasks
-add up their own blocks, an exchange by (tree, node, features) adds up the tasks', and only the
+add up their own blocks, an exchange by (tree, features) adds up the tasks', and only the
 best split of each node reaches the driver. Of two siblings only the smaller one is counted, the
-other is its parent less it; parents' histograms are read back from the shared folder.
+other is its parent less it; histograms of nodes that may become parents stay where they were
+added up, until the tree is done. A pass is one small job.
 
 Growing by leaves always splits the leaf of best gain next, until a tree has `num_leaves`. To
 take few passes for that, a pass counts the children of every leaf that could still be split;
@@ -21,8 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row, functions as F
 
+from layerlens.operators.perceptron import cached, released
 from layerlens.session import dropped, new_folder
 
 BINS = 64
@@ -297,87 +300,116 @@ class _Grower:
         return out
 
 
-def _histograms(blocks: DataFrame, rounds: list[list[Tree]], grower: _Grower, pairs: dict[tuple[int, int], tuple[int, int]],
-                dims: int, margins: int) -> DataFrame:
-    """(tree, node, family, part, hist): each task's sums over its blocks for the nodes of
+def _opened_rows(rows, dims: int, margins: int):
+    for bins, target, own in rows:
+        yield np.frombuffer(bins, np.uint8).reshape(-1, dims), np.frombuffer(target, np.int32), np.frombuffer(own).reshape(-1, margins)
+
+
+def _after_round(blocks: RDD, trees: list[Tree], dims: int, margins: int) -> RDD:
+    """The blocks with a round's trees added to their margins."""
+
+    def run(rows):
+        for bins, target, own in _opened_rows(rows, dims, margins):
+            yield bins.tobytes(), target.tobytes(), _advanced(bins, own, [trees]).tobytes()
+
+    return blocks.mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _histograms(blocks: RDD, grower: _Grower, pairs: dict[tuple[int, int], tuple[int, int]], dims: int, margins: int) -> RDD:
+    """((tree, part), (node, hist, None)): each task's sums over its blocks for the nodes of
     `pairs`, which gives each one's parent (-1 for a root) and sibling."""
-    by_tree: dict[int, dict[int, int]] = {}
-    for (t, i), (parent, _) in pairs.items():
-        by_tree.setdefault(t, {})[i] = parent
+    by_tree: dict[int, list[int]] = {}
+    for t, i in pairs:
+        by_tree.setdefault(t, []).append(i)
     routes = {t: _arrays(grower.trees[t], final=False) if grower.trees[t] else None for t in by_tree}
     wide = grower.growth.wide
-    shared = blocks.sparkSession.sparkContext.broadcast((rounds, by_tree, routes))
 
-    def run(batches):
-        rounds, by_tree, routes = shared.value
+    def run(rows):
         sums: dict[tuple[int, int], np.ndarray] = {}
         step = np.arange(dims) * BINS
-        for batch in batches:
-            for bins, target, own in _opened(batch, dims, margins):
-                gradient, curvature = _slopes(_advanced(bins, own, rounds), target, wide)
-                places = bins + step
-                for t, wanted in by_tree.items():
-                    at = np.zeros(len(bins), np.int64) if routes[t] is None else _routed(bins, *routes[t])
-                    for i in wanted:
-                        rows = np.flatnonzero(at == i)
-                        key = places[rows].ravel()
-                        hist = np.stack([
-                            np.bincount(key, np.repeat(w, dims), dims * BINS)
-                            for w in (gradient[rows, t], curvature[rows, t], np.ones(len(rows)))
-                        ])
-                        sums[t, i] = sums[t, i] + hist if (t, i) in sums else hist
+        for bins, target, own in _opened_rows(rows, dims, margins):
+            gradient, curvature = _slopes(own, target, wide)
+            places = bins + step
+            for t, wanted in by_tree.items():
+                at = np.zeros(len(bins), np.int64) if routes[t] is None else _routed(bins, *routes[t])
+                for i in wanted:
+                    here = np.flatnonzero(at == i)
+                    key = places[here].ravel()
+                    hist = np.stack([
+                        np.bincount(key, np.repeat(w, dims), dims * BINS)
+                        for w in (gradient[here, t], curvature[here, t], np.ones(len(here)))
+                    ])
+                    sums[t, i] = sums[t, i] + hist if (t, i) in sums else hist
         for (t, i), hist in sums.items():
             hist = hist.reshape(3, dims, BINS)
             for first in range(0, dims, FEATURES):
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([v], pa.int32()) for v in (t, i, by_tree[t][i], first)),
-                     pa.array([hist[:, first : first + FEATURES].tobytes()], pa.binary())],
-                    names=["tree", "node", "family", "part", "hist"],
-                )
+                yield (t, first), (i, _packed(hist[:, first : first + FEATURES]), None)
 
-    return blocks.mapInArrow(run, "tree int, node int, family int, part int, hist binary")
+    return blocks.mapPartitions(run)
 
 
-SPLITS = (
-    "tree int, node int, part int, hist binary, gain double, feature int, bin int, g double, h double, n double, "
-    "total_g double, total_h double, total_n double"
-)
+def _packed(hist: np.ndarray) -> tuple:
+    """A histogram as its shape and the bins that hold rows, which are few in small nodes."""
+    flat = hist.reshape(3, -1)
+    held = np.flatnonzero(flat[2])
+    return hist.shape, held.astype(np.int32), flat[:, held]
 
 
-def _merged(rows: DataFrame, pairs: dict[tuple[int, int], tuple[int, int]], growth: Growth) -> DataFrame:
-    """Whole histograms, their best splits and totals, from tasks' sums and parents' histograms.
+def _unpacked(packed: tuple) -> np.ndarray:
+    shape, held, values = packed
+    flat = np.zeros((3, shape[1] * shape[2]))
+    flat[:, held] = values
+    return flat.reshape(shape)
 
-    One exchange: a family's rows meet in one task, which adds them up as they come.
-    """
-    dealt = rows.repartition("tree", "family", "part").drop("family")
 
-    kinds = dict.fromkeys(("tree", "node", "part"), pa.int32()) | {"hist": pa.binary(), "gain": pa.float64()}
-    kinds |= dict.fromkeys(("feature", "bin"), pa.int32())
-    kinds |= dict.fromkeys(("g", "h", "n", "total_g", "total_h", "total_n"), pa.float64())
-    names = list(kinds)
+def _rest(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The sibling's histogram; bins without rows hold no rest of the subtraction."""
+    rest = parent - child
+    return np.where(rest[2] > 0, rest, 0.0)
 
-    def run(batches):
+
+def _place(key: tuple[int, int]) -> int:
+    return 31 * key[0] + key[1] // FEATURES
+
+
+def _merged(rows: RDD, known: RDD | None, pairs: dict[tuple[int, int], tuple[int, int]], growth: Growth, tasks: int) -> RDD:
+    """((tree, part), (node, hist, split)) of all nodes that may become parents.
+
+    One exchange, of the new sums: those of a tree and part meet in one task, where the
+    histograms known from earlier passes are already. `split` is the best split and the totals
+    of a new node, None of one known before.
+    """
+    dealt = rows.partitionBy(tasks, _place)
+    if known is not None:
+        dealt = known.union(dealt)
+    used = {(t, parent) for (t, _), (parent, _) in pairs.items()}
+
+    def run(rows):
         sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            for t, i, first, raw in zip(*(batch.column(c).to_pylist() for c in ("tree", "node", "part", "hist"))):
-                hist = np.frombuffer(raw).reshape(3, -1, BINS)
-                key = t, i, first
-                sums[key] = sums[key] + hist if key in sums else hist
-        out = [[] for _ in names]
+        for (t, first), (i, packed, _) in rows:
+            key, hist = (t, i, first), _unpacked(packed)
+            sums[key] = sums[key] + hist if key in sums else hist
         for (t, i, first), hist in sums.items():
-            if (t, i) not in pairs:
-                continue  # a parent
-            parent, sibling = pairs[t, i]
-            found = [(i, hist)]
-            if parent >= 0:
-                found.append((sibling, sums[t, parent, first] - hist))
-            for node, own in found:
-                values = t, node, first, own.tobytes(), *_best_split(own, growth, first), *own[:, 0].sum(axis=1).tolist()
-                for column, value in zip(out, values):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds.values())], names=names)
+            if (t, i) in pairs:
+                parent, sibling = pairs[t, i]
+                found = [(i, hist)]
+                if parent >= 0:
+                    found.append((sibling, _rest(sums[t, parent, first], hist)))
+                for node, own in found:
+                    yield (t, first), (node, _packed(own), (*_best_split(own, growth, first), *own[:, 0].sum(axis=1).tolist()))
+            elif (t, i) not in used:
+                yield (t, first), (i, _packed(hist), None)
+
+    return dealt.mapPartitions(run, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+SPLIT = Row("tree", "part", "node", "gain", "feature", "bin", "g", "h", "n", "total_g", "total_h", "total_n")
+
 
-    return dealt.mapInArrow(run, SPLITS)
+def _splits(merged: RDD) -> list[Row]:
+    """The best splits of the new nodes."""
+    new = merged.filter(lambda e: e[1][2] is not None).map(lambda e: (*e[0], e[1][0], *e[1][2]))
+    return [SPLIT(*values) for values in new.collect()]
 
 
 def fit(train: DataFrame, classes: int, growth: Growth, from_prior: bool = False) -> BoostedTrees:
@@ -396,42 +428,46 @@ def fit(train: DataFrame, classes: int, growth: Growth, from_prior: bool = False
         base = np.log(share[1:] / share[:1]) if margins == 1 else np.log(share)
     root = new_folder(spark, "boosting")
     held = f"{root}/blocks-0"
-    blocks = _blocks(train, cuts, margins, base, held)
+    stored = _blocks(train, cuts, margins, base, held)
+    numbers = stored.agg(F.sum(F.octet_length("bins"))).first()[0]
     model = BoostedTrees(cuts, base, [])
     since: list[list[Tree]] = []  # rounds that the stored margins lack
-    passes = 0
+    blocks = cached(stored, numbers)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, margins * math.ceil(dims / FEATURES)))
     for round_ in range(growth.rounds):
         grower = _Grower(growth, margins)
-        known: DataFrame | None = None  # histograms of all nodes so far
-        folders: list[str] = []
+        known: RDD | None = None  # histograms of nodes that may become parents
+        passes: list[RDD] = []
         pairs = {(t, 0): (-1, -1) for t in range(margins)}
         while pairs:
-            rows = _histograms(blocks, since, grower, pairs, dims, margins)
-            if known is not None:
-                parents = F.concat_ws("/", "tree", "node").isin([f"{t}/{p}" for (t, _), (p, _) in pairs.items()])
-                rows = rows.unionAll(known.where(parents).select("tree", "node", F.col("node").alias("family"), "part", "hist"))
-            folders.append(f"{root}/pass-{passes}")
-            passes += 1
-            _merged(rows, pairs, growth).write.parquet(folders[-1])
-            known = spark.read.schema(SPLITS).parquet(*folders)
-            found = spark.read.schema(SPLITS).parquet(folders[-1]).drop("hist").collect()
-            _take(grower, found)
+            known = _merged(_histograms(blocks, grower, pairs, dims, margins), known, pairs, growth, tasks)
+            passes.append(known)
+            _take(grower, _splits(known))
+            released(*passes[:-1])
             pairs = {}
             for t, i in grower.wanted():
                 small, other = grower.open(t, i)
                 pairs[t, small] = (i, other)
-        dropped(spark, *folders)
+        released(*passes)
         trees = grower.finished()
         model.rounds.append(trees)
         since.append(trees)
         if all(len(nodes) == 1 or not nodes[0].split for nodes in grower.trees):
             if not any(abs(float(t.value[0])) > 1e-12 for t in trees):
                 break  # nothing left to learn
-        if len(since) == STORE_ROUNDS and round_ + 1 < growth.rounds:
+        if round_ + 1 == growth.rounds:
+            break
+        before = blocks
+        if len(since) == STORE_ROUNDS:
             after = f"{root}/blocks-{round_ + 1}"
-            blocks = _stored(blocks, since, dims, margins, after)
+            stored = _stored(stored, since, dims, margins, after)
             dropped(spark, held)
-            held, since = after, []
+            held, since, blocks = after, [], cached(stored, numbers)
+        else:
+            blocks = _after_round(before, trees, dims, margins)
+        blocks.count()
+        released(before)
+    released(blocks)
     dropped(spark, root)
     return model
 

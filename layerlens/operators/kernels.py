@@ -102,10 +102,8 @@ def fit(train: DataFrame, dims: int, classes: int, c: float, kernel: str, gamma:
     @F.pandas_udf("array<double>")
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            out = []
             for start in range(0, len(vectors), PIECE_ROWS):
-                out.extend(model.mapped(np.stack(vectors.iloc[start : start + PIECE_ROWS].to_list())))
-            yield pd.Series(out)
+                yield pd.Series(list(model.mapped(np.stack(vectors.iloc[start : start + PIECE_ROWS].to_list()))))
 
     rows = train.withColumn("features", mapped("features"))
     model.margins = fit_margins(rows, model.maps.shape[1], classes, c, seed=seed)

@@ -233,10 +233,8 @@ def _of_vectors(measure):
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            out = []
             for start in range(0, len(vectors), 1024):
-                out.extend(measure(np.stack(vectors.iloc[start : start + 1024].to_list())))
-            yield pd.Series(out)
+                yield pd.Series(list(measure(np.stack(vectors.iloc[start : start + 1024].to_list()))))
 
     return measured("features")
 
@@ -446,11 +444,14 @@ def compare_frozen(
     Gives the winner refitted on all training rows, its test predictions and the trials.
     """
     scaled = standardise(train, train)
-    done = [
-        t
-        for probe in spaces
-        for t in search(scaled, probe, trials, seed, parallelism, spaces, "weighted")
-    ]
+    each = max(1, parallelism // max(len(spaces), 1))
+    searched = _in_threads(
+        train.sparkSession,
+        lambda probe: search(scaled, probe, trials, seed, each, spaces, "weighted"),
+        list(spaces),
+        parallelism,
+    )
+    done = [t for trials_of_probe in searched for t in trials_of_probe]
     winner = best_trial(done, "f1_score")
     fitted = fit(scaled, winner["probe"], winner["params"], seed)
     return fitted, fitted.predict(standardise(train, test)), trial_table(train.sparkSession, done)

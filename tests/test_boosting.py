@@ -84,3 +84,18 @@ def test_one_class_and_equal_rows(spark):
     rows = spark.createDataFrame([([1.0, 2.0], 0)] * 5, ROWS)
     model = boosting.fit(rows, 1, Growth(3, 0.3, max_depth=2))
     assert (model.probabilities(np.array([[1.0, 2.0]])).argmax(axis=1) == 0).all()
+
+
+def test_a_pass_is_one_small_job(spark):
+    """No pass writes a table or reads one back, and margins take one job a round."""
+    x, y = _data(60, 3, 2, 9)
+    rows = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], ROWS).coalesce(1)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted"))
+    spark.sparkContext.setJobGroup("boosted", "")
+    counts = []
+    for rounds in (1, 4):
+        before = jobs()
+        boosting.fit(rows, 2, Growth(rounds, 0.3, max_depth=2))
+        counts.append(jobs() - before)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] - counts[0] <= 3 * 4  # three passes and the margins
