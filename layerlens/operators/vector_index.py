@@ -43,7 +43,7 @@ MAX_NEIGHBOURS = 100
 PROBES, CANDIDATES = 16, 8
 #: Rows of a list, or visitors of it, that one task holds at a time.
 CHUNK_ROWS = 4_096
-PIECE_NUMBERS = 4_000_000
+PIECE_NUMBERS = 1_000_000
 SALTS = 32
 
 
@@ -56,6 +56,12 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, by distances of a bounded piece at a time."""
+    step = max(1, PIECE_NUMBERS // len(centres))
+    return np.concatenate([_squared(x[i : i + step], centres).argmin(axis=1) for i in range(0, len(x), step)])
+
+
 def _pieces(vectors: pd.Series, width: int) -> Iterator[np.ndarray]:
     step = max(1, PIECE_NUMBERS // max(width, 1))
     for i in range(0, len(vectors), step):
@@ -121,7 +127,7 @@ def _group_codes(rest: DataFrame, bounds: list[int], seed: int) -> list[np.ndarr
         if len(centres) > CODES:
             centres = centres[rng.choice(len(centres), CODES, replace=False)]
             for _ in range(8):
-                nearest = _squared(x, centres).argmin(axis=1)
+                nearest = _nearest(x, centres)
                 counts = np.bincount(nearest, minlength=len(centres))
                 sums = np.stack([np.bincount(nearest, x[:, d], len(centres)) for d in range(x.shape[1])], axis=1)
                 centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
@@ -281,13 +287,18 @@ class VectorIndex:
             centre = quantiser.centre(np.array([rows["list"].iloc[0]]))
             x = _matrix(test_rows["vector"]) - centre
             code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            rough = _squared(x, quantiser.decoded(code))
-            last = min(most, len(rows))
-            near = np.argpartition(rough, last - 1, axis=1)[:, :last]
+            decoded, last = quantiser.decoded(code), min(most, len(rows))
+            step, near, gaps = max(1, PIECE_NUMBERS // len(rows)), [], []
+            for i in range(0, len(x), step):
+                rough = _squared(x[i : i + step], decoded)
+                near.append(np.argpartition(rough, last - 1, axis=1)[:, :last])
+                gaps.append(np.take_along_axis(rough, near[-1], axis=1))
+                # argpartition gives all places; only the kept ones are held on to.
+                near[-1] = near[-1].astype(np.int32)
             return pd.DataFrame({
                 "test_id": np.repeat(test_rows["test_id"].to_numpy(), last),
-                "entry": rows["entry"].to_numpy()[near].ravel(),
-                "rough": np.take_along_axis(rough, near, axis=1).ravel(),
+                "entry": rows["entry"].to_numpy()[np.concatenate(near)].ravel(),
+                "rough": np.concatenate(gaps).ravel(),
             })
 
         rough = (

@@ -75,3 +75,19 @@ def test_few_rows_and_bad_calls(spark):
         built.search(one, 0)
     with pytest.raises(ValueError):
         VectorIndex.build(one.where("id < 0"), new_folder(spark, "index"))
+
+
+def test_distances_are_held_a_piece_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, centres = rng.normal(size=(500, 4)), rng.normal(size=(50, 4))
+    want = vector_index._squared(x, centres).argmin(axis=1)
+    held, squared = [], vector_index._squared
+
+    def counted(a, b):
+        held.append(len(a) * len(b))
+        return squared(a, b)
+
+    monkeypatch.setattr(vector_index, "PIECE_NUMBERS", 1000)
+    monkeypatch.setattr(vector_index, "_squared", counted)
+    assert np.array_equal(vector_index._nearest(x, centres), want)
+    assert max(held) <= 1000 and sum(held) == want.size * 50
