@@ -221,6 +221,8 @@ def _advanced(bins: np.ndarray, margins: np.ndarray, rounds: list[list[Tree]]) -
 def _best_split(hist: np.ndarray, growth: Growth, first: int):
     """The best split of a node by its histogram [gradient/curvature/rows, feature, bin]:
     (gain, feature, bin, gradient, curvature and rows to the left)."""
+    if hist[2, 0].sum() < 2 * max(growth.min_rows, 1):
+        return -math.inf, first, 0, 0.0, 0.0, 0.0  # too few rows for any
     left = hist.cumsum(axis=2)
     total = left[:, :, -1:]
     right = total - left
@@ -386,19 +388,23 @@ def _merged(rows: RDD, known: RDD | None, pairs: dict[tuple[int, int], tuple[int
 
     def run(rows):
         sums: dict[tuple[int, int, int], np.ndarray] = {}
+        held: dict[tuple[int, int, int], tuple] = {}
         for (t, first), (i, packed, _) in rows:
-            key, hist = (t, i, first), _unpacked(packed)
-            sums[key] = sums[key] + hist if key in sums else hist
-        for (t, i, first), hist in sums.items():
+            key = t, i, first
             if (t, i) in pairs:
-                parent, sibling = pairs[t, i]
-                found = [(i, hist)]
-                if parent >= 0:
-                    found.append((sibling, _rest(sums[t, parent, first], hist)))
-                for node, own in found:
-                    yield (t, first), (node, _packed(own), (*_best_split(own, growth, first), *own[:, 0].sum(axis=1).tolist()))
-            elif (t, i) not in used:
-                yield (t, first), (i, _packed(hist), None)
+                sums[key] = sums[key] + _unpacked(packed) if key in sums else _unpacked(packed)
+            else:
+                held[key] = packed
+        for (t, i, first), hist in sums.items():
+            parent, sibling = pairs[t, i]
+            found = [(i, hist)]
+            if parent >= 0:
+                found.append((sibling, _rest(_unpacked(held[t, parent, first]), hist)))
+            for node, own in found:
+                yield (t, first), (node, _packed(own), (*_best_split(own, growth, first), *own[:, 0].sum(axis=1).tolist()))
+        for (t, i, first), packed in held.items():
+            if (t, i) not in used:
+                yield (t, first), (i, packed, None)
 
     return dealt.mapPartitions(run, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
 
