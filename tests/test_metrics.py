@@ -97,3 +97,13 @@ def test_interval_holds_the_mean_and_repeats(spark):
     for a, b in zip(first, again):
         assert a.ci_low < a.accuracy < a.ci_high
         assert (a.ci_low, a.ci_high) == pytest.approx((b.ci_low, b.ci_high))
+
+
+def test_predictions_are_not_sorted(spark):
+    """Of both sides of a scoring only the truth is held; predictions with no match stay out."""
+    preds = spark.createDataFrame([(i % 5, p, i % 2) for i in range(20) for p in "ab"], "id long, probe string, y_pred int")
+    truth = spark.createDataFrame([(i, 1) for i in range(4)], "id long, label int")
+    found = metrics.align(preds, truth, ["id"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found.count() == 32 and {r.y_true for r in found.collect()} == {1}
