@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from layerlens.functions.ordering import id_bucketizer, with_id_bucket
+from layerlens.functions.sizing import small_side
 from layerlens.functions.text import (
     STOP_WORDS,
     char_count,
@@ -25,6 +26,8 @@ from layerlens.session import written
 BINS = 50
 GRID = 200
 QUARTERS = (0.25, 0.5, 0.75)
+SLOTS = 1 << 16  # for the bigrams of each dataset
+FULLEST = 8  # slots counted at first, per bigram asked for
 
 
 def first_seen(row_id: Column, position: Column) -> Column:
@@ -221,14 +224,45 @@ def bigrams(df: DataFrame, keys: list[str], stop_words=STOP_WORDS) -> DataFrame:
     return inside.unionByName(across)
 
 
+def _in_slots(df: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a table whose keys, null or not, and slot are among the given ones."""
+    names = [*keys, "slot"]
+    slots = small_side(slots.select(*[F.col(c).alias(f"_{c}") for c in names]))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return df.join(slots, reduce(Column.__and__, same), "left_semi")
+
+
 def top_bigrams(
     df: DataFrame, keys: list[str], limit: int = 20, stop_words=STOP_WORDS
 ) -> DataFrame:
-    counts = (
-        bigrams(df, keys, stop_words)
-        .groupBy(*keys, "first", "second")
-        .agg(F.count("*").alias("n"), first_seen(F.col("id"), F.col("pos")).alias("first_seen"))
+    """Most frequent bigrams, ties by first appearance.
+
+    Most bigrams are rare, so they are not moved to be counted. Each falls into one of SLOTS
+    slots, and no bigram is met more often than its slot. Those of the fullest slots are counted,
+    then those of any other slot with as many as the last of the top ones has, ties included.
+    """
+    slot = F.pmod(F.xxhash64("first", "second"), F.lit(SLOTS))
+    pairs = bigrams(df, keys, stop_words).withColumn("slot", slot)
+
+    def counted(slots: DataFrame) -> DataFrame:
+        found = _in_slots(pairs, slots, keys).groupBy(*keys, "first", "second")
+        seen = first_seen(F.col("id"), F.col("pos")).alias("first_seen")
+        return written(found.agg(F.count("*").alias("n"), seen), "bigram-counts")
+
+    sizes = written(pairs.groupBy(*keys, "slot").agg(F.count("*").alias("size")), "bigram-slots")
+    order = W.partitionBy(*keys).orderBy(F.col("size").desc(), "slot")
+    sizes = sizes.withColumn("place", F.row_number().over(order))
+    counts = counted(sizes.filter(F.col("place") <= FULLEST * limit))
+    last = _top(counts, keys, limit).groupBy(*[F.col(c).alias(f"_{c}") for c in keys])
+    last = last.agg(F.min("n").alias("least"), F.count("*").alias("ranked"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    others = sizes.filter(F.col("place") > FULLEST * limit).join(
+        last, reduce(Column.__and__, same, F.lit(True)), "left"
     )
+    enough = (F.col("ranked") >= limit) & (F.col("size") < F.col("least"))
+    others = written(others.filter(~F.coalesce(enough, F.lit(False))).select(*keys, "slot"), "more-slots")
+    if not others.isEmpty():
+        counts = counts.unionByName(counted(others))
     return _top(counts, keys, limit).select(
         *keys, "rank", F.concat_ws(" ", "first", "second").alias("bigram"), "n"
     )

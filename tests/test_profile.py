@@ -58,6 +58,48 @@ def test_top_bigrams_order(texts):
     assert [(r.bigram, r.n) for r in rows] == want
 
 
+def _counted_tables(monkeypatch):
+    kept, write = [], profile.written
+
+    def written(df, name):
+        out = write(df, name)
+        kept.append((name, out))
+        return out
+
+    monkeypatch.setattr(profile, "written", written)
+    return lambda: [df.count() for name, df in kept if name == "bigram-counts"]
+
+
+def _bigram_rows(spark):
+    # Rare bigrams of numbers, a common one, and two equally common ones, in a null dataset too.
+    texts = [f"x{i} y{i} z{i} v{i}" for i in range(400)] + ["red hat"] * 9 + ["blue cup"] * 5 + ["old car"] * 5
+    rows = [(i, d, t, "l") for d in ("a", None) for i, t in enumerate(texts)]
+    return spark.createDataFrame([(i + 10_000 * (d is None), d, t, l) for i, d, t, l in rows], COLUMNS)
+
+
+def test_top_bigrams_count_few_of_the_rare(spark, monkeypatch):
+    counted = _counted_tables(monkeypatch)
+    rows = profile.top_bigrams(_bigram_rows(spark), ["dataset"], limit=3).collect()
+    for dataset in ("a", None):
+        found = sorted((r.rank, r.bigram, r.n) for r in rows if r.dataset == dataset)
+        if dataset:
+            assert found == [(1, "red hat", 9), (2, "hat red", 8), (3, "blue cup", 5)]
+        else:
+            assert found[0] == (1, "red hat", 9)
+    assert sum(counted()) < 400
+
+
+@pytest.mark.parametrize("slots", [1, 2, 64])
+def test_top_bigrams_any_slots(spark, monkeypatch, slots):
+    want = sorted(map(tuple, profile.top_bigrams(_bigram_rows(spark), ["dataset"], limit=3).collect()), key=str)
+    counted = _counted_tables(monkeypatch)
+    monkeypatch.setattr(profile, "SLOTS", slots)
+    monkeypatch.setattr(profile, "FULLEST", 0 if slots == 2 else 1)
+    rows = profile.top_bigrams(_bigram_rows(spark), ["dataset"], limit=3).collect()
+    assert sorted(map(tuple, rows), key=str) == want
+    assert len(counted()) == (1 if slots == 1 else 2)
+
+
 def test_equal_lengths(spark):
     rows = spark.createDataFrame([(i, "d", "one two", "x") for i in range(5)], COLUMNS)
     bins = profile.length_histogram(rows, ["dataset"], "n_words").collect()
