@@ -8,7 +8,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from layerlens.llm import bpe, hosts, html, lattice, licenses, line_dedup, minhash, mixing, quality, queries, substrings
-from layerlens.llm.common import table
+from layerlens.llm.common import map_arrow, table
+from layerlens.session import Scratch
 from tests.llm import brute
 from tests.oracle import connect, differences
 
@@ -524,3 +525,37 @@ def test_quality_keeps_the_good(spark):
     bad = [out[m.doc_id].kept for m in marks if m.quality == 0]
     assert np.mean(good) > 0.95
     assert np.mean(bad) < 0.05
+
+
+def _long_texts(spark):
+    return spark.range(2000, numPartitions=1).select("id", F.repeat(F.lit("text "), 4000).alias("text"))
+
+
+def _bytes_of(batch):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["bytes", "rows"])
+
+
+def test_functions_of_rows_get_bounded_pieces(spark):
+    def run(batch):
+        yield _bytes_of(batch)
+
+    found = map_arrow(_long_texts(spark), run, "bytes long, rows long").collect()
+    assert sum(r.rows for r in found) == 2000
+    assert max(r.bytes for r in found) < 6 << 20
+
+
+def test_stored_steps_get_short_batches(spark):
+    def run(batches):
+        for batch in batches:
+            yield _bytes_of(batch)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    scratch = Scratch(spark)
+    stored = scratch.written(_long_texts(spark).mapInArrow(run, "bytes long, rows long"), "batches")
+    found = stored.collect()
+    scratch.drop(stored)
+    assert sum(r.rows for r in found) == 2000
+    assert max(r.bytes for r in found) < 12 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
