@@ -41,8 +41,7 @@ def _gaps(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
     )
 
 
-def _pivots(train: DataFrame, rows: int, seed: int) -> np.ndarray:
-    dims = train.select(F.size("features")).first()[0]
+def _pivots(train: DataFrame, rows: int, dims: int, seed: int) -> np.ndarray:
     limit = min(MAX_PIVOTS, max(1, MAX_PIVOT_NUMBERS // dims), max(1, math.isqrt(rows)))
     drawn = train.select("features", "id", draw(F.col("id"), seed).alias("draw"))
     return _matrix(r.features for r in drawn.orderBy("draw", "id").limit(limit).collect())
@@ -112,19 +111,15 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, seed: int = 42
     returned.
     """
     spark = train.sparkSession
-    rows = train.count()
-    if rows == 0:
+    size = train.agg(F.count("*").alias("rows"), F.first(F.size("features")).alias("dims")).first()
+    if size.rows == 0:
         raise ValueError("There are no training rows")
-    pivots = _pivots(train, rows, seed)
+    pivots = _pivots(train, size.rows, size.dims, seed)
     placed = train.select("id", "features", "label", _assign(pivots)("features").alias("p"))
     placed = placed.select("id", "features", "label", "p.*")
     # At most MAX_PIVOTS rows from here on where cells are listed.
-    cells = (
-        placed.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
-        .orderBy("cell")
-        .collect()
-    )
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
+    cells.sort(key=lambda c: c.cell)
     # New names throughout, as both sides may come from the same table.
     visits = test.select(
         F.col("id").alias("test_id"),

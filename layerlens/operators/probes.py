@@ -28,7 +28,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from layerlens.functions.draws import is_validation
 from layerlens.operators import calibration, guided, metrics, neighbours
@@ -61,11 +61,16 @@ class TableFacts:
 
 def facts(train: DataFrame) -> TableFacts:
     """One pass; the result is one row with two numbers per dimension and the classes."""
+    return _facts_in(train.agg(*_fact_columns()).first())
+
+
+def _fact_columns() -> list[Column]:
     vector = array_to_vector(F.col("features"))
-    row = train.agg(
-        Summarizer.metrics("count", "mean", "variance").summary(vector).alias("s"),
-        F.sort_array(F.collect_set("label")).alias("labels"),
-    ).first()
+    summary = Summarizer.metrics("count", "mean", "variance").summary(vector)
+    return [summary.alias("s"), F.sort_array(F.collect_set("label")).alias("labels")]
+
+
+def _facts_in(row: Row) -> TableFacts:
     n, means, spread = row.s["count"], row.s["mean"].toArray(), row.s["variance"].toArray()
     variance = float((spread * (n - 1) / n).mean() + means.var())
     return TableFacts(n, tuple(row.labels), len(means), variance)
@@ -464,6 +469,10 @@ GRID_RESULT = (
 )
 
 
+#: What tells the parts of a grid's features apart, and its cells.
+PART, CELL = ["layer", "pooling"], ["layer", "pooling", "probe"]
+
+
 def run_grid(
     features: DataFrame,
     cells: list[tuple[int, str, str]],
@@ -477,34 +486,143 @@ def run_grid(
     `features` has layer, pooling, split, id, features and label; stored partitioned by
     layer and pooling, a cell reads only its own part. Predictions are written per cell.
     A failing cell is logged and reported, the others go on.
+
+    What all cells need alike is one job for the whole grid: the facts of its parts, the scores
+    of a round of trials and those of the refitted probes. A cell only fits and predicts.
     """
     spark = features.sparkSession
-
-    def run(cell):
-        layer, pooling, probe = cell
-        row = dict(zip(("layer", "pooling", "probe"), cell))
-        try:
-            mine = features.filter((F.col("layer") == layer) & (F.col("pooling") == pooling))
-            train = mine.filter(F.col("split") == "train")
-            test = mine.filter(F.col("split") == "test")
-            fitted, done = search_and_refit(train, probe, trials, seed, parallelism=1)
-            path = f"{folder}/layer={layer}/pooling={pooling}/probe={probe}"
-            fitted.predict(test).write.mode("overwrite").parquet(path)
-            preds = spark.read.schema("id long, y_pred int").parquet(path)
-            truth = test.select("id", "label")
-            counts = metrics.confusion(metrics.align(preds, truth, ["id"]), [])
-            average = "macro" if facts(train).classes > 2 else "binary"
-            score = metrics.scores(metrics.class_scores(counts, []), [], average).first()
-            params = {k: str(v) for k, v in fitted.params.items()}
-            return {**row, "status": "done", "params": params, **score.asDict()}
-        except Exception as problem:  # a bad cell must not stop the others
-            log.exception("Cell %s failed", cell)
-            return {**row, "status": "failed", "error": str(problem).splitlines()[0]}
-
-    results = _in_threads(spark, run, cells, parallelism)
+    layers, poolings = ({cell[i] for cell in cells} for i in range(2))
+    features = features.filter(F.col("layer").isin(*layers) & F.col("pooling").isin(*poolings))
+    train, test = (features.filter(F.col("split") == split) for split in ("train", "test"))
+    held_out = is_validation(F.col("id"), seed)
+    fit_rows, validation = train.filter(~held_out), train.filter(held_out)
+    of_trials, of_refits = _facts_of_parts(fit_rows), _facts_of_parts(train)
+    trial_folder = new_folder(spark, "trials")
+    found: dict[tuple, list[dict]] = {cell: [] for cell in cells}
+    failed: dict[tuple, str] = {}
+
+    def each(work) -> None:
+        """Runs work(cell) for every cell that is left."""
+
+        def tried(cell):
+            try:
+                work(cell)
+            except Exception as problem:  # a bad cell must not stop the others
+                fail(cell, problem)
+
+        _in_threads(spark, tried, [c for c in found if c not in failed], parallelism)
+
+    def fail(cell, problem) -> None:
+        log.error("Cell %s failed", cell, exc_info=problem)
+        failed[cell] = (str(problem) or type(problem).__name__).splitlines()[0]
+
+    def of_part(rows: DataFrame, cell) -> DataFrame:
+        return rows.filter((F.col("layer") == cell[0]) & (F.col("pooling") == cell[1]))
+
+    def refit(cell, rows, known, params, ahead, where) -> FittedProbe:
+        mine = of_part(rows, cell)
+        fitted = fit(mine, cell[2], params, seed, known.get(cell[:2]) or facts(mine))
+        fitted.predict(of_part(ahead, cell)).write.mode("overwrite").parquet(where)
+        return fitted
+
+    drawn = min(trials, guided.STARTUP)
+    for trial_round in [range(drawn), *([i] for i in range(drawn, trials))]:
+        asked: dict[tuple, dict] = {}
+
+        def run_trials(cell):
+            probe = cell[2]
+            table = of_trials.get(cell[:2]) or facts(of_part(fit_rows, cell))
+            draws = draw_params(SPACES, probe, table, drawn, seed)
+            for i in trial_round:
+                if i < drawn:
+                    params = draws[i]
+                else:
+                    rng = random.Random(f"{seed}-{probe}-{i}")
+                    candidates = [SPACES[probe](rng, table) for _ in range(guided.CANDIDATES)]
+                    params = guided.propose(candidates, found[cell], "accuracy")
+                refit(cell, fit_rows, of_trials, params, validation, _cell_path(f"{trial_folder}/trial={i}", cell))
+                asked[i, *cell] = params
+
+        each(run_trials)
+        asked = {key: params for key, params in asked.items() if key[1:] not in failed}
+        scored = _cell_scores(validation, trial_folder, list(asked), ["trial", *CELL])
+        for key in sorted(asked, key=lambda key: key[0]):
+            i, *cell = key
+            if isinstance(scored[key], Exception):
+                fail(tuple(cell), scored[key])
+            else:
+                known = {m: scored[key][m] for m in ("accuracy", "f1_score")}
+                found[tuple(cell)].append({"trial": i, "probe": cell[2], "params": asked[key], **known})
+
+    fitted: dict[tuple, dict] = {}
+
+    def refit_best(cell):
+        params = best_trial(found[cell])["params"]
+        fitted[cell] = refit(cell, train, of_refits, params, test, _cell_path(folder, cell)).params
+        if cell[:2] not in of_refits:
+            of_refits[cell[:2]] = facts(of_part(train, cell))
+
+    each(refit_best)
+    done = [cell for cell in fitted if cell not in failed]
+    many = {cell[:2]: of_refits[cell[:2]].classes > 2 for cell in done}
+    scored = _cell_scores(test, folder, done, CELL, many)
+    results = []
+    for cell in cells:
+        row = dict(zip(CELL, cell))
+        if cell in done and isinstance(scored[cell], Exception):
+            fail(cell, scored[cell])
+        if cell in failed:
+            results.append({**row, "status": "failed", "error": failed[cell]})
+        else:
+            params = {k: str(v) for k, v in fitted[cell].items()}
+            results.append({**row, "status": "done", "params": params, **scored[cell]})
     return spark.createDataFrame(results, GRID_RESULT)
 
 
+def _cell_path(folder: str, cell: tuple) -> str:
+    return "/".join([folder, *(f"{name}={value}" for name, value in zip(CELL, cell))])
+
+
+def _facts_of_parts(rows: DataFrame) -> dict[tuple, TableFacts]:
+    """`facts` of every part in one pass; none where a part spoils it, so that each is looked at alone."""
+    try:
+        return {tuple(row[k] for k in PART): _facts_in(row) for row in rows.groupBy(*PART).agg(*_fact_columns()).collect()}
+    except Exception:
+        log.exception("The facts of all parts failed")
+        return {}
+
+
+def _cell_scores(
+    truth: DataFrame, folder: str, keys: list[tuple], names: list[str], many: dict[tuple, bool] | None = None
+) -> dict[tuple, dict | Exception]:
+    """The metrics of the predictions stored under each key, which ends in a cell, or what failed.
+
+    With `many`, macro where a part has more than two classes, else of class 1; without, macro.
+    All keys are scored in one pass; if that fails, each one alone.
+    """
+    if not keys:
+        return {}
+    spark = truth.sparkSession
+    kinds = {"trial": "int", "layer": "int", "pooling": "string", "probe": "string"}
+    try:
+        paths = [_cell_path("/".join([folder, *(f"trial={i}" for i in key[:-3])]), key[-3:]) for key in keys]
+        schema = ", ".join(["id long", "y_pred int", *(f"{n} {kinds[n]}" for n in names)])
+        preds = spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+        pairs = metrics.align(preds, truth.select(*PART, "id", "label"), [*PART, "id"])
+        classes = metrics.class_scores(metrics.confusion(pairs, names), names)
+        if many is None:
+            table = metrics.scores(classes, names, "macro")
+        else:
+            tasks = spark.createDataFrame([(*part, m) for part, m in many.items()], "layer int, pooling string, multi_class boolean")
+            table = metrics.scores_by_task(classes, names, tasks)
+        found = {tuple(r[n] for n in names): {m: r[m] for m in metrics.METRICS} for r in table.collect()}
+    except Exception as problem:
+        if len(keys) == 1:
+            return {keys[0]: problem}
+        return {k: v for key in keys for k, v in _cell_scores(truth, folder, [key], names, many).items()}
+    return {key: found.get(key, ValueError("No row to score")) for key in keys}
+
+
 def score_states(states: DataFrame, pooling: str, fitted: FittedProbe) -> DataFrame:
     """Token states to predictions with a saved probe."""
     return fitted.predict(pool(states, [pooling]))

@@ -164,3 +164,38 @@ def test_fits_after_a_scoring_run(two, probe):
     jobs.scoring_run(two)
     params = {"C": 1.0, "kernel": "linear"}
     assert probes.fit(two, probe, params).predict(two).count() == two.count()
+
+
+def test_grid_scores_all_cells_in_one_pass(spark, two, three, monkeypatch):
+    """Two parts of two and three classes: as searched and scored one by one, in few passes."""
+    def part(df, layer):
+        split = F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split")
+        return df.select(F.lit(layer).alias("layer"), F.lit("mean").alias("pooling"), split, "id", "features", "label")
+
+    features = part(two, 0).unionAll(part(three, 1)).cache()
+    cells = [(layer, "mean", probe) for layer in (0, 1) for probe in ("decision-tree", "naive-bayes-gaussian", "knn")]
+    aligned, align = [], probes.metrics.align
+    monkeypatch.setattr(probes.metrics, "align", lambda *args: aligned.append(args) or align(*args))
+    rows = probes.run_grid(features, cells, new_folder(spark, "grid"), trials=2, seed=3).collect()
+    assert len(aligned) == 2
+    monkeypatch.undo()
+    assert [(r.layer, r.pooling, r.probe) for r in rows] == cells
+    for row in rows:
+        mine = features.filter(F.col("layer") == row.layer)
+        train, test = mine.filter("split = 'train'"), mine.filter("split = 'test'")
+        fitted, _ = probes.search_and_refit(train, row.probe, 2, 3)
+        pairs = align(fitted.predict(test), test.select("id", "label"), ["id"])
+        classes = probes.metrics.class_scores(probes.metrics.confusion(pairs, []), [])
+        expected = probes.metrics.scores(classes, [], "macro" if row.layer else "binary").first()
+        assert row.status == "done" and row.params == {k: str(v) for k, v in fitted.params.items()}
+        assert [row[m] for m in probes.metrics.METRICS] == pytest.approx([expected[m] for m in probes.metrics.METRICS])
+
+
+def test_grid_part_of_mixed_lengths_fails_alone(spark, two):
+    split = F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split")
+    good = two.select(F.lit(0).alias("layer"), F.lit("mean").alias("pooling"), split, "id", "features", "label")
+    longer = F.when(F.col("id") % 3 == 0, F.concat("features", "features")).otherwise(F.col("features"))
+    bad = good.withColumn("layer", F.lit(1)).withColumn("features", longer)
+    cells = [(layer, "mean", "naive-bayes-gaussian") for layer in (0, 1, 2)]
+    rows = probes.run_grid(good.unionAll(bad), cells, new_folder(spark, "grid"), trials=1).collect()
+    assert [r.status for r in rows] == ["done", "failed", "failed"]
