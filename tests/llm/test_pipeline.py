@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import struct
 from collections import Counter
 
@@ -9,6 +10,7 @@ import tiktoken
 import corpus_pipeline
 from layerlens.llm import mixing, quality, queries
 from layerlens.llm.common import table
+from layerlens.session import shared_root
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +34,15 @@ def test_run(spark):
     assert sorted(out.collect()) == sorted(corpus_pipeline.run(spark, SF).collect())
 
 
+def test_only_stages_stay(spark):
+    """What a stage stored on its way is gone once the stage is written."""
+    root = shared_root(spark)
+    before = set(os.listdir(root))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(root)) - before)
+    assert left == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
+
+
 def test_every_stage_against_a_plain_version(spark):
     """Each stage on what the one before it kept. The verdicts of the quality model and the
     rates of the mix are the operators' own, which their tests compare with plain versions;
