@@ -8,6 +8,9 @@ into one run of the next level, so there are few runs and a row is rewritten onc
 Batches are taken from the largest ids down, so the first sighting of a key names its owner:
 the document that keeps its lines. Only 16-byte keys and counts are joined and sorted; a line
 that a third of all documents hold is one row per batch by then.
+
+A run is deleted when it is merged into the next, and all of them when the keys that each document
+loses are stored: nothing else stays.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from layerlens.llm.common import WHITE, fresh, map_arrow, with_field
-from layerlens.session import written
+from layerlens.session import Scratch
 
 MIN_POINTS = 20
 MIN_DOCUMENTS = 3
@@ -60,8 +63,8 @@ def line_keys(docs: DataFrame, doc_id: str, text: str, min_points: int) -> DataF
 class Runs:
     """The levelled runs; each has (key, n_docs, owner), sorted by key."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
+    def __init__(self, scratch: Scratch, fanout: int = FANOUT):
+        self.scratch, self.fanout = scratch, fanout
         self.levels: list[list[DataFrame]] = []
 
     def all(self) -> DataFrame | None:
@@ -83,19 +86,21 @@ class Runs:
             self._push(0, own)
             return
         known = known.select("key").hint("merge")
-        own = written(own, "batch")
+        own = self.scratch.written(own, "batch")
         first = own.join(known, "key", "left_anti")
         again = own.join(known, "key", "left_semi").withColumn("owner", F.lit(None).cast("long"))
         self._push(0, first.unionAll(again))
+        self.scratch.drop(own)
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(written(run.repartition("key").sortWithinPartitions("key"), "run"))
+        run = run.repartition("key").sortWithinPartitions("key")
+        self.levels[level].append(self.scratch.written(run, "run"))
         if len(self.levels[level]) == self.fanout:
-            merged = self.merged(self.levels[level])
-            self.levels[level] = []
-            self._push(level + 1, merged)
+            full, self.levels[level] = self.levels[level], []
+            self._push(level + 1, self.merged(full))
+            self.scratch.drop(*full)
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
@@ -109,13 +114,13 @@ class Runs:
         return self.merged([run for level in self.levels for run in level])
 
 
-def index(keys: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> Runs:
+def index(keys: DataFrame, scratch: Scratch, batches: int = BATCHES, fanout: int = FANOUT) -> Runs:
     """Feeds the rows (doc_id, key) to the runs in batches of descending ids, nulls last."""
     cuts = keys.select(
         F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")
     ).collect()[0].c
     bounds = [None, *sorted(set(cuts or []), reverse=True), None]
-    runs = Runs(fanout)
+    runs = Runs(scratch, fanout)
     for above, below in zip(bounds, bounds[1:]):
         part = keys
         if above is not None:
@@ -131,10 +136,13 @@ def repeated_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   min_points: int = MIN_POINTS, min_documents: int = MIN_DOCUMENTS,
                   batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The keys whose lines each document loses: (doc_id, keys), only documents that lose any."""
-    keys = written(line_keys(docs, doc_id, text, min_points), "line-keys")
-    totals = index(keys, batches, fanout).totals().where(F.col("n_docs") >= min_documents)
+    scratch = Scratch(docs.sparkSession)
+    keys = scratch.written(line_keys(docs, doc_id, text, min_points), "line-keys")
+    totals = index(keys, scratch, batches, fanout).totals().where(F.col("n_docs") >= min_documents)
     lost = keys.join(totals, "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    out = scratch.written(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost-lines")
+    scratch.keep(out)
+    return out
 
 
 def kept_lines(text: str | None, keys: set[bytes], min_points: int) -> tuple[str, int, int]:

@@ -19,7 +19,8 @@ What is stored of every document is a sketch of bounded size: its bands and the
 members by slots, which bounds how far two sets differ. Only the sets of candidates that pass
 that bound are made again from their texts, compared, and deleted. Texts are stored once in
 buckets of their ids, so that they stay where they are and whole sets move for true or nearly
-true links alone.
+true links alone. Where whole documents are filtered, it is they that are stored so, and what is
+kept of them is read from there: their texts move once, whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from layerlens.llm.common import NO_ID, fresh, map_arrow, window_hashes, word_hashes, mixed
 from layerlens.llm.components import components
@@ -331,8 +332,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     node; a null id is one node of its own (the least). An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    texts = scratch.bucketed(texts, "id", "texts")
+    texts = scratch.bucketed(docs.select(_node(F.col(doc_id)).alias("id"), F.col(text).alias("text")), "id", "texts")
+    out = _near_duplicates(texts, words, percent, max_rounds, scratch)
+    scratch.keep(out)
+    return out
+
+
+def _node(doc_id: Column) -> Column:
+    """The id of a document's node."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def _near_duplicates(texts: DataFrame, words: int, percent: int, max_rounds: int, scratch: Scratch) -> DataFrame:
+    """As `near_duplicates`, from (id, text) in buckets of their ids; a table of `scratch`."""
     sketches = scratch.written(sketches_of(texts, words), "sketches")
     classes = scratch.written(
         sketches.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes"
@@ -391,20 +403,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         out = out.withColumn("root", F.lit(None).cast("long"))
     component = F.coalesce("root", "rep", "id")
     whole = F.nullif(component, F.lit(NO_ID))
-    out = scratch.written(
+    return scratch.written(
         out.select(
             F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"),
             whole.alias("component_id"), (F.col("id") == component).alias("kept"),
         ),
         "near-duplicates",
     )
-    scratch.keep(out)
-    return out
 
 
-def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are the least of their component, with all their columns."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    (own,) = fresh(docs, "own")
-    gone = found.where(~F.col("kept")).select(F.col("id").alias(own)).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(own), "left_anti")
+def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
+                     percent: int = PERCENT, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """The documents that are the least of their component, with all their columns.
+
+    They are stored once, in buckets of their ids, and stay where they are until the result is read.
+    """
+    scratch = Scratch(docs.sparkSession)
+    (own,) = fresh(docs, "id")
+    stored = scratch.bucketed(docs.withColumn(own, _node(F.col(f"`{doc_id}`"))), own, "documents")
+    texts = stored.select(F.col(own).alias("id"), F.col(f"`{text}`").alias("text"))
+    found = _near_duplicates(texts, words, percent, max_rounds, scratch)
+    gone = scratch.written(found.where(~F.col("kept")).select(F.col("id").alias(own)).distinct(), "gone")
+    scratch.keep(stored, gone)
+    return stored.join(gone, own, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -6,9 +6,10 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from layerlens.llm import mixing, quality, queries
+from layerlens.llm import minhash, mixing, quality, queries
 from layerlens.llm.common import table
 from layerlens.session import shared_root
 from tests.llm import brute
@@ -43,6 +44,38 @@ def test_only_stages_stay(spark):
     assert left == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
 
 
+def test_stages_leave_only_what_their_rows_are_read_from(spark):
+    """A stage alone, its rows not read yet: no second copy of the texts, no runs or line keys."""
+    root, docs = shared_root(spark), table(spark, SF, "documents")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = set(os.listdir(root))
+        rows = stage(spark, docs, SF)
+        left[name] = sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(root)) - before)
+        assert rows.count() > 0
+    assert left == {"quality_rules": [], "line_dedup": ["lost-lines"], "minhash_near_dedup": ["documents", "gone"]}
+
+
+def test_near_dedup_moves_no_texts_to_return_them(spark):
+    """Where the documents that go are too many to be sent to all tasks, they alone move."""
+    docs = table(spark, SF, "documents").unionByName(
+        spark.createDataFrame([(None, "one two", "en", "web", 7), (None, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    ).withColumn("ID", F.lit(1))
+    want = brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], words=5, percent=80)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        out = minhash.filter_documents(docs, words=5, percent=80)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(out.collect(), key=str)
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" in plan
+    kept = [r for r in docs.collect() if r.doc_id is None or want[r.doc_id][1] == r.doc_id]
+    assert out.columns == docs.columns and rows == sorted(kept, key=str) and len(kept) < docs.count()
+
+
 def test_every_stage_against_a_plain_version(spark):
     """Each stage on what the one before it kept. The verdicts of the quality model and the
     rates of the mix are the operators' own, which their tests compare with plain versions;
