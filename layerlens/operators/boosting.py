@@ -12,6 +12,9 @@ Growing by leaves always splits the leaf of best gain next, until a tree has `nu
 take few passes for that, a pass counts the children of every leaf that could still be split;
 the order of splits is then replayed on the driver, as far as gains are known, so that the tree
 is the one that strict growth gives.
+
+A table that one task can hold is gathered in one, as a pass over it is less work than its job:
+its trees grow there by the same passes, one tree after the other.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Row, functions as F
 
-from layerlens.operators.perceptron import cached, released
+from layerlens.operators.perceptron import cached, gathered, in_one_task, released
 from layerlens.session import dropped, new_folder
 
 BINS = 64
@@ -34,6 +37,8 @@ BLOCK_ROWS = 10_000
 DIGITS = 9
 #: Features whose histograms travel together.
 FEATURES = 256
+#: Rows of a gathered table that are added to a histogram at once.
+PIECE_ROWS = 4096
 #: Rounds after which the rows' margins are stored, so that a pass applies few trees.
 STORE_ROUNDS = 10
 
@@ -336,11 +341,7 @@ def _histograms(blocks: RDD, grower: _Grower, pairs: dict[tuple[int, int], tuple
                 at = np.zeros(len(bins), np.int64) if routes[t] is None else _routed(bins, *routes[t])
                 for i in wanted:
                     here = np.flatnonzero(at == i)
-                    key = places[here].ravel()
-                    hist = np.stack([
-                        np.bincount(key, np.repeat(w, dims), dims * BINS)
-                        for w in (gradient[here, t], curvature[here, t], np.ones(len(here)))
-                    ])
+                    hist = _histogram(places[here], gradient[here, t], curvature[here, t])
                     sums[t, i] = sums[t, i] + hist if (t, i) in sums else hist
         for (t, i), hist in sums.items():
             hist = hist.reshape(3, dims, BINS)
@@ -350,6 +351,15 @@ def _histograms(blocks: RDD, grower: _Grower, pairs: dict[tuple[int, int], tuple
     return blocks.mapPartitions(run)
 
 
+def _histogram(places: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+    """Summed gradients, curvatures and rows per place (feature, bin) of some rows."""
+    dims = places.shape[1]
+    key = places.ravel()
+    return np.stack([
+        *(np.bincount(key, np.repeat(w, dims), dims * BINS) for w in (gradient, curvature)), np.bincount(key, None, dims * BINS),
+    ])
+
+
 def _packed(hist: np.ndarray) -> tuple:
     """A histogram as its shape and the bins that hold rows, which are few in small nodes."""
     flat = hist.reshape(3, -1)
@@ -436,6 +446,12 @@ def fit(train: DataFrame, classes: int, growth: Growth, from_prior: bool = False
     held = f"{root}/blocks-0"
     stored = _blocks(train, cuts, margins, base, held)
     numbers = stored.agg(F.sum(F.octet_length("bins"))).first()[0]
+    if gathered(numbers):
+        model = BoostedTrees.from_json(in_one_task(
+            stored, lambda batches: BoostedTrees(cuts, base, _rounds(batches, dims, margins, growth)).to_json(),
+        ))
+        dropped(spark, root)
+        return model
     model = BoostedTrees(cuts, base, [])
     since: list[list[Tree]] = []  # rounds that the stored margins lack
     blocks = cached(stored, numbers)
@@ -458,9 +474,8 @@ def fit(train: DataFrame, classes: int, growth: Growth, from_prior: bool = False
         trees = grower.finished()
         model.rounds.append(trees)
         since.append(trees)
-        if all(len(nodes) == 1 or not nodes[0].split for nodes in grower.trees):
-            if not any(abs(float(t.value[0])) > 1e-12 for t in trees):
-                break  # nothing left to learn
+        if _learned(trees):
+            break
         if round_ + 1 == growth.rounds:
             break
         before = blocks
@@ -478,6 +493,65 @@ def fit(train: DataFrame, classes: int, growth: Growth, from_prior: bool = False
     return model
 
 
+def _learned(trees: list[Tree]) -> bool:
+    """Whether a round has found nothing left to learn."""
+    return all(t.feature[0] < 0 and not abs(float(t.value[0])) > 1e-12 for t in trees)
+
+
+def _rounds(batches, dims: int, margins: int, growth: Growth) -> list[list[Tree]]:
+    """All rounds over the blocks of this task."""
+    blocks = [block for batch in batches for block in _opened(batch, dims, margins)]
+    bins, target, own = (np.concatenate(column) for column in zip(*blocks))
+    del blocks
+    out: list[list[Tree]] = []
+    for _ in range(growth.rounds):
+        gradient, curvature = _slopes(own, target, growth.wide)
+        trees = [_tree(bins, gradient[:, t].copy(), curvature[:, t].copy(), own[:, t], growth) for t in range(margins)]
+        out.append(trees)
+        if _learned(trees):
+            break
+    return out
+
+
+def _tree(bins: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, margin: np.ndarray, growth: Growth) -> Tree:
+    """Grows one tree over the rows at hand and adds it to their margins."""
+    grower, step = _Grower(growth, 1), np.arange(bins.shape[1]) * BINS
+    rows = {0: np.arange(len(bins))}  # of each node
+    known: dict[int, tuple] = {}  # histograms of nodes that may become parents
+    pairs = {0: (-1, -1)}
+    while pairs:
+        splits = []
+        for i, (parent, sibling) in pairs.items():
+            pieces = (rows[i][first : first + PIECE_ROWS] for first in range(0, len(rows[i]), PIECE_ROWS))
+            hist = sum(_histogram(bins[here] + step, gradient[here], curvature[here]) for here in pieces).reshape(3, -1, BINS)
+            found = [(i, hist)]
+            if parent >= 0:
+                found.append((sibling, _rest(_unpacked(known.pop(parent)), hist)))
+            for node, sums in found:
+                best = _best_split(sums, growth, 0)
+                splits.append(SPLIT(0, 0, node, *best, *sums[:, 0].sum(axis=1).tolist()))
+                if best[0] > 0:
+                    known[node] = _packed(sums)
+        _take(grower, splits)
+        pairs = {}
+        for _, i in grower.wanted():
+            n = grower.trees[0][i]
+            small, other = grower.open(0, i)
+            goes_left = bins[rows[i], n.feature] <= n.bin
+            for child, goes in zip(n.children, (goes_left, ~goes_left)):
+                rows[child] = rows[i][goes]
+            pairs[small] = (i, other)
+    (tree,) = grower.finished()
+    ends = [0]
+    while ends:
+        i = ends.pop()
+        if tree.feature[i] >= 0:
+            ends += [tree.left[i], tree.right[i]]
+        else:
+            margin[rows[i]] += tree.value[i]
+    return tree
+
+
 def _take(grower: _Grower, rows: list) -> None:
     """Best splits over all parts of the features into their nodes; roots are made here."""
     for r in sorted(rows, key=lambda r: (r.tree, r.node, r.part)):

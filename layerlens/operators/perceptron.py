@@ -6,6 +6,9 @@ the driver takes one step whose length adapts to each weight (first and second m
 Adam). The batches of an epoch come in another order each time. Training stops when the mean
 loss has not fallen by TOLERANCE for PATIENCE epochs. What reaches the driver per step are at most
 DIRECT_TASKS gradients, each as large as the weights, however many tasks there are.
+
+A step of a small table is less work than the job it takes. The rows of a table that one task can
+hold are gathered in one, which takes the same steps over the same batches.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from layerlens.session import dropped, new_folder
 
@@ -34,6 +37,8 @@ FIRST, SECOND, TINY = 0.9, 0.999, 1e-8
 DIRECT_TASKS = 4
 #: Numbers that a task of a step should have at least.
 TASK_NUMBERS = 250_000
+#: Tables that would give at most so many tasks are trained inside one.
+GATHERED_TASKS = 32
 
 
 @dataclass
@@ -104,7 +109,7 @@ def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> lis
     Cached blocks that are lost are read from the folder again.
     """
     spark = train.sparkSession
-    dealt = train.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(batches)).cast("int").alias("batch"), "features", "target")
+    dealt = train.select(_batch(batches, seed), "features", "target")
     if batches > 1:
         dealt = dealt.sortWithinPartitions("batch")
 
@@ -132,6 +137,10 @@ def stored_blocks(train: DataFrame, batches: int, seed: int, folder: str) -> lis
     ]
 
 
+def _batch(batches: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(batches)).cast("int").alias("batch")
+
+
 def _vectors(column: pa.ListArray) -> np.ndarray:
     """One row per list, all of one length."""
     if column.null_count:
@@ -179,6 +188,20 @@ def summed(blocks: RDD, tasks: int, dims: int, size: int, of_block: Callable, st
     return sum((part for _, part in sums.collect()), np.zeros(size))
 
 
+def gathered(numbers: int) -> bool:
+    """Whether a table of so many numbers is trained inside one task."""
+    return numbers <= GATHERED_TASKS * TASK_NUMBERS
+
+
+def in_one_task(rows: DataFrame, work: Callable) -> str:
+    """The text that work(batches) makes of all rows, given as the Arrow batches of one task."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([work(batches)], pa.string())], names=["made"])
+
+    return rows.coalesce(1).mapInArrow(run, "made string").collect()[0].made
+
+
 def _of_block(x: np.ndarray, target: np.ndarray, state) -> np.ndarray:
     return _sums(x, target, *state)
 
@@ -200,19 +223,55 @@ def fit(train: DataFrame, rows: int, dims: int, classes: int, hidden: tuple[int,
 
     `alpha` is the penalty on the squared weights, `rate` the first length of a step.
     """
+    layers = [dims, *hidden, 1 if classes <= 2 else classes]
+    parts = max(1, min(math.ceil(rows / BATCH_ROWS), MAX_BATCHES))
+    if gathered(rows * dims):
+        dealt = train.select(_batch(parts, seed), "features", "target")
+        made = in_one_task(dealt, lambda batches: _trained_on(batches, dims, layers, alpha, rate, epochs, seed).to_json())
+        return Perceptron.from_json(made)
     spark = train.sparkSession
     folder = new_folder(spark, "perceptron")
-    batches = stored_blocks(train, max(1, min(math.ceil(rows / BATCH_ROWS), MAX_BATCHES)), seed, folder)
+    batches = stored_blocks(train, parts, seed, folder)
     tasks = [b.getNumPartitions() for b in batches]
-    weights, shifts = _start([dims, *hidden, 1 if classes <= 2 else classes], seed)
+
+    def sums_of(b: int, size: int, state) -> np.ndarray:
+        return summed(batches[b], tasks[b], dims, size, _of_block, state)
+
+    model = _trained(len(batches), sums_of, layers, alpha, rate, epochs, seed)
+    released(*batches)
+    dropped(spark, folder)
+    return model
+
+
+def _trained_on(batches, dims: int, layers: list[int], alpha: float, rate: float, epochs: int, seed: int) -> Perceptron:
+    """All steps over the rows (batch, features, target) of this task."""
+    parts = [(b.column("batch").to_numpy(), _vectors(b.column("features")), b.column("target").to_numpy()) for b in batches if b.num_rows]
+    number, x, target = (np.concatenate(column) for column in zip(*parts))
+    del parts
+    order, target = np.argsort(number, kind="stable"), target.astype(np.int32)
+    ends = np.flatnonzero(np.diff(number[order])) + 1
+    held = [(x[own], target[own]) for own in np.split(order, ends)]
+    del x
+
+    def sums_of(b: int, size: int, state) -> np.ndarray:
+        most = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(dims, 1)))
+        own, classes = held[b]
+        return sum(_sums(own[i : i + most], classes[i : i + most], *state) for i in range(0, len(own), most))
+
+    return _trained(len(held), sums_of, layers, alpha, rate, epochs, seed)
+
+
+def _trained(batches: int, sums_of: Callable, layers: list[int], alpha: float, rate: float, epochs: int, seed: int) -> Perceptron:
+    """Steps by sums_of(batch, size, (weights, shifts)), the `_sums` over a batch."""
+    weights, shifts = _start(layers, seed)
     first = [np.zeros_like(p) for pair in zip(weights, shifts) for p in pair]
     second = [np.zeros_like(p) for p in first]
     size = 2 + sum(p.size for p in first)
     rng, step, losses, best, waited = np.random.default_rng(seed), 0, [], math.inf, 0
     for _ in range(epochs):
         total = seen = 0.0
-        for b in rng.permutation(len(batches)):
-            sums = summed(batches[b], tasks[b], dims, size, _of_block, (weights, shifts))
+        for b in rng.permutation(batches):
+            sums = sums_of(b, size, (weights, shifts))
             n, loss, at = sums[0], sums[1], 2
             total += loss + 0.5 * alpha * sum(float((w * w).sum()) for w in weights)
             seen += n
@@ -231,6 +290,4 @@ def fit(train: DataFrame, rows: int, dims: int, classes: int, hidden: tuple[int,
         best = min(best, losses[-1])
         if waited > PATIENCE:
             break
-    released(*batches)
-    dropped(spark, folder)
     return Perceptron(weights, shifts, losses)

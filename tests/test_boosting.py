@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from layerlens.operators import boosting
+from layerlens.operators import boosting, perceptron
 from layerlens.operators.boosting import Growth
 
 ROWS = "features array<double>, target int"
@@ -99,3 +99,33 @@ def test_a_pass_is_one_small_job(spark):
         counts.append(jobs() - before)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert counts[1] - counts[0] <= 3 * 4  # three passes and the margins
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+@pytest.mark.parametrize("growth", [
+    Growth(4, 0.3, max_depth=3),
+    Growth(4, 0.3, num_leaves=6, penalty=0.0, min_curvature=1e-3, min_rows=5, wide=True),
+])
+def test_gathered_and_dealt_rows_give_the_same(spark, monkeypatch, classes, growth):
+    """Trees of one task are those that passes over many blocks give."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(boosting, "PIECE_ROWS", 50)
+    monkeypatch.setattr(boosting, "STORE_ROUNDS", 2)
+    x, y = _data(240, 4, classes, 3)
+    rows = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], ROWS).repartition(3).cache()
+    models = []
+    for tasks in (perceptron.GATHERED_TASKS, 0):
+        monkeypatch.setattr(perceptron, "GATHERED_TASKS", tasks)
+        models.append(boosting.fit(rows, classes, growth, from_prior=True))
+    one, other = models
+    assert len(one.rounds) == len(other.rounds) == 4
+    assert np.allclose(one.margins(x), other.margins(x), atol=1e-8)
+
+
+def test_rounds_of_a_small_table_are_no_jobs(spark):
+    x, y = _data(60, 3, 3, 9)
+    rows = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], ROWS).coalesce(1).cache()
+    spark.sparkContext.setJobGroup("rounds", "")
+    boosting.fit(rows, 3, Growth(30, 0.1, max_depth=2))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 20

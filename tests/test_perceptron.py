@@ -117,3 +117,29 @@ def test_blocks_hold_few_numbers(spark, monkeypatch, tmp_path):
     assert max(a.size for a, _ in held) <= 30
     rows = sorted((*map(float, v), int(c)) for a, b in held for v, c in zip(a, b))
     assert rows == sorted((*map(float, v), int(c)) for v, c in zip(x, y))
+
+
+def test_gathered_and_dealt_rows_give_the_same(spark, monkeypatch):
+    """Batches of one task take the steps that jobs take."""
+    monkeypatch.setattr(perceptron, "BATCH_ROWS", 20)
+    x, y = _data(150, 3, 6)
+    rows = _frame(spark, x, y).repartition(3).cache()
+    models = []
+    for tasks in (perceptron.GATHERED_TASKS, 0):
+        monkeypatch.setattr(perceptron, "GATHERED_TASKS", tasks)
+        models.append(perceptron.fit(rows, 150, 3, 3, (5, 4), 0.1, 0.01, 3, 5))
+    one, other = models
+    assert np.allclose(one.losses, other.losses) and len(one.losses) == 3
+    for a, b in zip(one.weights + one.shifts, other.weights + other.shifts):
+        assert np.allclose(a, b, atol=1e-8)
+    wide = perceptron.GATHERED_TASKS * perceptron.TASK_NUMBERS + 1
+    assert not perceptron.gathered(wide)
+
+
+def test_steps_of_a_small_table_are_no_jobs(spark):
+    x, y = _data(60, 3, 8)
+    rows = _frame(spark, x, y).cache()
+    spark.sparkContext.setJobGroup("steps", "")
+    perceptron.fit(rows, 60, 3, 3, (4,), rate=1e-4, epochs=60)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps")) < 10
