@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerlens.operators import probes
-from layerlens.plans import jobs
+from layerlens.plans import jobs, probe_queries
 from layerlens.session import new_folder
 
 COLUMNS = "id long, features array<double>, label int"
@@ -199,3 +199,18 @@ def test_grid_part_of_mixed_lengths_fails_alone(spark, two):
     cells = [(layer, "mean", "naive-bayes-gaussian") for layer in (0, 1, 2)]
     rows = probes.run_grid(good.unionAll(bad), cells, new_folder(spark, "grid"), trials=1).collect()
     assert [r.status for r in rows] == ["done", "failed", "failed"]
+
+
+def test_registered_comparison_runs_five_trials_of_each(spark, tmp_path, monkeypatch):
+    rng, searched = random.Random(4), []
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def cheap(train, probe, trials, *args):
+        searched.append((probe, trials))
+        return [{"trial": i, "probe": "logistic-regression", "params": {"C": 10.0}, "accuracy": 1.0, "f1_score": 1.0} for i in range(trials)]
+
+    monkeypatch.setattr(probes, "search", cheap)
+    (row,) = probe_queries.frozen_comparison(spark, str(tmp_path)).collect()
+    assert sorted(searched) == sorted((probe, 5) for probe in probes.FROZEN_SPACES)
+    assert row.f1_score == pytest.approx(1.0)
