@@ -5,7 +5,7 @@ the summed squared shortfalls. A Newton step takes a pass for the slopes and one
 several step lengths together. Its direction solves a system by the curvature of the rows that
 fall short: while the matrices of all classes have at most MATRIX_NUMBERS they are summed in one
 pass, beyond that they are never formed, and conjugate gradients take one pass for each product
-of them with a vector.
+of them with a vector. A table that one task can hold takes its steps there.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from layerlens.operators.perceptron import released, stored_blocks, summed
+from layerlens.operators.perceptron import gathered, released, stored_blocks, summed
 from layerlens.session import dropped, new_folder
 
 TOLERANCE = 1e-4  # of the first slope, where Newton steps stop
@@ -113,14 +113,34 @@ def fit(train: DataFrame, dims: int, classes: int, c: float, steps: int = 1000,
     folder = new_folder(spark, "hinge")
     (blocks,) = stored_blocks(train, 1, seed, folder)
     tasks, columns = blocks.getNumPartitions(), 1 if classes <= 2 else classes
-    shape = dims + 1, columns
-    weights, first = np.zeros(shape), None
+    if gathered(blocks.map(lambda row: len(row[0]) // 8).sum()):
+        (weights,) = blocks.coalesce(1).mapPartitions(lambda rows: [_solved_here(rows, dims, columns, c, steps)]).collect()
+    else:
+        weights = _solved(lambda *of: summed(blocks, tasks, dims, *of), dims, columns, c, steps)
+    released(blocks)
+    dropped(spark, folder)
+    return LinearMargins(weights)
+
+
+def _solved_here(rows, dims: int, columns: int, c: float, steps: int) -> np.ndarray:
+    """All steps over the blocks of this task."""
+    held = [(np.frombuffer(x).reshape(-1, dims), np.frombuffer(target, np.int32)) for x, target in rows]
 
-    def aggregated(of_block, size, state):
-        return summed(blocks, tasks, dims, size, of_block, state)
+    def aggregated(size, of_block, state):
+        total = np.zeros(size)
+        for x, target in held:
+            total += of_block(x, target, state)
+        return total
 
+    return _solved(aggregated, dims, columns, c, steps)
+
+
+def _solved(aggregated: Callable, dims: int, columns: int, c: float, steps: int) -> np.ndarray:
+    """The weights by Newton steps; aggregated(size, of_block, state) sums over all rows."""
+    shape = dims + 1, columns
+    weights, first = np.zeros(shape), None
     for _ in range(steps):
-        sums = aggregated(_slope, columns * (dims + 2), weights)
+        sums = aggregated(columns * (dims + 2), _slope, weights)
         slope = weights + c * sums[columns:].reshape(shape)
         value = 0.5 * _inner(weights, weights) + c * sums[:columns]
         size = np.sqrt(_inner(slope, slope))
@@ -128,17 +148,15 @@ def fit(train: DataFrame, dims: int, classes: int, c: float, steps: int = 1000,
         if (size <= TOLERANCE * first).all():
             break
         if columns * (dims + 1) ** 2 <= MATRIX_NUMBERS:
-            bent = aggregated(_matrices, columns * (dims + 1) ** 2, weights).reshape(columns, dims + 1, dims + 1)
+            bent = aggregated(columns * (dims + 1) ** 2, _matrices, weights).reshape(columns, dims + 1, dims + 1)
             way = np.linalg.solve(np.eye(dims + 1) + c * bent, -slope.T[:, :, None])[:, :, 0].T
         else:
-            way = _conjugate(slope, lambda v: v + c * aggregated(_product, weights.size, (weights, v)).reshape(shape))
-        losses = aggregated(_losses, columns * len(STEPS), (weights, way)).reshape(len(STEPS), columns)
+            way = _conjugate(slope, lambda v: v + c * aggregated(weights.size, _product, (weights, v)).reshape(shape))
+        losses = aggregated(columns * len(STEPS), _losses, (weights, way)).reshape(len(STEPS), columns)
         tried = np.stack([0.5 * _inner(weights + t * way, weights + t * way) for t in STEPS]) + c * losses
         enough = tried <= value + ARMIJO * np.array(STEPS)[:, None] * _inner(slope, way)
         chosen = np.where(enough.any(axis=0), np.array(STEPS)[enough.argmax(axis=0)], 0)
         if not chosen.any():
             break  # at the limit of the arithmetic
         weights = weights + chosen * way
-    released(blocks)
-    dropped(spark, folder)
-    return LinearMargins(weights)
+    return weights

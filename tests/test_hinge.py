@@ -38,3 +38,22 @@ def test_equals_a_plain_solver(spark, monkeypatch, classes, c, numbers):
         assert np.allclose(model.weights[:, column], _plain(x, np.where(y == k, 1.0, -1.0), c), atol=1e-5)
     again = hinge.LinearMargins.from_json(model.to_json())
     assert np.array_equal(again.scores(x), model.scores(x))
+
+
+def test_gathered_and_dealt_rows_give_the_same(spark, monkeypatch):
+    """In one task, whose steps are no jobs, and by a job for each sum."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 150)
+    x = rng.normal(size=(150, 4))
+    x[np.arange(150), y] += 1
+    rows = spark.createDataFrame([(i, list(map(float, a)), int(b)) for i, (a, b) in enumerate(zip(x, y))], ROWS).repartition(2).cache()
+    weights, jobs = [], []
+    for name, tasks in (("one", perceptron.GATHERED_TASKS), ("many", 0)):
+        monkeypatch.setattr(perceptron, "GATHERED_TASKS", tasks)
+        monkeypatch.setattr(perceptron, "TASK_NUMBERS", 200)
+        spark.sparkContext.setJobGroup(name, "")
+        weights.append(hinge.fit(rows, 4, 3, 1.0).weights)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(*weights, atol=1e-6)
+    assert jobs[0] < 12 < jobs[1]
